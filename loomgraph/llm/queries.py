@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import exact_dedup, mixing, sharding
+from loomgraph.llm import classifier, exact_dedup, mixing, packing, quality_rules, secrets, sharding, simhash, token_counts
 from loomgraph.llm.common import table
 
 
@@ -18,13 +18,53 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.check_quality(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_sharding, op4_exact_dedup)}
+    found = (
+        op1_mixing,
+        op2_sharding,
+        op3_simhash,
+        op4_exact_dedup,
+        op6_quality_rules,
+        op7_token_counts,
+        op8_quality_classifier,
+        op9_packing,
+        op10_secrets,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op2_sharding": sharding.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op1_mixing": mixing.ORACLE,
+        "op2_sharding": sharding.ORACLE,
+        "op4_exact_dedup": exact_dedup.ORACLE,
+        "op6_quality_rules": quality_rules.ORACLE,
+    }
