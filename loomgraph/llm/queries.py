@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import classifier, exact_dedup, mixing, packing, quality_rules, secrets, sharding, simhash, token_counts
+from loomgraph.llm import classifier, exact_dedup, html_text, mixing, packing, quality_rules, secrets, sharding, simhash, token_counts
 from loomgraph.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.check_quality(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_sharding,
         op3_simhash,
         op4_exact_dedup,
+        op5_html_text,
         op6_quality_rules,
         op7_token_counts,
         op8_quality_classifier,
