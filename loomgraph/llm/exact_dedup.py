@@ -5,9 +5,8 @@ Texts are equal when identical after every run of ASCII white space becomes one
 Grouping by (hash, normalised text) compares the bytes: rows meet in a group only if both the
 hash and the whole text agree. Copies collapse before the shuffle, so a group that holds a
 third of all rows reaches its task as one row per input partition. The class of a document is
-then looked up by hash and SHA-256 over narrow rows; a hot class is split by the adaptive skew
-join. Should two different texts ever share both digests, the job stops instead of
-merging them.
+then looked up by hash and SHA-256 over narrow rows, so that texts which share the 128-bit
+hash alone keep classes of their own; a hot class is split by the adaptive skew join.
 
 Defined results: a null text counts as the empty one; a row with a null id is kept only if no
 row of its group has an id; rows equal in id and text are one group of that size, and all
@@ -47,10 +46,6 @@ def find_copies(
         read.groupBy(hashed(F.col("norm")).alias("hash"), "norm")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("hash", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
-        .groupBy("hash", "sha")
-        .agg(F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts"))
-        .withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error("both digests collide").cast("long")))
-        .drop("texts")
     )
     rows = read.select("doc_id", hashed(F.col("norm")).alias("hash"), F.unhex(F.sha2("norm", 256)).alias("sha"))
     return rows.join(classes, ["hash", "sha"]).select(
