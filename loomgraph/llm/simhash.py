@@ -135,7 +135,10 @@ def near_groups(
     linked = distinct.join(roots, "fp")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_linked = roots.join(smallest, "root").select("fp", "component_id")
-    of_print = distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    # Written, so that the last join shuffles both sides and the adaptive join can split a fingerprint of very many rows.
+    of_print = durable(
+        distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    )
     return prints.join(of_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
