@@ -21,15 +21,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(
+            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-checkpoint-")
+        )
+    return context.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back from there.
 
-    Lineage ends at the files, so a lost executor costs no recomputation. The folder is the
-    session's ``spark.checkpoint.dir``; a temporary one is used only where that is unset.
+    Lineage ends at the files, so a lost executor costs no recomputation.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-checkpoint-")
-        )
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
