@@ -1,0 +1,134 @@
+"""Quality rules, token counts, secrets: one row in, one row out."""
+
+import hashlib
+import math
+import random
+import re
+
+import pytest
+from loomgraph.llm import quality_rules, secrets, token_counts, tokenizing
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_quality(text):
+    text = text or ""
+    words = WORDS.findall(text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {j for i, g in enumerate(windows) if windows.count(g) > 1 for j in (i, i + 1, i + 2)} if len(words) < 2000 else set(range(len(words)))
+    lines = [x for x in text.split("\n") if WORDS.search(x)]
+    return {
+        "n_words": len(words),
+        "word_chars": sum(map(len, words)),
+        "n_symbols": sum(c in "#*$%&|<>" for c in text),
+        "n_dup_lines": sum(x in lines[:i] for i, x in enumerate(lines)),
+        "n_repeat_words": len(covered),
+        "base_failed": len(words) < 50 or 100 * len(covered) > 50 * len(words),
+    }
+
+
+def test_quality_measurements_match_brute_force(docs):
+    texts = sorted((r.doc_id or -1, r.text or "") for r in docs.collect())
+    found = sorted(((r.doc_id or -1, r) for r in quality_rules.check_quality(docs).collect()), key=lambda x: (x[0], x[1].n_words))
+    expected = sorted(((i, brute_quality(t)) for i, t in texts), key=lambda x: (x[0], x[1]["n_words"]))
+    assert [(i, {k: r[k] for k in e}) for (i, r), (_, e) in zip(found, expected, strict=True)] == expected
+    assert not any(r.kept for _, r in found if r.base_failed)
+
+
+def test_policies_and_ablations(spark):
+    ledger = spark.createDataFrame([(0,), (1,), (8,), (9,), (8,)], "fail_bits long")
+    by_rule = {r.rule: r for r in quality_rules.ablations(ledger, "v2").collect()}
+    assert by_rule["too_short"][1:] == (2, 1, 1, 2)
+    assert by_rule["symbols"][1:] == (3, 2, 1, 3)
+    assert by_rule["shouts"][1:] == (0, 0, 1, 1)
+    assert [r.kept for r in quality_rules.judge(ledger, "base").collect()] == [True, False, True, False, True]
+    assert quality_rules.ablations(ledger.limit(0)).count() == 0
+
+
+def test_quality_of_no_rows(no_docs):
+    assert quality_rules.check_quality(no_docs).count() == 0
+
+
+ODD = ["", "<|endoftext|>", "a<|endoftext|>b <|endoftext|>", "it's we'll I'd  x\n\n y\t\tz   ", "日本語 ٣٤ ½ ⅷ ǅ", "\u0085x\u001cy​z᠎", "é ­-  ", "😀😀 👩‍👩‍👧", "x" * 5000, "<|endo", "﻿bom", " ", "\n", " "]
+
+
+def random_text(rng):
+    alphabet = "abcXYZ 019 \n\t.,'!<|>éßñ日 ’½"
+    return "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 300)))
+
+
+def test_token_counts_and_ids_match_the_library():
+    tokenizer = tokenizing._tokenizer(tokenizing.VOCABULARY)
+    rng = random.Random(1)
+    counter, encoder = tokenizing.TokenCounter(), tokenizing.TokenIds()
+    for text in ODD + [random_text(rng) for _ in range(1500)]:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert counter.count(text) == len(ids), text
+        assert encoder.ids(text).tolist() == ids, text
+
+
+def test_parts_do_not_change_counts():
+    rng = random.Random(2)
+    counter = tokenizing.TokenCounter()
+    for _ in range(200):
+        text = random_text(rng) * 3
+        pieces = tokenizing.parts(text, 40)
+        assert "".join(pieces) == text
+        assert sum(map(counter._part, pieces)) == counter._part(text)
+
+
+def test_token_counts_of_awkward_rows(docs, no_docs):
+    tokenizer = tokenizing._tokenizer(tokenizing.VOCABULARY)
+    expected = sorted((r.doc_id if r.doc_id is not None else -1, len((r.text or "").encode()), len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
+    found = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(docs).collect())
+    assert found == expected
+    assert token_counts.count_tokens(no_docs).count() == 0
+
+
+KEY = "q7Zx9Lm2Vb4Nc8Kd1Ws5"
+SECRETS = [
+    (f"Password: '{KEY}' end", [("assign", 0, 31)]),
+    ("api_key=short1 token = abcdefgh", [("assign", 15, 31)]),
+    ("paſſword=abcdefghij", []),
+    ("id AKIAABCDEFGHIJKL and AKIAABC", [("access", 3, 19)]),
+    ("h " + "0a" * 16 + " " + "0a" * 15, [("hex", 2, 34)]),
+    ("é secret:" + "0f" * 20, [("assign", 2, 49), ("hex", 9, 49)]),
+    ("see some-long-hyphenated-word-list here and 123456789012345678901234", []),
+    ("uuid 123e4567-e89b-12d3-a456-426614174000", []),
+]
+
+
+@pytest.mark.parametrize("text,spans", SECRETS)
+def test_base_spans(text, spans):
+    assert [s for s in secrets.scan(text) if s[0] in secrets.BASE_KINDS] == spans
+
+
+def test_entropy_spans():
+    assert secrets.scan(f"x {KEY}{KEY[::-1]} y") == [("entropy_base64", 2, 42)]
+    assert secrets.scan("aaaaaaaaaaaaaaaaaaaaaaaa1") == []
+    assert secrets.scan(None) == secrets.scan("") == []
+
+
+def direct_entropy(s):
+    return -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s))
+
+
+def test_incremental_entropy_matches_direct():
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("abcdefgh01234567"[: rng.randint(2, 16)]) for _ in range(rng.randint(20, 80)))
+        covered = {j for a, b in secrets.high_entropy(text, 2.9) for j in range(a, b)}
+        expected = {j for i in range(len(text) - 19) if direct_entropy(text[i : i + 20]) >= 2.9 - 1e-9 for j in range(i, i + 20)}
+        assert covered == expected
+
+
+def test_secret_rows(spark, docs, no_docs):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SECRETS)] + [(99, None)], "doc_id long, text string")
+    for r in secrets.scan_secrets(rows).collect():
+        spans = SECRETS[r.doc_id][1] if r.doc_id < 99 else []
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in spans) for k in secrets.BASE_KINDS)
+    assert [r.text for r in secrets.redact(rows.filter("doc_id in (0, 99)")).orderBy("doc_id").collect()] == ["[SECRET]' end", None]
+    assert secrets.scan_secrets(docs).count() == docs.count()
+    assert secrets.scan_secrets(no_docs).count() == 0
