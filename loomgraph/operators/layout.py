@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import style
+from loomgraph.operators import hierarchy
 from loomgraph.schema import PADDING
 
 COLUMNS, START, STEP_X, STEP_Y = 8, 20.0, 220.0, 60.0
@@ -134,23 +135,41 @@ def fitted_containers(boxes: DataFrame, nodes: DataFrame, visible: DataFrame) ->
     )
 
 
-def moved_subtree(boxes: DataFrame, nodes: DataFrame, shown_ids: DataFrame, node_id: str, dx: float, dy: float) -> DataFrame:
-    """Boxes after dragging a node: it and what is shown below it, with everything between shown too, moved."""
-    from loomgraph.operators.hierarchy import subtree
-
+def displayed_below(nodes: DataFrame, shown_ids: DataFrame, node_id: str) -> DataFrame:
+    """Ids of a shown node and of what is shown below it with everything in between shown too."""
     ids = shown_ids.select("id").distinct()
-    below = subtree(nodes, node_id).join(ids, "id", "left_semi").select(
-        "id", F.filter("ancestors", lambda a: a != "").alias("ancestors")
-    )
+    below = hierarchy.subtree(nodes, node_id).join(ids, "id", "left_semi").select("id", "ancestors")
     start = F.array_position("ancestors", F.lit(node_id))
-    # The dragged node itself moves whatever is above it.
     between = below.filter(F.col("id") != node_id).select(
         "id", F.explode(F.slice("ancestors", F.greatest(start, F.lit(1)).cast("int"), F.size("ancestors"))).alias("between")
     )
     broken = between.join(ids.withColumnRenamed("id", "between"), "between", "left_anti").select("id").distinct()
-    moved = below.join(broken, "id", "left_anti").select(F.col("id").alias("node_id"), F.lit(True).alias("moved"))
+    return below.join(broken, "id", "left_anti").select("id")
+
+
+def offsets_from(boxes: DataFrame, below: DataFrame, node_id: str) -> DataFrame:
+    """(node_id, dx, dy): where the boxes of ``below`` lie relative to that of ``node_id``."""
+    top = boxes.filter(F.col("node_id") == node_id).select(F.col("x").alias("x0"), F.col("y").alias("y0"))  # one row
+    kept = boxes.join(below.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+    return kept.crossJoin(F.broadcast(top)).select(
+        "node_id", (F.col("x") - F.col("x0")).alias("dx"), (F.col("y") - F.col("y0")).alias("dy")
+    )
+
+
+def moved_subtree(boxes: DataFrame, nodes: DataFrame, shown_ids: DataFrame, node_id: str, dx: float, dy: float) -> DataFrame:
+    """Boxes after dragging a node together with what is displayed below it."""
+    below = displayed_below(nodes, shown_ids, node_id).select(F.col("id").alias("node_id"), F.lit(True).alias("moved"))
     shift = lambda c, by: F.when(F.col("moved"), F.col(c) + by).otherwise(F.col(c)).alias(c)
-    return boxes.join(moved, "node_id", "left").select("node_id", shift("x", dx), shift("y", dy), "width", "height")
+    return boxes.join(below, "node_id", "left").select("node_id", shift("x", dx), shift("y", dy), "width", "height")
+
+
+def absolute_boxes(boxes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Boxes placed relative to their containers, moved to the coordinates of the root."""
+    chain = nodes.select(F.col("id").alias("node_id"), F.explode("ancestors").alias("above"))
+    offsets = boxes.select(F.col("node_id").alias("above"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    total = chain.join(offsets, "above").groupBy("node_id").agg(F.sum("ox").alias("ox"), F.sum("oy").alias("oy"))
+    shift = lambda c: (F.col(c) + F.coalesce(f"o{c}", F.lit(0.0))).alias(c)
+    return boxes.join(total, "node_id", "left").select("node_id", shift("x"), shift("y"), "width", "height")
 
 
 def centres(boxes: DataFrame) -> DataFrame:

@@ -635,15 +635,39 @@ def fitted_containers(spark, d):
 
 
 @query(
-    f"""WITH {w.NODES}, {_GRID}, {w.VIEW}, below AS (SELECT id, list_filter(ancestors, lambda a: a = 'ASIA' OR starts_with(a, 'ASIA/')) AS above FROM nodes
-      WHERE (id = 'ASIA' OR list_contains(ancestors, 'ASIA')) AND id IN (SELECT id FROM visible)),
+    f"""WITH {w.NODES}, {_GRID}, {w.VIEW}, below AS (SELECT id, list_filter(ancestors, lambda a: a = 'EUROPE' OR starts_with(a, 'EUROPE/')) AS above FROM nodes
+      WHERE (id = 'EUROPE' OR list_contains(ancestors, 'EUROPE')) AND id IN (SELECT id FROM visible)),
     moved AS (SELECT id FROM below WHERE id NOT IN (SELECT i FROM (SELECT id AS i, unnest(above) AS a FROM below) WHERE a NOT IN (SELECT id FROM visible)))
     SELECT node_id, x + CASE WHEN node_id IN (SELECT id FROM moved) THEN 15.0 ELSE 0.0 END AS x,
       y + CASE WHEN node_id IN (SELECT id FROM moved) THEN -5.0 ELSE 0.0 END AS y, width, height FROM grid"""
 )
 def moved_subtree(spark, d):
     n = w.nodes(spark, d).filter("type <> 'CodeBlock'")
-    return layout.moved_subtree(_grid(spark, d), n, w.visible(n), "ASIA", 15.0, -5.0)
+    return layout.moved_subtree(_grid(spark, d), n, w.visible(n), "EUROPE", 15.0, -5.0)
+
+
+@query(
+    f"""WITH {w.NODES}, {_GRID}, {w.VIEW}, below AS (SELECT id, list_filter(ancestors, lambda a: a = 'EUROPE' OR starts_with(a, 'EUROPE/')) AS above FROM nodes
+      WHERE type <> 'CodeBlock' AND (id = 'EUROPE' OR list_contains(ancestors, 'EUROPE')) AND id IN (SELECT id FROM visible)),
+    kept AS (SELECT id FROM below WHERE id NOT IN (SELECT i FROM (SELECT id AS i, unnest(above) AS a FROM below) WHERE a NOT IN (SELECT id FROM visible)))
+    SELECT g.node_id, g.x - t.x AS dx, g.y - t.y AS dy FROM grid g, grid t WHERE t.node_id = 'EUROPE' AND g.node_id IN (SELECT id FROM kept)"""
+)
+def displayed_descendants(spark, d):
+    n = w.nodes(spark, d).filter("type <> 'CodeBlock'")
+    return layout.offsets_from(_grid(spark, d), layout.displayed_below(n, w.visible(n), "EUROPE"), "EUROPE")
+
+
+@query(
+    f"""WITH {w.NODES}, {_GRID}, o AS (SELECT i, sum(x) AS ox, sum(y) AS oy FROM (SELECT id AS i, unnest(ancestors) AS a FROM nodes) JOIN grid ON node_id = a GROUP BY i)
+    SELECT node_id, x + coalesce(ox, 0.0) AS x, y + coalesce(oy, 0.0) AS y, width, height FROM grid LEFT JOIN o ON i = node_id"""
+)
+def absolute_boxes(spark, d):
+    return layout.absolute_boxes(_grid(spark, d), w.nodes(spark, d).filter("type <> 'CodeBlock'"))
+
+
+@query("SELECT event_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 10")
+def log_tail(spark, d):
+    return progress.tail(w.table(spark, d, "events").select("event_id", "event_type", "value"), 10, "event_id")
 
 
 # Geometry.

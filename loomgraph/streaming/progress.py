@@ -108,3 +108,8 @@ def latest(results: DataFrame, key: str, order: str) -> DataFrame:
     """Per ``key`` the row with the highest ``order``: the last of several requests or writes wins."""
     columns = [c for c in results.columns if c != key]
     return results.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("r")).select(key, "r.*")
+
+
+def tail(log: DataFrame, n: int = 10, order: str = "seq") -> DataFrame:
+    """The last ``n`` lines of a log."""
+    return log.orderBy(F.desc(order)).limit(n)
