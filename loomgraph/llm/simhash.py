@@ -97,24 +97,29 @@ def trie_links(prints: DataFrame, budget: int = 2) -> DataFrame:
     def prefix(bits: Column, depth: int) -> Column:
         return F.shiftrightunsigned(bits, BITS - depth)
 
-    turned = prints.select(
-        F.posexplode(F.array(*[_rotated(F.col("fp"), s) for s in starts])).alias("turn", "bits")
-    ).withColumn("node", prefix(F.col("bits"), first))
-    shared = turned.groupBy("turn", "node").count().filter("count > 1").drop("count")
-    leaves = durable(turned.join(shared, ["turn", "node"]).select("turn", "bits"))
+    def key(turn: Column, node: Column) -> Column:
+        """Turn and node (of at most 56 bits) in one long: joins on it stay small in memory."""
+        return F.shiftleft(turn.cast("long"), 56).bitwiseOR(node)
+
+    turned = prints.select(F.posexplode(F.array(*[_rotated(F.col("fp"), s) for s in starts])).alias("turn", "bits"))
+    turned = turned.withColumn("node", key(F.col("turn"), prefix(F.col("bits"), first)))
+    shared = turned.groupBy("node").count().filter("count > 1").drop("count")
+    leaves = durable(turned.join(shared, "node").select("turn", "bits"))
 
     pairs = leaves.select("turn", prefix(F.col("bits"), first).alias("a")).distinct()
     pairs = pairs.select("turn", "a", F.col("a").alias("b"), F.lit(0).alias("errors"))
     for above, depth in zip(depths, depths[1:], strict=False):
-        nodes = leaves.select("turn", prefix(F.col("bits"), above).alias("parent"), prefix(F.col("bits"), depth).alias("child"))
-        nodes = nodes.distinct()
-        left = nodes.select(F.col("turn").alias("turn_a"), F.col("parent").alias("parent_a"), F.col("child").alias("child_a"))
-        right = nodes.select(F.col("turn").alias("turn_b"), F.col("parent").alias("parent_b"), F.col("child").alias("child_b"))
-        half = pairs.join(left, (F.col("turn") == F.col("turn_a")) & (F.col("a") == F.col("parent_a")))
+        nodes = leaves.select(
+            key(F.col("turn"), prefix(F.col("bits"), above)).alias("parent"), prefix(F.col("bits"), depth).alias("child")
+        ).distinct()
+        left = nodes.select(F.col("parent").alias("key_a"), F.col("child").alias("child_a"))
+        right = nodes.select(F.col("parent").alias("key_b"), F.col("child").alias("child_b"))
+        keyed = pairs.select("*", key(F.col("turn"), F.col("a")).alias("key_a"), key(F.col("turn"), F.col("b")).alias("key_b"))
         fresh = F.bit_count(F.col("child_a").bitwiseXOR(F.col("child_b")).bitwiseAND(F.lit((1 << (depth - above)) - 1)))
         within = F.col("errors") + fresh <= budget
         once = (F.col("a") != F.col("b")) | (F.col("child_a") <= F.col("child_b"))
-        pairs = half.join(right, (F.col("turn") == F.col("turn_b")) & (F.col("b") == F.col("parent_b")) & within & once).select(
+        half = keyed.join(left, "key_a").withColumnRenamed("key_b", "own_b")
+        pairs = half.join(right, (F.col("own_b") == F.col("key_b")) & within & once).select(
             "turn", F.col("child_a").alias("a"), F.col("child_b").alias("b"), (F.col("errors") + fresh).alias("errors")
         )
 
