@@ -156,20 +156,22 @@ def orthogonal(source, target, source_anchor, target_anchor, hint=()) -> list[tu
         inner = sorted(p[k] for p in hint[1:-1])
         middle = [(inner[(len(inner) - 1) // 2] + inner[len(inner) // 2]) / 2] if inner else []
         tracks.append({a[k], b[k], (a[k] + b[k]) / 2, min(low, a[k], b[k]), max(high, a[k], b[k]), *middle})
-    ways = [[(b[0], a[1])], [(a[0], b[1])]]
-    ways += [[(x, a[1]), (x, b[1])] for x in tracks[0]] + [[(a[0], y), (b[0], y)] for y in tracks[1]]
-    ways += [[(x, a[1]), (x, y), (b[0], y)] for x in tracks[0] for y in tracks[1]]
-    ways += [[(a[0], y), (x, y), (x, b[1])] for x in tracks[0] for y in tracks[1]]
-
     def cost(way) -> tuple:
         points = [start, a, *way, b, end]
         runs = list(zip(points, points[1:], strict=False))
         length = sum(abs(p[0] - q[0]) + abs(p[1] - q[1]) for p, q in runs)
         crossed = sum(_crosses(p, q, box) for p, q in runs[1:-1] for box in boxes)
         clean = simplified(points)
-        return (not _respects(clean, source_anchor[0], target_anchor[0]), crossed, length + 4 * len(clean), points)
+        return (not _respects(clean, source_anchor[0], target_anchor[0]), crossed, length + 4 * len(clean), clean)
 
-    return simplified(min(map(cost, ways))[-1])
+    ways = [[(b[0], a[1])], [(a[0], b[1])]]
+    ways += [[(x, a[1]), (x, b[1])] for x in tracks[0]] + [[(a[0], y), (b[0], y)] for y in tracks[1]]
+    best = min(map(cost, ways))
+    if best[0] or best[1]:  # no simple way is free: one more turn
+        ways = [[(x, a[1]), (x, y), (b[0], y)] for x in tracks[0] for y in tracks[1]]
+        ways += [[(a[0], y), (x, y), (x, b[1])] for x in tracks[0] for y in tracks[1]]
+        best = min(best, min(map(cost, ways)))
+    return best[-1]
 
 
 def _crosses(p, q, box) -> bool:

@@ -124,9 +124,9 @@ def known_language_files(spark, d):
     return w.nodes(spark, d).filter("type = 'File' and language is not null").select("id", "path", "language")
 
 
-@query(f"WITH {w.NODES} SELECT id, type, name, container_id FROM nodes WHERE id = 'EUROPE/FRANCE' OR id LIKE '%@7'")
+@query(f"WITH {w.NODES} SELECT id, type, name, container_id FROM nodes WHERE id = 'EUROPE/NATION_3' OR id LIKE '%@7'")
 def point_lookup(spark, d):
-    found = w.nodes(spark, d).filter((F.col("id") == "EUROPE/FRANCE") | F.endswith("id", F.lit("@7")))
+    found = w.nodes(spark, d).filter((F.col("id") == "EUROPE/NATION_3") | F.endswith("id", F.lit("@7")))
     return found.select("id", "type", "name", "container_id")
 
 
@@ -201,14 +201,14 @@ def _search(q: str) -> str:
     return f"""WITH {w.NODES} SELECT DISTINCT unnest(list_append(ancestors, id)) AS id FROM nodes WHERE contains(lower(name), lower('{q}'))"""
 
 
-@query(_search("an"))
+@query(_search("on_1"))
 def search_with_ancestors(spark, d):
-    return hierarchy.search(w.nodes(spark, d), "an")
+    return hierarchy.search(w.nodes(spark, d), "on_1")
 
 
-@query(_search("UNITED "))
+@query(_search("LE e"))
 def search_untrimmed(spark, d):
-    return hierarchy.search(w.nodes(spark, d), "UNITED ")
+    return hierarchy.search(w.nodes(spark, d), "LE e")
 
 
 @query(
@@ -303,11 +303,11 @@ def edge_colour_lookup(spark, d):
 
 
 @query(
-    f"""WITH {w.NODES}, {w.RAW}, below AS (SELECT id FROM nodes WHERE id = 'ASIA/INDIA' OR list_contains(ancestors, 'ASIA/INDIA'))
+    f"""WITH {w.NODES}, {w.RAW}, below AS (SELECT id FROM nodes WHERE id = 'EUROPE/NATION_3' OR list_contains(ancestors, 'EUROPE/NATION_3'))
     SELECT DISTINCT seq AS idx FROM raw WHERE source IN (SELECT id FROM below) OR target IN (SELECT id FROM below)"""
 )
 def hover_highlight(spark, d):
-    return view.highlighted(w.raw_edges(spark, d).withColumn("idx", F.col("seq")), w.nodes(spark, d), "ASIA/INDIA")
+    return view.highlighted(w.raw_edges(spark, d).withColumn("idx", F.col("seq")), w.nodes(spark, d), "EUROPE/NATION_3")
 
 
 def _draw_sql(level: str, opacity: float, width: float) -> str:
@@ -434,13 +434,13 @@ def repo_url(spark, d):
 
 
 @query(
-    f"""WITH {w.NODES}, n AS (SELECT id, name, instr(lower(name), 'an') AS i FROM nodes WHERE type <> 'CodeBlock')
-    SELECT id, CASE WHEN i = 0 THEN name ELSE substr(name, 1, i - 1) END AS before, CASE WHEN i = 0 THEN '' ELSE substr(name, i, 2) END AS match,
-    CASE WHEN i = 0 THEN '' ELSE substr(name, i + 2) END AS after FROM n"""
+    f"""WITH {w.NODES}, n AS (SELECT id, name, instr(lower(name), 'on_') AS i FROM nodes WHERE type <> 'CodeBlock')
+    SELECT id, CASE WHEN i = 0 THEN name ELSE substr(name, 1, i - 1) END AS before, CASE WHEN i = 0 THEN '' ELSE substr(name, i, 3) END AS match,
+    CASE WHEN i = 0 THEN '' ELSE substr(name, i + 3) END AS after FROM n"""
 )
 def highlight_split(spark, d):
     n = w.nodes(spark, d).filter("type <> 'CodeBlock'")
-    return n.withColumn("h", names.highlight(F.col("name"), F.lit("An"))).select("id", "h.before", "h.match", "h.after")
+    return n.withColumn("h", names.highlight(F.col("name"), F.lit("On_"))).select("id", "h.before", "h.match", "h.after")
 
 
 @query("SELECT * FROM (VALUES (0.01::DOUBLE, 'minimap', 0.2::DOUBLE, 0.5::DOUBLE), (0.05, 'overview', 0.5, 0.75), (0.1999, 'overview', 0.5, 0.75), (0.2, 'detail', 1.0, 1.0), (3.5, 'detail', 1.0, 1.0)) t(scale, level, opacity, width)")

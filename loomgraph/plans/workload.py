@@ -197,8 +197,9 @@ PLACE = """place AS (SELECT id, arg_max(c, depth) AS shown_id FROM (
     SELECT id, unnest(list_append(ancestors, id)) AS c, unnest(range(0, len(ancestors) + 1)) AS depth FROM nodes)
   WHERE c IN (SELECT id FROM lifted_to) GROUP BY id)"""
 ROLLED = f"""lifted_to AS (SELECT id FROM nodes WHERE type = 'Directory' AND id <> ''), {PLACE},
-lifted AS (SELECT a.shown_id AS s, b.shown_id AS t, raw.* FROM raw JOIN place a ON source = a.id JOIN place b ON target = b.id
-  WHERE a.shown_id <> b.shown_id AND NOT (a.shown_id = source AND b.shown_id = target)),
+up AS MATERIALIZED (SELECT place.shown_id AS s, raw.* FROM raw JOIN place ON source = place.id),
+across AS MATERIALIZED (SELECT place.shown_id AS t, up.* FROM up JOIN place ON target = place.id),
+lifted AS (SELECT * FROM across WHERE s <> t AND NOT (s = source AND t = target)),
 firsts AS (SELECT s, t, kind FROM (SELECT s, t, kind, row_number() OVER (PARTITION BY s, t ORDER BY seq, kind) AS k FROM lifted) WHERE k = 1),
 rolled AS (SELECT s AS source, t AS target, firsts.kind AS kind, CAST(count(*) AS BIGINT) AS count, CAST(sum(weight) AS BIGINT) AS weight
   FROM lifted JOIN firsts USING (s, t) GROUP BY s, t, firsts.kind)"""
