@@ -1,6 +1,7 @@
 """Connected components of a graph given as edges, by alternating large and small stars.
 
-Each round rewires every node to the smallest neighbour it knows, so long chains shrink by
+First, blocks of at most ``BLOCK`` edges are contracted to stars within tasks, whatever the number
+of edges; then stars are joined in rounds until nothing changes. Each round rewires every node to the smallest neighbour it knows, so long chains shrink by
 a constant factor per round. A round is two aggregations and two joins over the edges, written
 to the shared checkpoint folder; edges are never gathered for one node or on the driver,
 which sees only the count and checksum that tell whether a round changed anything.
@@ -8,12 +9,45 @@ which sees only the count and checksum that tell whether a round changed anythin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import durable
 
 
+#: Edges that one task contracts at a time, which bounds its memory.
+BLOCK = 200_000
+
+
+def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges (a, b) of a partition to edges (node, smallest node linked with it within a block)."""
+    root: dict[int, int] = {}
+    seen = 0
+
+    def find(node: int) -> int:
+        while (above := root.setdefault(node, node)) != node:
+            root[node] = node = root[above]
+        return node
+
+    def stars() -> pd.DataFrame:
+        pairs = [(n, find(n)) for n in list(root)]
+        return pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["a", "b"], dtype="int64")
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        seen += len(batch)
+        if seen >= BLOCK:
+            yield stars()
+            root.clear()
+            seen = 0
+    yield stars()
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -41,6 +75,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
+    n = _state(edges)[0]
+    edges = durable(edges.coalesce(max(1, -(-n // BLOCK))).mapInPandas(_contracted, "a long, b long").distinct())
     before = _state(edges)
     while before[0]:
         edges = durable(_small_star(_large_star(edges)))

@@ -5,8 +5,9 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
 import xxhash
-from loomgraph.llm import exact_dedup, simhash
+from loomgraph.llm import components, exact_dedup, simhash
 from loomgraph.llm.components import connected_components
 from pyspark.sql import functions as F
 
@@ -108,7 +109,9 @@ def brute_components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("block", [200_000, 10])
+def test_components_match_union_find(spark, monkeypatch, block):
+    monkeypatch.setattr(components, "BLOCK", block)
     rng = random.Random(6)
     links = [(i, i + 1) for i in range(100, 160)] + [(500, x) for x in range(501, 540)] + [(7, 7)]
     links += [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)]
