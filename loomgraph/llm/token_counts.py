@@ -1,14 +1,18 @@
 """Token counts per document without token ids.
 
-Every text is cut into pre-tokens; equal pre-tokens of a document are counted together; the
-pieces of a pre-token are counted once per Python worker, however often it occurs, and looked
-up by pre-token; frequency times pieces is summed. The lookup is local to the worker (its
-memory is bounded), so nothing is shuffled and no frequent pre-token makes a hot join key: a
-shuffled join would move a row for every pre-token of every document, more than the text.
+Every text is cut into pre-tokens and equal ones of a document are counted together. Documents
+are taken in blocks: for each distinct pre-token of a block, one row lists the documents that
+have it and how often, so frequent pre-tokens meet the shuffle once per block, not once per
+document. Each distinct pre-token of the whole table is then counted once, joined to those
+rows, and frequency times pieces is summed by document.
+
+The rows by block are written to the shared checkpoint folder first: they are read twice, and
+what identifies a document there must not change when a lost task runs again. Both sides of the
+join are read from files and shuffled for it, so the adaptive join can split a frequent pre-token.
 
 Defined results: null counts as empty, with no bytes and no tokens; special strings inside a
-text are one token each, as the library has it; equal rows are counted each. Extra columns are
-ignored.
+text are one token each, as the library has it; equal rows and rows without an id are counted
+each; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,28 +20,129 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import written
 from loomgraph.llm.tokenizing import VOCABULARY, TokenCounter
 
+#: (document, pre-token) pairs after which a block ends; with one document more, this bounds its memory.
+BLOCK = 1 << 18
+
+#: A row with a pre-token, or, one per block, a row that describes its documents.
+FREQUENCIES = pa.schema(
+    {
+        "block": pa.int64(),
+        "pre_token": pa.string(),
+        "mapped": pa.bool_(),
+        "place": pa.list_(pa.int32()),
+        "times": pa.list_(pa.int64()),
+        "doc_id": pa.list_(pa.int64()),
+        "n_bytes": pa.list_(pa.int64()),
+    }
+)
+FREQUENCIES_DDL = (
+    "block long, pre_token string, mapped boolean, place array<int>, times array<long>, doc_id array<long>, n_bytes array<long>"
+)
+#: Rows handed over at a time.
+SLICE = 1 << 14
+
+
+class _Block:
+    """Documents of one task, and which of their pre-tokens occur how often where."""
+
+    def __init__(self, number: int):
+        self.number, self.pairs = number, 0
+        self.specials, self.doc_ids, self.n_bytes = [], [], []
+        self.found: dict[tuple[str, bool], tuple[list, list]] = {}
+
+    def add(self, doc_id: int | None, n_bytes: int, specials: int, frequencies: Iterator[tuple[str, bool, int]]) -> None:
+        place = len(self.doc_ids)
+        self.doc_ids.append(doc_id)
+        self.n_bytes.append(n_bytes)
+        self.specials.append(specials)
+        for pre_token, mapped, times in frequencies:
+            places, counts = self.found.setdefault((pre_token, mapped), ([], []))
+            places.append(place)
+            counts.append(times)
+            self.pairs += 1
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        documents = (self.number, None, None, list(range(len(self.doc_ids))), self.specials, self.doc_ids, self.n_bytes)
+        yield self._batch([documents])
+        found = [(self.number, p, m, places, counts, None, None) for (p, m), (places, counts) in self.found.items()]
+        for at in range(0, len(found), SLICE):
+            yield self._batch(found[at : at + SLICE])
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, type=f.type) for c, f in zip(columns, FREQUENCIES, strict=True)], schema=FREQUENCIES
+        )
+
+
+def pre_token_frequencies(docs: DataFrame, vocabulary: str = VOCABULARY, block_pairs: int = BLOCK) -> DataFrame:
+    """(doc_id, n_bytes, text) to rows by block and pre-token."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, block = TokenCounter(vocabulary), None
+        for batch in batches:
+            for row in zip(*[batch.column(c) for c in ("row", "doc_id", "n_bytes", "text")], strict=True):
+                number, doc_id, n_bytes, text = (value.as_py() for value in row)
+                block = block or _Block(number)
+                block.add(doc_id, n_bytes, *counter.frequencies(text))
+                if block.pairs >= block_pairs:
+                    yield from block.rows()
+                    block = None
+        if block:
+            yield from block.rows()
+
+    return docs.select(F.monotonically_increasing_id().alias("row"), "*").mapInArrow(of_batches, FREQUENCIES_DDL)
+
+
+def piece_count(pre_token: Column, mapped: Column, vocabulary: str = VOCABULARY) -> Column:
+    """Number of pieces of a pre-token."""
 
-def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
     @F.pandas_udf("long")
-    def of_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         counter = TokenCounter(vocabulary)
-        for texts in batches:
-            yield pd.Series([counter.count(t) for t in texts], dtype="int64")
+        for pre_tokens, forms in batches:
+            yield pd.Series([counter.pieces_of(p, m) for p, m in zip(pre_tokens, forms, strict=True)], dtype="int64")
 
-    return of_batches(text)
+    return of_batches(pre_token, mapped)
 
 
 def count_tokens(
-    docs: DataFrame, *, limit: int = 512, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    *,
+    limit: int = 512,
+    vocabulary: str = VOCABULARY,
+    block_pairs: int = BLOCK,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit."""
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
+    named = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
-        token_count(F.col(text_col), vocabulary).alias("n_tokens"),
-    ).withColumn("over_limit", F.col("n_tokens") > limit)
+        F.col(text_col).alias("text"),
+    )
+    frequencies = written(pre_token_frequencies(named, vocabulary, block_pairs))
+    used = frequencies.filter("pre_token is not null").select("block", "pre_token", "mapped", "place", "times")
+    distinct = used.select("pre_token", "mapped").distinct()
+    pieces = written(distinct.withColumn("pieces", piece_count(F.col("pre_token"), F.col("mapped"), vocabulary)))
+    by_pre_token = used.join(pieces, ["pre_token", "mapped"]).select(
+        "block", "pieces", F.inline(F.arrays_zip("place", "times"))
+    )
+    documents = frequencies.filter("pre_token is null").select(
+        "block", F.inline(F.arrays_zip("place", "times", "doc_id", "n_bytes"))
+    )
+    tokens = by_pre_token.select("block", "place", (F.col("times") * F.col("pieces")).alias("tokens")).unionByName(
+        documents.select("block", "place", F.col("times").alias("tokens"), "doc_id", "n_bytes"), allowMissingColumns=True
+    )
+    return (
+        tokens.groupBy("block", "place")
+        .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
+        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    )

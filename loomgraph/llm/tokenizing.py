@@ -76,12 +76,31 @@ class TokenCounter:
         contents = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, contents)) or r"(?!)")
 
-    def _part(self, text: str) -> int:
+    def _found(self, text: str) -> tuple[Counter, bool]:
+        """Pre-tokens of a text without special strings, and whether they are in the library's byte alphabet."""
         if PLAIN.fullmatch(text):
-            found, pieces = Counter(_pattern().findall(text)), self.pieces
-        else:
-            found, pieces = Counter(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)), self.mapped
-        return sum(map(mul, found.values(), map(pieces.__getitem__, found)))
+            return Counter(_pattern().findall(text)), False
+        return Counter(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)), True
+
+    def _part(self, text: str) -> int:
+        found, mapped = self._found(text)
+        return sum(map(mul, found.values(), map((self.mapped if mapped else self.pieces).__getitem__, found)))
+
+    def frequencies(self, text: str | None) -> tuple[int, list[tuple[str, bool, int]]]:
+        """Number of special strings, and (pre-token, mapped, times) of the rest, each once."""
+        if not text:
+            return 0, []
+        sections = self.special.split(text)
+        plain, mapped = Counter(), Counter()
+        for part in (p for s in sections if s for p in parts(s)):
+            found, is_mapped = self._found(part)
+            (mapped if is_mapped else plain).update(found)
+        return len(sections) - 1, [(p, m, n) for m, counts in ((False, plain), (True, mapped)) for p, n in counts.items()]
+
+    def pieces_of(self, pre_token: str, mapped: bool) -> int:
+        if mapped:
+            return len(self.tokenizer.model.tokenize(pre_token))
+        return len(self.tokenizer.encode(pre_token, add_special_tokens=False))
 
     def count(self, text: str | None) -> int:
         if not text:

@@ -85,6 +85,11 @@ def test_token_counts_of_awkward_rows(docs, no_docs):
     assert token_counts.count_tokens(no_docs).count() == 0
 
 
+def test_block_size_does_not_change_token_counts(docs):
+    whole, cut = (sorted(map(str, token_counts.count_tokens(docs, **o).collect())) for o in ({}, {"block_pairs": 20}))
+    assert cut == whole
+
+
 KEY = "q7Zx9Lm2Vb4Nc8Kd1Ws5"
 SECRETS = [
     (f"Password: '{KEY}' end", [("assign", 0, 31)]),
