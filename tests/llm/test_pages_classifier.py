@@ -64,6 +64,31 @@ def test_differencing_against_the_nearest_page(spark, monkeypatch):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_copies_and_mirrors_delete_no_text(spark):
+    page = lambda *body: "<html><body><div>Site name</div>" + "".join(f"<p>{b}</p>" for b in body) + "<div>All rights</div></body></html>"
+    rows = [
+        (1, "http://h.org/a/1", page("one")),
+        (2, "http://h.org/a/2", page("two")),
+        (3, "http://h.org/b/9", page("nine")),
+        (3, "http://h.org/b/9", page("nine")),  # repeated row
+        (4, "http://h.org/b/9/mirror", page("nine")),
+        (5, "http://c.org/x/1", page("own", "copied passage")),
+        (6, "http://c.org/x/2", page("other", "copied passage")),
+        (7, "http://c.org/y", page("third")),
+        (8, "http://c.org/z", page("fourth")),
+        (9, "http://two.org/a", page("same")),
+        (10, "http://two.org/b", page("same")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = html_text.extract_text(pages).collect()
+    assert len(found) == len(rows)
+    whole = "Site name\nsame\nAll rights"
+    assert {(r.page_id, r.text) for r in found} == {
+        (1, "one"), (2, "two"), (3, "nine"), (4, "nine"), (5, "own\ncopied passage"), (6, "other\ncopied passage"),
+        (7, "third"), (8, "fourth"), (9, whole), (10, whole),
+    }
+
+
 def made_up(rng, good):
     words = ["".join(rng.choice(["an", "ther", "in", "tion", "re", "st"]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(30, 120))]
     return " ".join(words).capitalize() + "." if good else " ".join(w + rng.choice(["***", "$$$"]) for w in words)
