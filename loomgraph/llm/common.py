@@ -46,3 +46,8 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a number ``_row`` for each row, written so that a row has the same number in every use."""
+    return written(df.withColumn("_row", F.monotonically_increasing_id()))

@@ -1,0 +1,157 @@
+"""Near copies of a corpus: pairs whose word shingles have a Jaccard similarity of 0.8 or more.
+
+Candidates are texts that share a band of MinHash values: ``BANDS`` bands of ``ROWS`` values of the
+shingles. A pair of similarity s shares a band with chance ``1 - (1 - s ** ROWS) ** BANDS``, 99.96 % at
+0.8 and more above. Every candidate pair is then verified: the sizes of the intersection and the
+union of its shingle sets are counted, so no pair below ``least`` is a link.
+
+Not every pair of a band needs a look, as only components matter. First the texts of a band are
+verified against one of them, drawn for each band anew, so a large group of copies meets up to
+``BANDS`` members and takes pairs in proportion to its size. Then all pairs of a band that are still in
+different components are verified, each once. The components are those of all candidate links.
+
+Texts with equal shingle sets are one node. Shingle sets are computed again for the nodes of
+candidate pairs only and compared without Python.
+
+Defined results: letters A-Z are lower-cased; a text of fewer words than a shingle is one shingle; all
+null and wordless texts are copies of one another; of each component one row stays, that of the
+smallest id, rows without an id last, any one of rows with an equal id; an empty table gives no
+rows. Shingles are known by 64-bit hashes. Extra columns are kept.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from loomgraph.llm.common import durable, numbered
+from loomgraph.llm.components import connected_components
+
+SHINGLE = 5
+LEAST = 0.8
+BANDS, ROWS = 20, 5
+SEED = 42
+#: Shingles hashed at a time, which bounds memory for very long texts.
+BLOCK = 1 << 14
+
+_draw = np.random.default_rng(SEED)
+_FACTORS = _draw.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADDED = _draw.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes (uint64) of the word shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    span = min(shingle, len(words))
+    pairs = zip(starts[: len(words) - span + 1].tolist(), ends[span - 1 :].tolist(), strict=True)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[i:j], SEED) for i, j in pairs), dtype=np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band; none for no shingles."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), BLOCK):
+        least = np.minimum(least, (hashes[at : at + BLOCK] * _FACTORS + _ADDED).min(axis=1))
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
+def _sketch(text: Column, shingle: int) -> Column:
+    @F.pandas_udf("node long, n int, bands array<long>")
+    def of_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for one in texts:
+                hashes = shingles(one, shingle)
+                node = np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64)
+                rows.append((int(node), len(hashes), bands(hashes)))
+            yield pd.DataFrame(rows, columns=["node", "n", "bands"])
+
+    return of_batches(text)
+
+
+def _set_column(text: Column, shingle: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def of_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingles(one, shingle).view(np.int64) for one in texts], dtype=object)
+
+    return of_batches(text)
+
+
+def _pairs(sides: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b), a < b, of rows (x, n_x, y, n_y) whose sizes alone do not rule a link out."""
+    open_ones = sides.filter((F.col("x") != F.col("y")) & (F.least("n_x", "n_y") / F.greatest("n_x", "n_y") >= least))
+    return open_ones.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of at least ``least``."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"
+    )
+    shared = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"), (F.size("set_a") + F.size("set_b")).alias("sum"))
+    return shared.filter(F.col("shared") / (F.col("sum") - F.col("shared")) >= least).select("a", "b")
+
+
+def near_links(nodes: DataFrame, texts: DataFrame, *, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """(node, root) of the components that links join.
+
+    ``nodes`` is (node, n, bands, row) with a row for each distinct shingle set, ``texts`` (row, text).
+    """
+    dealt = nodes.select("node", "n", F.explode("bands").alias("key"))
+    chosen = dealt.groupBy("key").agg(
+        F.count(F.lit(1)).alias("times"), F.min_by(F.struct("node", "n"), F.struct(F.xxhash64("node", "key"), "node")).alias("one")
+    )
+    shared = durable(
+        dealt.join(chosen.filter("times > 1"), "key").select("key", "node", "n", F.col("one.node").alias("one"), F.col("one.n").alias("n_one"))
+    )
+    members = shared.select("node").distinct().join(nodes.select("node", "row"), "node")
+    sets = durable(texts.join(members, "row").select("node", _set_column(F.col("text"), shingle).alias("set")))
+    tested = durable(_pairs(shared.select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("one").alias("y"), F.col("n_one").alias("n_y")), least))
+    links = durable(_verified(tested, sets, least))
+
+    roots = connected_components(links)
+    labelled = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("label"))
+    by_label = labelled.groupBy("key", "label").count()
+    major = by_label.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
+    apart = durable(labelled.join(major.filter("labels > 1").drop("labels"), "key"))
+    left = apart.filter("label <> major").select("key", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"))
+    right = apart.select("key", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("label").alias("label_y"))
+    rest = _pairs(left.join(right, "key").filter("label_x <> label_y"), least).join(tested, ["a", "b"], "left_anti")
+    more = durable(_verified(rest, sets, least))
+    return connected_components(links.unionByName(more))
+
+
+def keep_one(
+    docs: DataFrame, *, shingle: int = SHINGLE, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each group of near copies."""
+    rows = numbered(docs)
+    read = rows.select("_row", F.col(id_col).alias("id"), _sketch(F.col(text_col), shingle).alias("s"))
+    nodes = durable(
+        read.groupBy("s.node").agg(
+            F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("first"), F.first("s.n").alias("n"), F.first("s.bands").alias("bands")
+        )
+    )
+    roots = near_links(
+        nodes.select("node", "n", "bands", F.col("first._row").alias("row")),
+        rows.select(F.col("_row").alias("row"), F.col(text_col).alias("text")),
+        shingle=shingle,
+        least=least,
+    )
+    groups = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
+    return rows.join(groups.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)

@@ -1,0 +1,86 @@
+"""The pipeline's near-copy stage against brute-force Jaccard similarity."""
+
+import random
+from collections import Counter
+from pathlib import Path
+
+import corpus_pipeline
+import pytest
+from loomgraph.llm import near_copies
+
+SF = "/root/testdata/sf0.001"
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def kept_by_brute_force(texts, least=0.8):
+    """Smallest index of each component of ``texts``."""
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for b in range(len(texts)):
+        for a in range(b):
+            if similarity(sets[a], sets[b]) >= least:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
+def edited(rng, words, times):
+    words = list(words)
+    for _ in range(times):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return words
+
+
+def test_stage_matches_brute_force_jaccard(spark):
+    rng = random.Random(8)
+    texts = [None, "", " \t", "one two", "One  two", "one two three", "a b c d e", "a b c d e f"]
+    for _ in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(40, 250))]
+        texts += [" ".join(edited(rng, base, rng.randrange(len(base) // 30 + 2))) for _ in range(6)]
+    hot = [f"h{i}" for i in range(200)]
+    texts += [" ".join(edited(rng, hot, rng.randrange(9))) for _ in range(60)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near(spark, docs, SF)
+    assert kept.columns == docs.columns
+    expected = kept_by_brute_force(texts)
+    assert {r.doc_id for r in kept.collect()} == expected
+    assert len(texts) - len(expected) > 40
+
+
+def test_pairs_left_by_the_drawn_text_are_found(spark):
+    """Links between texts of a band that are no links of the text drawn for it."""
+    words = [f"w{i}" for i in range(60)]
+    chain = [" ".join(words[k : k + 50]) for k in range(0, 10, 2)]  # neighbours are alike, the ends are not
+    docs = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == kept_by_brute_force(chain) == {0}
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
+def test_stage_on_a_given_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id")
+    rows = docs.collect()
+    expected = {rows[i].doc_id for i in kept_by_brute_force([r.text for r in rows])}
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()} == expected
+
+
+def test_rows_without_ids_and_repeated_ids(spark):
+    rows = [(None, "x y z"), (None, "x y z"), (None, "other text"), (5, "p q r"), (5, "p q r"), (5, "another"), (None, "p q r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter(map(tuple, near_copies.keep_one(docs).collect()))
+    assert found == Counter([(None, "x y z"), (None, "other text"), (5, "p q r"), (5, "another")])
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
