@@ -10,8 +10,8 @@ hash alone keep classes of their own; a hot class is split by the adaptive skew
 
 Defined results: a null text counts as the empty one; a row with a null id is kept only if no
 row of its group has an id; rows equal in id and text are one group of that size, and all
-rows with the smallest id are marked kept; an empty table gives no rows. Extra columns are
-ignored by :func:`find_copies`, kept by :func:`drop_copies`.
+rows with the smallest id are marked kept, where :func:`drop_copies` keeps one of them; an empty
+table gives no rows. Extra columns are ignored by :func:`find_copies`, kept by :func:`drop_copies`.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACES
+from loomgraph.llm.common import SPACES, numbered
 
 
 def normalised(text: Column) -> Column:
@@ -58,9 +58,13 @@ def find_copies(
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that repeat the text of a row with a smaller id."""
-    kept = find_copies(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """``docs`` with one row of each text: that of the smallest id, rows without an id last, any one of rows with an equal id."""
+    rows = numbered(docs)
+    read = rows.select("_row", F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
+    first = read.groupBy(content_hash(F.col("norm")).alias("hash"), "norm").agg(
+        F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("first")
+    )
+    return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 ORACLE = f"""

@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACES, word_count
+from loomgraph.llm.common import SPACES, numbered, word_count
 
 SEED = 20240517
 
@@ -47,10 +47,11 @@ def plan_mix(
     text_col: str = "text",
     source_col: str = "source",
     bucket_digits: int = 2,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, copies, taken.
+    """One row per document: id, source, size, source_size, target, copies, taken, and the columns ``carry``.
 
-    ``weights`` go to the sources in order of their names, repeating.
+    ``weights`` go to the sources in order of their names, repeating. ``carry`` also orders rows of one id and size.
     """
     order_key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
     sized = docs.select(
@@ -58,6 +59,7 @@ def plan_mix(
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
         order_key.alias("order_key"),
+        *carry,
     ).select(
         "*",
         F.substring("order_key", 1, bucket_digits).alias("bucket"),
@@ -110,7 +112,7 @@ def plan_mix(
 
     in_bucket = (
         Window.partitionBy(*keys)
-        .orderBy("order_key", "doc_id", "size")
+        .orderBy("order_key", "doc_id", "size", *carry)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     placed = sized.withColumn("upto", F.sum("size").over(in_bucket)).join(per_bucket, keys)
@@ -124,24 +126,25 @@ def plan_mix(
         "target",
         copies.cast("long").alias("copies"),
         (copies * F.col("size")).cast("long").alias("taken"),
+        *carry,
     )
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as the plan takes it, all columns kept.
 
-    Ids should be unique: a row is repeated by the plan of its id, the smallest if an id
-    repeats. Rows without an id follow the plan of the null id.
+    Each row has a plan of its own, also if its id repeats or is null: rows are numbered and the plan
+    carries the number. Rows without an id are put in the seeded order by their text.
     """
-    plan = (
-        plan_mix(docs, id_col=id_col, **options)
-        .groupBy(F.col("doc_id").alias("_mix_id"))
-        .agg(F.min("copies").alias("_mix_copies"))
-        .filter("_mix_copies > 0")
+    rows = numbered(docs)
+    content = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = rows.withColumn("_mix_text", content).withColumn(
+        "_mix_key", F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("no id "), F.col("_mix_text")))
     )
-    chosen = docs.join(plan, docs[id_col].eqNullSafe(F.col("_mix_id")))
-    repeated = chosen.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1).cast("long"), "_mix_copies")))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    plan = plan_mix(keyed, id_col="_mix_key", text_col=text_col, carry=("_mix_text", "_row"), **options)
+    taken = plan.filter("copies > 0").select("_row", F.col("copies").alias("_mix_copies"))
+    repeated = rows.join(taken, "_row").withColumn("_mix_turn", F.explode(F.sequence(F.lit(1).cast("long"), "_mix_copies")))
+    return repeated.select(*docs.columns)
 
 
 ORACLE = f"""

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import durable
+from loomgraph.llm.common import durable, numbered
 from loomgraph.llm.components import connected_components
 
 SEED = 42
@@ -150,9 +150,12 @@ def near_groups(
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, for each near-duplicate group.
+    """``docs`` with one row of each near-duplicate group.
 
-    Rows without an id cannot be told apart and stay.
+    It is the row of the smallest id, rows without an id last, any one of rows with an equal id.
     """
-    dropped = near_groups(docs, id_col=id_col, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped_id"))
-    return docs.join(dropped, docs[id_col] == F.col("_dropped_id"), "left_anti")
+    rows = numbered(docs)
+    groups = near_groups(rows, id_col="_row", **options).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select("_row", F.col(id_col).alias("id"))
+    first = groups.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("first"))
+    return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)

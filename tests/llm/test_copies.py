@@ -139,3 +139,10 @@ def test_groups_match_brute_force(spark, docs, no_docs):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, _, c in expected if i == c or i is None}
+
+
+@pytest.mark.parametrize("keep", [exact_dedup.drop_copies, simhash.keep_one])
+def test_rows_without_ids_and_repeated_ids_stay_once(spark, keep):
+    rows = [(None, "x y z"), (None, "x y z"), (None, "other text"), (5, "p q r"), (5, "p q r"), (5, "another"), (None, "p q r")]
+    found = keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found), key=str) == [(5, "another"), (5, "p q r"), (None, "other text"), (None, "x y z")]

@@ -61,6 +61,28 @@ def test_mix_repeats_rows(docs):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({i: n for i, n in copies.items() if n})
 
 
+def test_mix_decides_for_each_row(spark):
+    rng = random.Random(9)
+    rows = [
+        (None if i % 3 == 0 else i // 2, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 30))), f"s{rng.randrange(3)}")
+        for i in range(600)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += words(text)
+    target = water_filling(sizes, {"s0": 3, "s1": 1, "s2": 2}, 1.5 * sum(sizes.values()), 2)
+    mixed = mixing.mix(docs).collect()
+    taken, without_id = Counter(), 0
+    for r in mixed:
+        taken[r.source] += words(r.text)
+        without_id += r.doc_id is None
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= 15
+    assert without_id > len(mixed) / 5
+    assert Counter(map(tuple, mixed)) == Counter(map(tuple, mixing.mix(docs.repartition(5)).collect()))
+
+
 def test_clamped_everywhere(spark):
     one = spark.createDataFrame([(1, "a b c", "s"), (2, "", None)], "doc_id long, text string, source string")
     assert {r.doc_id: (r.target, r.taken) for r in mixing.plan_mix(one, share=5.0).collect()} == {1: (6.0, 6), 2: (0.0, 0)}
