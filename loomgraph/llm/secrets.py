@@ -3,10 +3,12 @@
 The patterns find assignments of credentials, access key ids and long hexadecimal runs. The
 entropy method looks at every run of key-like characters that is long enough: a window slides
 over it, the counts of its characters are updated by the one that enters and the one that leaves,
-and so is the sum of c * log2(c) that the entropy needs. Each character class (hexadecimal,
-base64) has a threshold of its own; windows at or above it are merged to a span. Allow-listed
-strings are known to be no secrets and give no entropy span. Spans inside a pattern's match are
-that match's.
+and so is the sum of c * log2(c) that the entropy needs. The whole run is judged as base64, and each
+of its pieces between ``+ / _ = -`` once more by the class of the characters in each window
+(hexadecimal, letters of one case with digits, letters of both cases with digits), each with a
+threshold of its own. Windows at or above it are merged to a span. Runs that are words, numbers or
+a UUID as a whole, and windows that hold a placeholder, give no entropy span. Spans inside a
+pattern's match are that match's.
 
 Positions are code points, the end exclusive. Defined results: a null or empty text has no
 spans; equal rows are scanned each; an empty table gives no rows. Extra columns are ignored.
@@ -32,20 +34,24 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 BASE_KINDS = KINDS[:3]
 
 WINDOW = 20
-#: Candidate strings of the entropy method; a run of either case of hexadecimal digits is judged as such.
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
-HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
-#: Bits per character that a window of each class needs. Words of a language stay below.
-HEX_BITS, BASE64_BITS = 3.0, 3.9
-#: Strings of these shapes are no secrets: words joined by hyphens or such, numbers, UUIDs, paths, placeholders.
+#: Pieces of fewer than ``WINDOW`` characters are one window, down to this length.
+SHORTEST = 16
+#: Candidate strings of the entropy method, and the pieces of them that are judged by window.
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+PIECE = re.compile(rf"[A-Za-z0-9]{{{SHORTEST},}}")
+HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+#: Bits per character that a window of each class needs: hexadecimal, one case and digits, both cases and digits, any run.
+HEX_BITS, ONE_CASE_BITS, MIXED_BITS, BASE64_BITS = 3.0, 3.5, 3.6, 3.9
+#: Runs of these shapes are no secrets: words joined by hyphens or such, numbers, UUIDs.
 ALLOWED = re.compile(
     r"""[A-Za-z]+(?:[-_/=][A-Za-z]+)*[=]*          # words only
     |[0-9]+(?:[-_/][0-9]+)*                        # numbers and dates
     |[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}
-    |.*(?:EXAMPLE|example|xxxx|XXXX|0000|1234567|placeholder|changeme).*
     """,
     re.VERBOSE,
 )
+#: A window that holds one of these is no secret.
+PLACEHOLDER = re.compile(r"EXAMPLE|example|xxxx|XXXX|0000|1234567|placeholder|changeme")
 LOG = [0.0, *(c * log2(c) for c in range(1, WINDOW + 1))]
 
 
@@ -71,6 +77,59 @@ def high_entropy(candidate: str, threshold: float, window: int = WINDOW) -> list
     return spans
 
 
+def key_windows(piece: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the windows of ``piece`` (letters and digits) that reach the threshold of their class."""
+    window = min(WINDOW, len(piece))
+    shift = log2(WINDOW / window)  # a short window has as much less entropy at most
+    counts: dict[str, int] = {}
+    weighted, digits, upper, other, found = 0.0, 0, 0, 0, []
+    for end, entering in enumerate(piece, 1):
+        c = counts.get(entering, 0)
+        counts[entering] = c + 1
+        weighted += LOG[c + 1] - LOG[c]
+        digits += entering.isdigit()
+        upper += entering.isupper()
+        other += entering not in HEX_DIGITS
+        if end < window:
+            continue
+        letters = window - digits
+        one_case = upper in (0, letters)
+        kind, bits = ("entropy_hex", HEX_BITS) if not other else ("entropy_base64", ONE_CASE_BITS if one_case else MIXED_BITS)
+        if letters and digits >= (2 if other and one_case else 1) and log2(window) - weighted / window >= bits - shift - 1e-9:
+            found.append((kind, end - window, end))
+        leaving = piece[end - window]
+        c = counts[leaving]
+        counts[leaving] = c - 1
+        weighted += LOG[c - 1] - LOG[c]
+        digits -= leaving.isdigit()
+        upper -= leaving.isupper()
+        other -= leaving not in HEX_DIGITS
+    return found
+
+
+def entropy_spans(run: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the spans of a candidate that are covered by windows of high entropy."""
+    if ALLOWED.fullmatch(run):
+        return []
+    marks = [m.span() for m in PLACEHOLDER.finditer(run)]
+    starts, ends = [0, *(b for _, b in marks)], [*(a for a, _ in marks), len(run)]
+    windows = []
+    for at, upto in zip(starts, ends, strict=True):
+        part = run[at:upto]
+        if not set(part) <= HEX_DIGITS:
+            windows += [("entropy_base64", a + at, b + at) for a, b in high_entropy(part, BASE64_BITS)]
+        for m in PIECE.finditer(part):
+            windows += [(kind, a + at + m.start(), b + at + m.start()) for kind, a, b in key_windows(m[0])]
+    spans: list[tuple[str, int, int]] = []
+    for kind, start, end in sorted(windows, key=lambda w: w[1:]):
+        if spans and start <= spans[-1][2]:
+            before = spans[-1]
+            spans[-1] = (max(before[0], kind, key=KINDS.index), before[1], max(before[2], end))
+        else:
+            spans.append((kind, start, end))
+    return spans
+
+
 def scan(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in order of start, then kind."""
     if not text:
@@ -80,10 +139,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     taken = [(start, end) for _, start, end in found]
     for m in CANDIDATE.finditer(text):
-        if ALLOWED.fullmatch(m[0]):
-            continue
-        kind, bits = ("entropy_hex", HEX_BITS) if HEX_ONLY.fullmatch(m[0]) else ("entropy_base64", BASE64_BITS)
-        for start, end in high_entropy(m[0], bits):
+        for kind, start, end in entropy_spans(m[0]):
             span = (start + m.start(), end + m.start())
             if not any(a < span[1] and span[0] < b for a, b in taken):
                 found.append((kind, *span))

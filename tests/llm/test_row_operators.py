@@ -114,6 +114,25 @@ def test_entropy_spans():
     assert secrets.scan(None) == secrets.scan("") == []
 
 
+def test_recall_on_random_keys():
+    rng = random.Random(12)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters, prefix in (
+        ("0123456789ABCDEF", "KEY_"), ("0123456789abcdef", "id-"), (lower + digits, ""), (lower + upper + digits, ""), (upper + digits, "a/b=")
+    ):
+        for size in (16, 20, 31, 40):
+            keys = ["".join(rng.choices(letters, k=size)) for _ in range(300)]
+            assert sum(bool(secrets.scan(f"use {prefix}{k} now")) for k in keys) >= 0.9 * len(keys), (letters, size)
+
+
+def test_placeholders_clear_only_their_windows():
+    key = "q7Zt3LmX9vBc2RkP5wHs8DnF"
+    for run in (f"{key}0000", f"example_{key}", f"{key}EXAMPLE{key}"):
+        assert any(end - start >= 20 for _, start, end in secrets.scan(run)), run
+    for run in ("this-is-a-longer-name_of_words", "2024-01-02-2024-01-02-99", "123e4567-e89b-12d3-a456-426614174000", "xxxxxxxxxxxxxxxxxxxxxxxx1"):
+        assert secrets.scan(run) == []
+
+
 def direct_entropy(s):
     return -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s))
 
