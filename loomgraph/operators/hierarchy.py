@@ -5,6 +5,8 @@ Sets of ids (visible, expanded, shown) are DataFrames with a column ``id``.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,16 +33,23 @@ def closure(nodes: DataFrame) -> DataFrame:
 def closure_by_recursion(nodes: DataFrame) -> DataFrame:
     """The same from ``container_id`` alone, for trees without path ids: (id, ancestor).
 
-    One recursive query; Spark stops it beyond ``spark.sql.cteRecursionLevelLimit`` levels.
+    Each round doubles the distance that is known, so a tree of n levels takes log2(n) rounds, each
+    written to the shared checkpoint folder; neither levels nor rows are limited. A cycle raises.
     """
-    return nodes.sparkSession.sql(
-        """WITH RECURSIVE up AS (
-             SELECT id, container_id AS ancestor FROM {nodes} WHERE container_id IS NOT NULL
-             UNION ALL
-             SELECT up.id, n.container_id FROM up JOIN {nodes} n ON up.ancestor = n.id WHERE n.container_id IS NOT NULL)
-           SELECT id, ancestor FROM up""",
-        nodes=nodes,
-    )
+    context = nodes.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = nodes.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
+    jump = nodes.select("id", F.col("container_id").alias("ancestor")).filter("ancestor is not null").checkpoint()
+    found = jump  # ancestors up to the distance of ``jump``
+    while not jump.isEmpty():
+        if not found.filter("id = ancestor").isEmpty():
+            raise ValueError("containers form a cycle")
+        start = jump.select(F.col("id").alias("start"), F.col("ancestor").alias("id"))
+        further = start.join(found, "id").select(F.col("start").alias("id"), "ancestor")
+        longer = start.join(jump, "id").select(F.col("start").alias("id"), "ancestor")
+        found, jump = found.unionByName(further).checkpoint(), longer.checkpoint()
+    return found
 
 
 def subtree(nodes: DataFrame, node_id: str) -> DataFrame:

@@ -234,3 +234,19 @@ def test_progress_in_batch_and_as_a_stream(spark, tmp_path):
     again = progress.fold(progress.file_events(results, "r")).first()
     assert (again.parsed_files, again.parsed_blocks, again.n_errors) == (2, 3, 1)
     assert tuple(progress.run_totals(results).first()) == (2, 3)
+
+
+def test_closure_without_paths_has_no_limit_of_rows_or_levels(spark):
+    chain = [(str(i), str(i - 1) if i else None) for i in range(150)] + [("lone", None), ("twig", "3")]
+    nodes = spark.createDataFrame(chain, "id string, container_id string")
+    found = sorted((r.id, r.ancestor) for r in hierarchy.closure_by_recursion(nodes).collect())
+    assert found == sorted([(str(i), str(j)) for i in range(150) for j in range(i)] + [("twig", str(j)) for j in range(4)])
+    assert hierarchy.closure_by_recursion(nodes.limit(0)).count() == 0
+    limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")  # a stand-in for the default of a million
+    try:
+        assert hierarchy.closure_by_recursion(nodes.filter("id < '2'")).count() > 50
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
+    with pytest.raises(ValueError):
+        hierarchy.closure_by_recursion(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "id string, container_id string"))
