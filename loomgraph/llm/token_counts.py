@@ -1,116 +1,199 @@
 """Token counts per document without token ids.
 
 Every text is cut into pre-tokens and equal ones of a document are counted together. Documents
-are taken in blocks: for each distinct pre-token of a block, one row lists the documents that
-have it and how often, so frequent pre-tokens meet the shuffle once per block, not once per
-document. Each distinct pre-token of the whole table is then counted once, joined to those
-rows, and frequency times pieces is summed by document.
+are taken in blocks. A block keeps a sparse matrix of its documents and its distinct pre-tokens
+(which document has which one how often); the pre-tokens themselves are dealt by hash to
+``buckets`` slices. One shuffle brings the slices of a bucket together, where each distinct
+pre-token is counted once; the numbers of pieces then go back to the block and are multiplied with
+its matrix. A pre-token that is in every document is in a slice once per block, whatever its
+frequency, so no bucket is hot, and a slice crosses the shuffle as one compressed row, not as a row
+for each pre-token.
 
-The rows by block are written to the shared checkpoint folder first: they are read twice, and
-what identifies a document there must not change when a lost task runs again. Both sides of the
-join are read from files and shuffled for it, so the adaptive join can split a frequent pre-token.
+Blocks are written to the shared checkpoint folder first: they are read twice, and what identifies
+a document there must not change when a lost task runs again.
+
+A task holds one block (``block_pairs`` pairs and one document more), or the distinct pre-tokens of
+one bucket and the slices of an Arrow batch. A very long text is a block of its own and is cut
+into parts only in front of white space, where no pre-token can span, so it is counted whole.
 
 Defined results: null counts as empty, with no bytes and no tokens; special strings inside a
 text are one token each, as the library has it; equal rows and rows without an id are counted
-each; an empty table gives no rows. Extra columns are ignored.
+each; an empty table gives no rows. Ids may have any type that survives a cast to string and
+back. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import written
-from loomgraph.llm.tokenizing import VOCABULARY, TokenCounter
+from loomgraph.llm.tokenizing import VOCABULARY, PreTokens
 
 #: (document, pre-token) pairs after which a block ends; with one document more, this bounds its memory.
-BLOCK = 1 << 18
+BLOCK = 1 << 19
+#: Buckets of pre-tokens: one for so many documents, between the two bounds. Any number gives the same counts.
+DOCUMENTS_PER_BUCKET, FEWEST_BUCKETS, MOST_BUCKETS = 4096, 32, 4096
 
-#: A row with a pre-token, or, one per block, a row that describes its documents.
-FREQUENCIES = pa.schema(
+#: A slice of a block's pre-tokens (``slot`` is not null), or the block's documents and matrix.
+BLOCKS = pa.schema(
     {
         "block": pa.int64(),
-        "pre_token": pa.string(),
-        "mapped": pa.bool_(),
-        "place": pa.list_(pa.int32()),
-        "times": pa.list_(pa.int64()),
-        "doc_id": pa.list_(pa.int64()),
+        "slot": pa.int32(),
+        "strings": pa.binary(),
+        "doc_id": pa.list_(pa.string()),
         "n_bytes": pa.list_(pa.int64()),
+        "specials": pa.list_(pa.int64()),
+        "place": pa.binary(),
+        "string": pa.binary(),
+        "times": pa.binary(),
     }
 )
-FREQUENCIES_DDL = (
-    "block long, pre_token string, mapped boolean, place array<int>, times array<long>, doc_id array<long>, n_bytes array<long>"
+BLOCKS_DDL = (
+    "block long, slot int, strings binary, doc_id array<string>, n_bytes array<long>, specials array<long>, "
+    "place binary, string binary, times binary"
 )
-#: Rows handed over at a time.
-SLICE = 1 << 14
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(numbers.astype("<u4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), dtype="<u4")
+
+
+def packed_strings(strings: list[bytes]) -> bytes:
+    """UTF-8 strings as their number, their lengths and their bytes."""
+    lengths = np.array([len(strings), *map(len, strings)], dtype="<u4")
+    return zstandard.compress(lengths.tobytes() + b"".join(strings), 1)
+
+
+def unpacked_strings(data: bytes) -> list[str]:
+    data = zstandard.decompress(data)
+    n = int.from_bytes(data[:4], "little")
+    ends = np.cumsum(np.frombuffer(data, dtype="<u4", count=n, offset=4), dtype=np.int64) + 4 * (n + 1)
+    starts = np.concatenate(([4 * (n + 1)], ends[:-1]))
+    return [data[i:j].decode("utf-8", "surrogatepass") for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 class _Block:
-    """Documents of one task, and which of their pre-tokens occur how often where."""
+    """Documents of one task and the frequencies of their pre-tokens, pre-tokens of each form apart."""
 
     def __init__(self, number: int):
-        self.number, self.pairs = number, 0
-        self.specials, self.doc_ids, self.n_bytes = [], [], []
-        self.found: dict[tuple[str, bool], tuple[list, list]] = {}
-
-    def add(self, doc_id: int | None, n_bytes: int, specials: int, frequencies: Iterator[tuple[str, bool, int]]) -> None:
-        place = len(self.doc_ids)
-        self.doc_ids.append(doc_id)
+        self.number = number
+        self.doc_id, self.n_bytes, self.specials = [], [], []
+        self.names: tuple[list[str], list[str]] = ([], [])
+        self.times: tuple[list[int], list[int]] = ([], [])
+        self.sizes: tuple[list[int], list[int]] = ([], [])
+
+    def add(self, doc_id: str | None, n_bytes: int, specials: int, frequencies: tuple[Counter, Counter]) -> None:
+        self.doc_id.append(doc_id)
         self.n_bytes.append(n_bytes)
         self.specials.append(specials)
-        for pre_token, mapped, times in frequencies:
-            places, counts = self.found.setdefault((pre_token, mapped), ([], []))
-            places.append(place)
-            counts.append(times)
-            self.pairs += 1
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        documents = (self.number, None, None, list(range(len(self.doc_ids))), self.specials, self.doc_ids, self.n_bytes)
-        yield self._batch([documents])
-        found = [(self.number, p, m, places, counts, None, None) for (p, m), (places, counts) in self.found.items()]
-        for at in range(0, len(found), SLICE):
-            yield self._batch(found[at : at + SLICE])
-
-    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, type=f.type) for c, f in zip(columns, FREQUENCIES, strict=True)], schema=FREQUENCIES
+        for form, found in enumerate(frequencies):
+            self.names[form].extend(found)
+            self.times[form].extend(found.values())
+            self.sizes[form].append(len(found))
+
+    def pairs(self) -> int:
+        return len(self.names[0]) + len(self.names[1])
+
+    def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The slices in order of their slots, then the documents; the matrix counts the strings of all slices in that order."""
+        named, slots, columns, before = [], [], [], 0
+        for form, names in enumerate(self.names):
+            coded = pa.array(names, pa.string()).dictionary_encode()
+            distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+            named += distinct
+            slots.append(np.array([zlib.crc32(s) % buckets * 2 + form for s in distinct], dtype=np.int64))
+            columns.append(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + before)
+            before += len(distinct)
+        slot = np.concatenate(slots)
+        order = np.argsort(slot, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        found, starts = np.unique(slot[order], return_index=True)
+        for at, start, end in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+            yield self._row(slot=at, strings=packed_strings([named[i] for i in order[start:end].tolist()]))
+        yield self._row(
+            doc_id=self.doc_id,
+            n_bytes=self.n_bytes,
+            specials=self.specials,
+            place=packed(np.concatenate([np.repeat(np.arange(len(s)), s) for s in self.sizes])),
+            string=packed(rank[np.concatenate(columns)]),
+            times=packed(np.array(self.times[0] + self.times[1], dtype=np.int64)),
         )
 
+    def _row(self, **values) -> pa.RecordBatch:
+        row = {"block": self.number, **values}
+        return pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], type=f.type) for f in BLOCKS], schema=BLOCKS)
+
 
-def pre_token_frequencies(docs: DataFrame, vocabulary: str = VOCABULARY, block_pairs: int = BLOCK) -> DataFrame:
-    """(doc_id, n_bytes, text) to rows by block and pre-token."""
+def frequency_blocks(docs: DataFrame, buckets: int, vocabulary: str = VOCABULARY, block_pairs: int = BLOCK) -> DataFrame:
+    """(doc_id string, n_bytes, text) to slices and matrices."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, block = TokenCounter(vocabulary), None
+        pre_tokens, block = PreTokens(vocabulary), None
         for batch in batches:
             for row in zip(*[batch.column(c) for c in ("row", "doc_id", "n_bytes", "text")], strict=True):
                 number, doc_id, n_bytes, text = (value.as_py() for value in row)
                 block = block or _Block(number)
-                block.add(doc_id, n_bytes, *counter.frequencies(text))
-                if block.pairs >= block_pairs:
-                    yield from block.rows()
+                block.add(doc_id, n_bytes, *pre_tokens.frequencies(text))
+                if block.pairs() >= block_pairs:
+                    yield from block.rows(buckets)
                     block = None
         if block:
-            yield from block.rows()
+            yield from block.rows(buckets)
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "*").mapInArrow(of_batches, FREQUENCIES_DDL)
+    return docs.select(F.monotonically_increasing_id().alias("row"), "*").mapInArrow(of_batches, BLOCKS_DDL)
 
 
-def piece_count(pre_token: Column, mapped: Column, vocabulary: str = VOCABULARY) -> Column:
-    """Number of pieces of a pre-token."""
+def count_pieces(slices: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(block, slot, strings), slots together and in order, to (block, slot, pieces): each pre-token of a slot is counted once."""
+    out = pa.schema({"block": pa.int64(), "slot": pa.int32(), "pieces": pa.binary()})
 
-    @F.pandas_udf("long")
-    def of_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        counter = TokenCounter(vocabulary)
-        for pre_tokens, forms in batches:
-            yield pd.Series([counter.pieces_of(p, m) for p, m in zip(pre_tokens, forms, strict=True)], dtype="int64")
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pre_tokens, current, known = PreTokens(vocabulary), None, {}
+        for batch in batches:
+            pieces = []
+            for slot, strings in zip(batch.column("slot").to_pylist(), batch.column("strings").to_pylist(), strict=True):
+                if slot != current:
+                    current, known = slot, {}
+                names = unpacked_strings(strings)
+                for name in names:
+                    if name not in known:
+                        known[name] = pre_tokens.pieces_of(name, bool(slot % 2))
+                pieces.append(packed(np.array([known[name] for name in names], dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("slot"), pa.array(pieces, pa.binary())], schema=out)
+
+    return slices.mapInArrow(of_batches, "block long, slot int, pieces binary")
 
-    return of_batches(pre_token, mapped)
+
+def _document_tokens(blocks: DataFrame) -> DataFrame:
+    """Blocks with the ``pieces`` of all their slices, in order, to a row per document."""
+    out = pa.schema({"doc_id": pa.string(), "n_bytes": pa.int64(), "n_tokens": pa.int64()})
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
+                tokens = np.array(block["specials"], dtype=np.int64)
+                if block["pieces"]:
+                    pieces = np.concatenate([unpacked(p) for p in block["pieces"]]).astype(np.int64)
+                    counts = pieces[unpacked(block["string"])] * unpacked(block["times"])
+                    tokens += np.bincount(unpacked(block["place"]), weights=counts, minlength=len(tokens)).astype(np.int64)
+                columns = [pa.array(block["doc_id"], pa.string()), pa.array(block["n_bytes"], pa.int64()), pa.array(tokens)]
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
+
+    return blocks.mapInArrow(of_batches, "doc_id string, n_bytes long, n_tokens long")
 
 
 def count_tokens(
@@ -119,30 +202,27 @@ def count_tokens(
     limit: int = 512,
     vocabulary: str = VOCABULARY,
     block_pairs: int = BLOCK,
+    buckets: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit."""
     named = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(id_col).cast("string").alias("doc_id"),
         F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
         F.col(text_col).alias("text"),
     )
-    frequencies = written(pre_token_frequencies(named, vocabulary, block_pairs))
-    used = frequencies.filter("pre_token is not null").select("block", "pre_token", "mapped", "place", "times")
-    distinct = used.select("pre_token", "mapped").distinct()
-    pieces = written(distinct.withColumn("pieces", piece_count(F.col("pre_token"), F.col("mapped"), vocabulary)))
-    by_pre_token = used.join(pieces, ["pre_token", "mapped"]).select(
-        "block", "pieces", F.inline(F.arrays_zip("place", "times"))
-    )
-    documents = frequencies.filter("pre_token is null").select(
-        "block", F.inline(F.arrays_zip("place", "times", "doc_id", "n_bytes"))
-    )
-    tokens = by_pre_token.select("block", "place", (F.col("times") * F.col("pieces")).alias("tokens")).unionByName(
-        documents.select("block", "place", F.col("times").alias("tokens"), "doc_id", "n_bytes"), allowMissingColumns=True
-    )
-    return (
-        tokens.groupBy("block", "place")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, max(FEWEST_BUCKETS, -(-docs.count() // DOCUMENTS_PER_BUCKET)))
+    blocks = written(frequency_blocks(named, buckets, vocabulary, block_pairs))
+    slices = blocks.filter("slot is not null").select("block", "slot", "strings")
+    pieces = count_pieces(slices.repartition("slot").sortWithinPartitions("slot"), vocabulary)
+    by_block = pieces.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("slot", "pieces"))).alias("slices"))
+    matrices = blocks.filter("slot is null").drop("slot", "strings")
+    joined = matrices.join(by_block, "block", "left").select("doc_id", "n_bytes", "specials", "place", "string", "times", F.col("slices.pieces").alias("pieces"))
+    return _document_tokens(joined).select(
+        F.col("doc_id").cast(docs.select(id_col).schema[0].dataType).alias("doc_id"),
+        "n_bytes",
+        "n_tokens",
+        (F.col("n_tokens") > limit).alias("over_limit"),
     )

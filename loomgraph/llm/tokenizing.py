@@ -7,15 +7,12 @@ import os
 import re
 from collections import Counter
 from functools import lru_cache
-from operator import mul
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Characters whose classes agree in all versions of Unicode that the libraries may carry.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-ɏ‐-―‘-‟•…€]*")
-#: Pre-tokens remembered per Python worker; beyond, the memory starts afresh.
-REMEMBERED = 1 << 19
 #: Longer texts are counted in parts, cut in front of white space, where no pre-token can span.
 PART = 1 << 20
 
@@ -43,71 +40,32 @@ def _pattern():
     return regex.compile(public_tokenizers.PATTERN)
 
 
-class _Pieces(dict):
-    """Pre-token -> number of its pieces, counted when first asked for."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, pre_token: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        n = self[pre_token] = len(self.tokenizer.encode(pre_token, add_special_tokens=False))
-        return n
-
-
-class _MappedPieces(_Pieces):
-    """The same for pre-tokens that the library has mapped to its byte alphabet."""
-
-    def __missing__(self, pre_token: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        n = self[pre_token] = len(self.tokenizer.model.tokenize(pre_token))
-        return n
-
-
-class TokenCounter:
-    """Counts tokens from pre-token frequencies; ids of a text are never built."""
+class PreTokens:
+    """Cuts texts into pre-tokens and counts the pieces of one; ids of a text are never built."""
 
     def __init__(self, name: str = VOCABULARY):
         self.tokenizer = _tokenizer(name)
-        self.pieces, self.mapped = _Pieces(self.tokenizer), _MappedPieces(self.tokenizer)
         contents = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, contents)) or r"(?!)")
 
-    def _found(self, text: str) -> tuple[Counter, bool]:
-        """Pre-tokens of a text without special strings, and whether they are in the library's byte alphabet."""
-        if PLAIN.fullmatch(text):
-            return Counter(_pattern().findall(text)), False
-        return Counter(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)), True
-
-    def _part(self, text: str) -> int:
-        found, mapped = self._found(text)
-        return sum(map(mul, found.values(), map((self.mapped if mapped else self.pieces).__getitem__, found)))
-
-    def frequencies(self, text: str | None) -> tuple[int, list[tuple[str, bool, int]]]:
-        """Number of special strings, and (pre-token, mapped, times) of the rest, each once."""
+    def frequencies(self, text: str | None) -> tuple[int, tuple[Counter, Counter]]:
+        """Number of special strings, and how often the rest has each pre-token: as it stands, or in the library's byte alphabet."""
+        plain, mapped = Counter(), Counter()
         if not text:
-            return 0, []
+            return 0, (plain, mapped)
         sections = self.special.split(text)
-        plain, mapped = Counter(), Counter()
         for part in (p for s in sections if s for p in parts(s)):
-            found, is_mapped = self._found(part)
-            (mapped if is_mapped else plain).update(found)
-        return len(sections) - 1, [(p, m, n) for m, counts in ((False, plain), (True, mapped)) for p, n in counts.items()]
+            if PLAIN.fullmatch(part):
+                plain.update(_pattern().findall(part))
+            else:
+                mapped.update(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part))
+        return len(sections) - 1, (plain, mapped)
 
     def pieces_of(self, pre_token: str, mapped: bool) -> int:
         if mapped:
             return len(self.tokenizer.model.tokenize(pre_token))
         return len(self.tokenizer.encode(pre_token, add_special_tokens=False))
 
-    def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        sections = self.special.split(text)
-        return len(sections) - 1 + sum(self._part(p) for s in sections if s for p in parts(s))
-
 
 def parts(text: str, size: int = PART) -> list[str]:
     """``text`` cut in front of white space that follows other characters, about ``size`` each."""

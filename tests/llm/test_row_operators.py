@@ -57,37 +57,56 @@ def random_text(rng):
     return "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 300)))
 
 
-def test_token_counts_and_ids_match_the_library():
-    tokenizer = tokenizing._tokenizer(tokenizing.VOCABULARY)
+def library_ids(text):
+    return tokenizing._tokenizer(tokenizing.VOCABULARY).encode(text, add_special_tokens=False).ids
+
+
+def odd_texts():
     rng = random.Random(1)
-    counter, encoder = tokenizing.TokenCounter(), tokenizing.TokenIds()
-    for text in ODD + [random_text(rng) for _ in range(1500)]:
-        ids = tokenizer.encode(text, add_special_tokens=False).ids
-        assert counter.count(text) == len(ids), text
-        assert encoder.ids(text).tolist() == ids, text
+    runs = [c * n for n in (398, 399, 400, 401, 1201) for c in ("x", "ab", "a1-", "é", "日")]
+    return ODD + runs + [f"{r} tail" for r in runs[:10]] + [random_text(rng) for _ in range(1500)]
+
+
+def test_ids_match_the_library():
+    encoder = tokenizing.TokenIds()
+    for text in odd_texts():
+        assert encoder.ids(text).tolist() == library_ids(text), text
+
+
+@pytest.mark.parametrize("options", [{}, {"block_pairs": 40}, {"buckets": 1}, {"buckets": 5000, "block_pairs": 3000}])
+def test_token_counts_match_the_library(spark, options):
+    texts = odd_texts()
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(rows, **options).collect()}
+    sizes = [len(library_ids(t)) for t in texts]
+    assert found == {i: (len(t.encode()), n, n > 512) for i, (t, n) in enumerate(zip(texts, sizes, strict=True))}
 
 
 def test_parts_do_not_change_counts():
     rng = random.Random(2)
-    counter = tokenizing.TokenCounter()
+    pre_tokens = tokenizing.PreTokens()
     for _ in range(200):
         text = random_text(rng) * 3
         pieces = tokenizing.parts(text, 40)
         assert "".join(pieces) == text
-        assert sum(map(counter._part, pieces)) == counter._part(text)
+        assert sum(len(library_ids(p)) for p in pieces) == len(library_ids(text)) or "<|endoftext|>" in text
+        _, (plain, mapped) = pre_tokens.frequencies(text)
+        assert not (plain and mapped)
 
 
 def test_token_counts_of_awkward_rows(docs, no_docs):
-    tokenizer = tokenizing._tokenizer(tokenizing.VOCABULARY)
-    expected = sorted((r.doc_id if r.doc_id is not None else -1, len((r.text or "").encode()), len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
-    found = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(docs).collect())
-    assert found == expected
+    expected = sorted((r.doc_id if r.doc_id is not None else -1, len((r.text or "").encode()), len(library_ids(r.text or ""))) for r in docs.collect())
+    for frame in (docs, docs.withColumnsRenamed({"kept": "block", "size": "slot", "fp": "row", "bucket": "strings"})):
+        found = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(frame).collect())
+        assert found == expected
     assert token_counts.count_tokens(no_docs).count() == 0
 
 
-def test_block_size_does_not_change_token_counts(docs):
-    whole, cut = (sorted(map(str, token_counts.count_tokens(docs, **o).collect())) for o in ({}, {"block_pairs": 20}))
-    assert cut == whole
+def test_token_counts_keep_the_type_of_ids(spark):
+    rows = spark.createDataFrame([("a-1", "one two"), (None, "three")], "name string, body string")
+    found = token_counts.count_tokens(rows, id_col="name", text_col="body")
+    assert dict(found.dtypes)["doc_id"] == "string"
+    assert {(r.doc_id, r.n_tokens) for r in found.collect()} == {("a-1", len(library_ids("one two"))), (None, len(library_ids("three")))}
 
 
 KEY = "q7Zx9Lm2Vb4Nc8Kd1Ws5"
