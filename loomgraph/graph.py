@@ -79,6 +79,11 @@ class CodeGraph:
         results = job.results_of(self.sites).withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
         return progress.file_events(results, run_id)
 
+    def release(self) -> None:
+        """Give up what the parse keeps cached; later uses extract again."""
+        if self.sites is not None:
+            self.sites.unpersist()
+
     def node(self, node_id: str) -> DataFrame:
         return self.nodes.filter(F.col("id") == node_id)
 

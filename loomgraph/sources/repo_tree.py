@@ -138,4 +138,6 @@ def check_root(path: str) -> None:
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known to a session, and let Spark hand it filters: off by default, without it the reader cannot be planned."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RepoTree)

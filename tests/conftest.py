@@ -19,7 +19,6 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
-        .config("spark.sql.python.filterPushdown.enabled", "true")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -149,6 +149,15 @@ def test_scan_and_parse(spark, repo, tmp_path_factory):
     assert nodes.count() == parsed.nodes.count() and again.count() == 5 and root.first().root == ""
 
 
+def test_a_session_with_default_settings_can_scan(spark, repo):
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert spark.conf.get("spark.sql.python.filterPushdown.enabled") == "false"
+    parsed = CodeGraph.scan(spark, str(repo)).parse()
+    assert parsed.counts()[1] == 5
+    parsed.release()
+    assert parsed.edges.count() == 5
+
+
 def test_source_filters_and_paths(spark, repo):
     repo_tree.register(spark)
     df = spark.read.format("repo_tree").option("content", "true").load(str(repo))
