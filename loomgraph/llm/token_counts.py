@@ -51,23 +51,25 @@ BLOCKS = pa.schema(
         "doc_id": pa.list_(pa.string()),
         "n_bytes": pa.list_(pa.int64()),
         "specials": pa.list_(pa.int64()),
+        "documents": pa.binary(),
         "place": pa.binary(),
-        "string": pa.binary(),
         "times": pa.binary(),
     }
 )
 BLOCKS_DDL = (
     "block long, slot int, strings binary, doc_id array<string>, n_bytes array<long>, specials array<long>, "
-    "place binary, string binary, times binary"
+    "documents binary, place binary, times binary"
 )
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    return zstandard.compress(numbers.astype("<u4").tobytes(), 1)
+    """Numbers under 2 ** 32, first their low bytes, last their high ones, which compress to nothing."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), dtype="<u4")
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def packed_strings(strings: list[bytes]) -> bytes:
@@ -107,7 +109,7 @@ class _Block:
         return len(self.names[0]) + len(self.names[1])
 
     def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
-        """The slices in order of their slots, then the documents; the matrix counts the strings of all slices in that order."""
+        """The slices in order of their slots, then the documents, with the matrix by string in the order of all slices."""
         named, slots, columns, before = [], [], [], 0
         for form, names in enumerate(self.names):
             coded = pa.array(names, pa.string()).dictionary_encode()
@@ -123,13 +125,16 @@ class _Block:
         found, starts = np.unique(slot[order], return_index=True)
         for at, start, end in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
             yield self._row(slot=at, strings=packed_strings([named[i] for i in order[start:end].tolist()]))
+        string = rank[np.concatenate(columns)]
+        by_string = np.argsort(string, kind="stable")
+        place = np.concatenate([np.repeat(np.arange(len(s)), s) for s in self.sizes])
         yield self._row(
             doc_id=self.doc_id,
             n_bytes=self.n_bytes,
             specials=self.specials,
-            place=packed(np.concatenate([np.repeat(np.arange(len(s)), s) for s in self.sizes])),
-            string=packed(rank[np.concatenate(columns)]),
-            times=packed(np.array(self.times[0] + self.times[1], dtype=np.int64)),
+            documents=packed(np.bincount(string, minlength=len(order))),
+            place=packed(place[by_string]),
+            times=packed(np.array(self.times[0] + self.times[1], dtype=np.int64)[by_string]),
         )
 
     def _row(self, **values) -> pa.RecordBatch:
@@ -188,7 +193,7 @@ def _document_tokens(blocks: DataFrame) -> DataFrame:
                 tokens = np.array(block["specials"], dtype=np.int64)
                 if block["pieces"]:
                     pieces = np.concatenate([unpacked(p) for p in block["pieces"]]).astype(np.int64)
-                    counts = pieces[unpacked(block["string"])] * unpacked(block["times"])
+                    counts = np.repeat(pieces, unpacked(block["documents"])) * unpacked(block["times"])
                     tokens += np.bincount(unpacked(block["place"]), weights=counts, minlength=len(tokens)).astype(np.int64)
                 columns = [pa.array(block["doc_id"], pa.string()), pa.array(block["n_bytes"], pa.int64()), pa.array(tokens)]
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
@@ -219,7 +224,8 @@ def count_tokens(
     pieces = count_pieces(slices.repartition("slot").sortWithinPartitions("slot"), vocabulary)
     by_block = pieces.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("slot", "pieces"))).alias("slices"))
     matrices = blocks.filter("slot is null").drop("slot", "strings")
-    joined = matrices.join(by_block, "block", "left").select("doc_id", "n_bytes", "specials", "place", "string", "times", F.col("slices.pieces").alias("pieces"))
+    kept = ("doc_id", "n_bytes", "specials", "documents", "place", "times")
+    joined = matrices.join(by_block, "block", "left").select(*kept, F.col("slices.pieces").alias("pieces"))
     return _document_tokens(joined).select(
         F.col("doc_id").cast(docs.select(id_col).schema[0].dataType).alias("doc_id"),
         "n_bytes",
