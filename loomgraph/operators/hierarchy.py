@@ -5,12 +5,11 @@ Sets of ids (visible, expanded, shown) are DataFrames with a column ``id``.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.paths import prefixes
+from loomgraph.shared import durable
 
 
 def with_ancestors(nodes: DataFrame) -> DataFrame:
@@ -36,11 +35,7 @@ def closure_by_recursion(nodes: DataFrame) -> DataFrame:
     Each round doubles the distance that is known, so a tree of n levels takes log2(n) rounds, each
     written to the shared checkpoint folder; neither levels nor rows are limited. A cycle raises.
     """
-    context = nodes.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = nodes.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
-    jump = nodes.select("id", F.col("container_id").alias("ancestor")).filter("ancestor is not null").checkpoint()
+    jump = durable(nodes.select("id", F.col("container_id").alias("ancestor")).filter("ancestor is not null"))
     found = jump  # ancestors up to the distance of ``jump``
     while not jump.isEmpty():
         if not found.filter("id = ancestor").isEmpty():
@@ -48,7 +43,7 @@ def closure_by_recursion(nodes: DataFrame) -> DataFrame:
         start = jump.select(F.col("id").alias("start"), F.col("ancestor").alias("id"))
         further = start.join(found, "id").select(F.col("start").alias("id"), "ancestor")
         longer = start.join(jump, "id").select(F.col("start").alias("id"), "ancestor")
-        found, jump = found.unionByName(further).checkpoint(), longer.checkpoint()
+        found, jump = durable(found.unionByName(further)), durable(longer)
     return found
 
 
