@@ -11,8 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import classifier, exact_dedup, mixing, near_copies, packing
-from loomgraph.llm.common import shared_folder, table
+from loomgraph.llm import classifier, exact_dedup, mixing, packing, simhash
+from loomgraph.llm.common import table
+from loomgraph.shared import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles are alike to a Jaccard similarity of 0.8."""
-    return near_copies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
