@@ -240,5 +240,4 @@ def keep_good(
 ) -> DataFrame:
     """``docs`` without the rows scored under ``threshold``."""
     model = learn(docs, labels, id_col=id_col, text_col=text_col)
-    scored = docs.withColumn("_score", score_column(F.col(text_col), model, docs.sparkSession.sparkContext))
-    return scored.filter(F.col("_score") >= threshold).drop("_score")
+    return docs.filter(score_column(F.col(text_col), model, docs.sparkSession.sparkContext) >= threshold)

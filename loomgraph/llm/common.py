@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.shared import durable, shared_folder, written
+
+__all__ = ["durable", "shared_folder", "written"]
+
 #: A word is a maximal run of characters outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -22,32 +23,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-checkpoint-")
-        )
-    return context.getCheckpointDir()
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back from there.
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc): a number for each row beside the row itself, so names of its columns clash with nothing.
 
-    Lineage ends at the files, so a lost executor costs no recomputation.
+    Written, so that a row has the same number in every use.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a compressed Parquet table in the shared checkpoint folder, for tables that are read more than once."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with a number ``_row`` for each row, written so that a row has the same number in every use."""
-    return written(df.withColumn("_row", F.monotonically_increasing_id()))
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*columns(docs)).alias("doc")))

@@ -1,10 +1,12 @@
 """Connected components of a graph given as edges, by alternating large and small stars.
 
-First, blocks of at most ``BLOCK`` edges are contracted to stars within tasks, whatever the number
-of edges; then stars are joined in rounds until nothing changes. Each round rewires every node to the smallest neighbour it knows, so long chains shrink by
-a constant factor per round. A round is two aggregations and two joins over the edges, written
-to the shared checkpoint folder; edges are never gathered for one node or on the driver,
-which sees only the count and checksum that tell whether a round changed anything.
+First, blocks of at most ``BLOCK`` edges are contracted to stars within tasks; if that was one block,
+it is the answer. Else stars are joined in rounds until nothing changes. Each round rewires every
+node to the smallest neighbour it knows, so long chains shrink by a constant factor per round. A
+round is two aggregations and two joins over the edges, written to the shared checkpoint folder;
+edges are never gathered for one node or on the driver, which sees only the count and checksum
+that tell whether a round changed anything. A node with a ``HUB``-th of all edges is a hub; there
+are at most ``2 * HUB`` of them, so they are broadcast and their edges are not shuffled to one task.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import durable
+from loomgraph.llm.common import durable, written
 
 
 #: Edges that one task contracts at a time, which bounds its memory.
 BLOCK = 200_000
+HUB = 1_000
 
 
 def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,15 +51,25 @@ def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield stars()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``edges`` with the smallest neighbour ``m`` of their end ``a``."""
+    is_hub = F.col("degree") * HUB >= total
+    hubs = F.broadcast(least.filter(is_hub).drop("degree"))
+    of_hubs = edges.join(hubs, "a")
+    others = edges.join(hubs, "a", "left_anti").join(least.filter(~is_hub).drop("degree"), "a")
+    return of_hubs.unionByName(others)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("degree")))
+    larger = _with_least(both.filter("b > a"), least, total)
+    return larger.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    others = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")))
+    others = _with_least(edges, least, total).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
     return others.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -75,11 +88,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    n = _state(edges)[0]
-    edges = durable(edges.coalesce(max(1, -(-n // BLOCK))).mapInPandas(_contracted, "a long, b long").distinct())
+    blocks = -(-_state(edges)[0] // BLOCK)
+    edges = durable(edges.coalesce(max(1, blocks)).mapInPandas(_contracted, "a long, b long").distinct())
     before = _state(edges)
-    while before[0]:
-        edges = durable(_small_star(_large_star(edges)))
+    while blocks > 1 and before[0]:
+        larger = durable(_large_star(edges, before[0]))
+        edges = durable(_small_star(larger, before[0]))
         after = _state(edges)
         if after == before:
             break

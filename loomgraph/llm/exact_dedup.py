@@ -11,7 +11,8 @@ hash alone keep classes of their own; a hot class is split by the adaptive skew
 Defined results: a null text counts as the empty one; a row with a null id is kept only if no
 row of its group has an id; rows equal in id and text are one group of that size, and all
 rows with the smallest id are marked kept, where :func:`drop_copies` keeps one of them; an empty
-table gives no rows. Extra columns are ignored by :func:`find_copies`, kept by :func:`drop_copies`.
+table gives no rows. Extra columns are ignored by :func:`find_copies`, kept by :func:`drop_copies`,
+whatever their names. Texts are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -60,11 +61,11 @@ def find_copies(
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each text: that of the smallest id, rows without an id last, any one of rows with an equal id."""
     rows = numbered(docs)
-    read = rows.select("_row", F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
+    read = rows.select("row", F.col("doc")[id_col].alias("id"), normalised(F.col("doc")[text_col]).alias("norm"))
     first = read.groupBy(content_hash(F.col("norm")).alias("hash"), "norm").agg(
-        F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("first")
+        F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")
     )
-    return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return rows.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select("doc.*")
 
 
 ORACLE = f"""

@@ -130,21 +130,21 @@ def plan_mix(
     )
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as the plan takes it, all columns kept.
 
     Each row has a plan of its own, also if its id repeats or is null: rows are numbered and the plan
     carries the number. Rows without an id are put in the seeded order by their text.
     """
     rows = numbered(docs)
-    content = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = rows.withColumn("_mix_text", content).withColumn(
-        "_mix_key", F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("no id "), F.col("_mix_text")))
-    )
-    plan = plan_mix(keyed, id_col="_mix_key", text_col=text_col, carry=("_mix_text", "_row"), **options)
-    taken = plan.filter("copies > 0").select("_row", F.col("copies").alias("_mix_copies"))
-    repeated = rows.join(taken, "_row").withColumn("_mix_turn", F.explode(F.sequence(F.lit(1).cast("long"), "_mix_copies")))
-    return repeated.select(*docs.columns)
+    doc = F.col("doc")
+    content = F.md5(F.coalesce(doc[text_col], F.lit("")))
+    own_id = F.coalesce(doc[id_col].cast("string"), F.concat(F.lit("no id "), content))
+    keyed = rows.select(own_id.alias("id"), doc[text_col].alias("text"), doc[source_col].alias("source"), content.alias("content"), "row")
+    plan = plan_mix(keyed, id_col="id", text_col="text", source_col="source", carry=("content", "row"), **options)
+    taken = plan.filter("copies > 0").select("row", "copies")
+    repeated = rows.join(taken, "row").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return repeated.select("doc.*")
 
 
 ORACLE = f"""

@@ -1,5 +1,8 @@
 """Near-duplicate groups by SimHash: fingerprints, binary trie self-join, components.
 
+:func:`near_groups` links fingerprints of 64 bits that differ in a few bits; :func:`keep_one` keeps one
+of the documents whose word shingles have a Jaccard similarity of 0.8 or more.
+
 The trie join works on distinct fingerprints. Trie nodes are bit prefixes; pairs of nodes are
 walked down together, a block of levels per join, the differing bits so far are added up, and
 a pair over the budget is dropped with everything below it. With a budget of k bits, k + 1
@@ -11,15 +14,32 @@ join, so no join key fans out further, however many fingerprints share a prefix.
 
 All links within the budget are found; a component is what links reach.
 
-Defined results: a null or wordless text has fingerprint 0, linked like any other; equal texts
-share a fingerprint and so a component; a component none of whose rows has an id gets the null
-id; an empty table gives no rows. Extra columns are ignored by :func:`near_groups` and kept by
-:func:`keep_one`.
+A similarity of 0.8 is about 15 % of the bits, far too many for blocks without an error. So
+:func:`keep_one` takes fingerprints of ``WIDE`` bits and walks many tries, each over 64 bits drawn from
+them: the first ``prefix`` levels without an error, the other levels and then the whole fingerprint
+within the errors expected at that similarity and ``SPREAD`` standard deviations more. Every pair that is left is verified
+by its shingle sets, so no pair below the similarity is a link. The tries are as many as it takes to
+miss a pair of exactly the similarity with a chance of ``MISSED``, nearer pairs far less often. A
+trie node is reached by chance by ``documents / 2 ** prefix`` texts, so ``prefix`` grows with the
+logarithm of the distinct texts, and with it the number of walks: recall is the same at every size.
+
+Not every pair of a trie node needs a look, as only components matter. First the texts of a node
+are compared with one of them, drawn for each node anew, so a large group of near copies takes
+pairs in proportion to its size. Then the pairs of a node that are still in different components.
+
+Defined results: A-Z are lower-cased; a text of fewer words than a shingle is one shingle. A null or
+wordless text has fingerprint 0, linked like any other, and for :func:`keep_one` such texts are
+copies of one another; equal texts share a fingerprint and so a component; a component none of whose
+rows has an id gets the null id; an empty table gives no rows. Texts are taken whole, however
+long, ``BLOCK`` shingles at a time; shingles are known by 64-bit hashes. Extra columns are ignored by
+:func:`near_groups` and kept by :func:`keep_one`, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import durable, numbered
+from loomgraph.llm.common import durable, numbered, written
 from loomgraph.llm.components import connected_components
 
 SEED = 42
@@ -37,6 +57,17 @@ STEP = 11
 #: Shingles hashed at a time, which bounds memory for very long texts.
 BLOCK = 1 << 16
 
+# Near copies by similarity.
+NEAR_SHINGLE, LEAST = 5, 0.8
+WIDE = 1024
+#: Standard deviations of differing bits allowed beyond those expected at the least similarity.
+SPREAD = 4.0
+#: Levels without an error, at least, and the chance to miss a pair of just the least similarity.
+PREFIX, MISSED = 20, 0.01
+#: Rows of the table of signs that shingles draw from.
+SIGN_ROWS = 1 << 14
+WIDE_BLOCK = 1 << 12
+
 
 def _bit_sums(hashes: np.ndarray) -> np.ndarray:
     """How many of ``hashes`` (uint64) have bit i set, for each i."""
@@ -50,23 +81,30 @@ def _bit_sums(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64-bit SimHash of the word shingles of a text with A-Z lower-cased."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes (uint64) of the word shingles in order, ``BLOCK`` at a time; none for a wordless text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = max(1, len(words) - shingle + 1)
     span = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    sums = np.zeros(BITS, dtype=np.int64)
     for at in range(0, last, BLOCK):
         upto = min(at + BLOCK, last)
         pairs = zip(starts[at:upto].tolist(), ends[at + span - 1 : upto + span - 1].tolist(), strict=True)
-        sums += _bit_sums(np.fromiter((digest(joined[i:j], SEED) for i, j in pairs), dtype=np.uint64, count=upto - at))
-    return int(np.packbits(sums * 2 > last, bitorder="little").view(np.uint64)[0])
+        yield np.fromiter((digest(joined[i:j], SEED) for i, j in pairs), dtype=np.uint64, count=upto - at)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64-bit SimHash of the word shingles of a text with A-Z lower-cased."""
+    sums, n = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        sums += _bit_sums(hashes)
+        n += len(hashes)
+    return int(np.packbits(sums * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprint_column(text: Column, shingle: int = 3) -> Column:
@@ -149,13 +187,183 @@ def near_groups(
     )
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group.
+# Near copies by similarity.
+
+
+def shingle_set(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes (uint64) of the word shingles."""
+    return np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *shingle_hashes(text, shingle)]))
+
+
+@lru_cache(maxsize=1)
+def _signs() -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 2, (SIGN_ROWS, WIDE), dtype=np.int8) * 2 - 1
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of ``WIDE`` bits, as longs: each shingle adds or takes a row of random signs, both chosen by its hash."""
+    sums = np.zeros(WIDE, dtype=np.int64)
+    rows = (hashes & np.uint64(SIGN_ROWS - 1)).astype(np.int64)
+    added = (hashes >> np.uint64(63)).astype(bool)
+    for chosen, sign in ((rows[added], 1), (rows[~added], -1)):
+        for at in range(0, len(chosen), WIDE_BLOCK):
+            sums += sign * _signs()[chosen[at : at + WIDE_BLOCK]].sum(axis=0, dtype=np.int64)
+    return np.packbits(sums > 0, bitorder="little").view(np.int64)
+
+
+def share_of_bits(least: float) -> float:
+    """Share of bits in which sets of a Jaccard similarity are expected to differ."""
+    return math.acos(2 * least / (1 + least)) / math.pi
+
+
+def walks_for(prefix: int, least: float = LEAST, missed: float = MISSED) -> int:
+    """Walks after which a pair of similarity ``least`` has had equal prefixes but for a chance of ``missed``."""
+    return math.ceil(math.log(missed) / math.log1p(-((1 - share_of_bits(least)) ** prefix)))
+
+
+def error_budget(bits: int, least: float) -> int:
+    """Differing bits allowed among so many."""
+    differs = share_of_bits(least)
+    return min(bits, math.ceil(bits * differs + SPREAD * math.sqrt(bits * differs * (1 - differs))))
+
+
+@lru_cache(maxsize=4)
+def _drawn_bits(walks: int) -> np.ndarray:
+    """(walks, 64) bit numbers: the bits that a walk looks at, in order of its levels."""
+    draw = np.random.default_rng(SEED)
+    return np.stack([draw.permutation(WIDE)[:BITS] for _ in range(walks)])
+
+
+def _sketch(text: Column, shingle: int) -> Column:
+    @F.pandas_udf("node long, n int, print array<long>")
+    def of_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for one in texts:
+                hashes = shingle_set(one, shingle)
+                node = np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64)
+                rows.append((int(node), len(hashes), wide_fingerprint(hashes)))
+            yield pd.DataFrame(rows, columns=["node", "n", "print"])
+
+    return of_batches(text)
+
+
+def _walked(prints: Column, prefix: int, walks: int) -> Column:
+    """Of each walk the trie node at depth ``prefix``, together with the walk's number, and the bits of the other levels."""
+
+    @F.pandas_udf("key array<long>, rest array<long>")
+    def of_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        drawn = _drawn_bits(walks).ravel()
+        turn = np.arange(walks, dtype=np.uint64) << np.uint64(prefix)
+        for batch in batches:
+            keys, rests = [], []
+            for one in batch:
+                bits = np.unpackbits(np.asarray(one, dtype=np.int64).view(np.uint8), bitorder="little")[drawn]
+                leaves = np.packbits(bits.reshape(walks, BITS), axis=1, bitorder="big").view(">u8").ravel().astype(np.uint64)
+                keys.append(((leaves >> np.uint64(BITS - prefix)) | turn).view(np.int64))
+                rests.append((leaves << np.uint64(prefix)).view(np.int64))
+            yield pd.DataFrame({"key": keys, "rest": rests})
+
+    return of_batches(prints)
+
+
+def _set_column(text: Column, shingle: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def of_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(one, shingle).view(np.int64) for one in texts], dtype=object)
+
+    return of_batches(text)
+
+
+def _within(pairs: DataFrame, least: float, prefix: int) -> DataFrame:
+    """Distinct (a, b), a < b, of rows (x, n_x, rest_x, y, n_y, rest_y) that neither the walk nor their sizes rule out."""
+    alike = F.bit_count(F.col("rest_x").bitwiseXOR(F.col("rest_y"))) <= error_budget(BITS - prefix, least)
+    sized = F.least("n_x", "n_y") / F.greatest("n_x", "n_y") >= least
+    return pairs.filter((F.col("x") != F.col("y")) & alike & sized).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs whose whole fingerprints are within the budget, and whose shingle sets have a Jaccard similarity of ``least``."""
+
+    def joined(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+        for end in ("a", "b"):
+            pairs = pairs.join(values.select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}")), end)
+        return pairs
+
+    fresh = F.zip_with("print_a", "print_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    errors = F.aggregate(fresh, F.lit(0), lambda total, n: total + n)
+    close = written(joined(pairs, nodes, "print").filter(errors <= error_budget(WIDE, least)).select("a", "b"))
+    needed = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
+    sets = written(texts.join(needed, "row").select("node", _set_column(F.col("text"), shingle).alias("set")))
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    sizes = F.size("set_a") + F.size("set_b")
+    return joined(close, sets, "set").filter(shared >= F.lit(least) * (sizes - shared)).select("a", "b")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, *, shingle: int, least: float, prefix: int) -> DataFrame:
+    """(node, root) of the components that links join.
+
+    ``nodes`` is (node, n, print, row) with a row for each distinct shingle set, ``texts`` (row, text).
+    """
+    walked = _walked(F.col("print"), prefix, walks_for(prefix, least))
+    dealt = nodes.filter("n > 0").select("node", "n", walked.alias("w")).select("node", "n", F.inline(F.arrays_zip("w.key", "w.rest")))
+    drawn = F.struct(F.xxhash64("node", "key"), "node")
+    chosen = dealt.groupBy("key").agg(
+        F.count(F.lit(1)).alias("times"), F.min_by(F.struct("node", "n", "rest"), drawn).alias("one")
+    )
+    # Written, so that both sides of the join are fresh shuffles and the adaptive join can split a node of very many texts.
+    shared = written(dealt.join(written(chosen.filter("times > 1").drop("times")), "key"))
+    with_one = shared.select(
+        *[F.col(c).alias(name) for c, name in (("node", "x"), ("n", "n_x"), ("rest", "rest_x"))],
+        *[F.col(f"one.{c}").alias(name) for c, name in (("node", "y"), ("n", "n_y"), ("rest", "rest_y"))],
+    )
+    tested = written(_within(with_one, least, prefix))
+    links = durable(_verified(tested, nodes, texts, shingle, least))
+
+    roots = connected_components(links)
+    labelled = shared.join(roots, "node", "left").select("key", "node", "n", "rest", F.coalesce("root", "node").alias("label"))
+    labelled = written(labelled)
+    by_label = labelled.groupBy("key", "label").count()
+    major = by_label.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
+    apart = labelled.join(written(major.filter("labels > 1").drop("labels")), "key")
+    side = lambda df, name: df.select("key", *[F.col(c).alias(n) for c, n in zip(("node", "n", "rest", "label"), name, strict=True)])
+    left = side(apart.filter("label <> major"), ("x", "n_x", "rest_x", "label_x"))
+    right = side(labelled, ("y", "n_y", "rest_y", "label_y"))
+    rest = _within(left.join(right, "key").filter("label_x <> label_y"), least, prefix).join(tested, ["a", "b"], "left_anti")
+    more = durable(_verified(written(rest), nodes, texts, shingle, least))
+    return connected_components(links.unionByName(more))
+
+
+def keep_one(
+    docs: DataFrame,
+    *,
+    shingle: int = NEAR_SHINGLE,
+    least: float = LEAST,
+    prefix: int | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``docs`` with one row of each group of near copies.
 
     It is the row of the smallest id, rows without an id last, any one of rows with an equal id.
     """
     rows = numbered(docs)
-    groups = near_groups(rows, id_col="_row", **options).select(F.col("doc_id").alias("_row"), "component_id")
-    ids = rows.select("_row", F.col(id_col).alias("id"))
-    first = groups.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("first"))
-    return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    text, own_id = F.col("doc")[text_col], F.col("doc")[id_col]
+    read = rows.select("row", own_id.alias("id"), _sketch(text, shingle).alias("s"))
+    nodes = written(
+        read.groupBy("s.node").agg(
+            F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"), F.first("s.n").alias("n"), F.first("s.print").alias("print")
+        )
+    )
+    if prefix is None:
+        prefix = max(PREFIX, nodes.count().bit_length())
+    roots = similar_links(
+        nodes.select("node", "n", "print", F.col("first.row").alias("row")),
+        rows.select("row", text.alias("text")),
+        shingle=shingle,
+        least=least,
+        prefix=prefix,
+    )
+    groups = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
+    return rows.join(groups.select(F.col("first.row").alias("row")), "row", "left_semi").select("doc.*")

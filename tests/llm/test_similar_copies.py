@@ -4,9 +4,8 @@ import random
 from collections import Counter
 from pathlib import Path
 
-import corpus_pipeline
 import pytest
-from loomgraph.llm import near_copies
+from loomgraph.llm import simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,7 +54,7 @@ def test_stage_matches_brute_force_jaccard(spark):
     texts += [" ".join(edited(rng, hot, rng.randrange(9))) for _ in range(60)]
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    kept = corpus_pipeline.near(spark, docs, SF)
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     expected = kept_by_brute_force(texts)
     assert {r.doc_id for r in kept.collect()} == expected
@@ -67,7 +66,7 @@ def test_pairs_left_by_the_drawn_text_are_found(spark):
     words = [f"w{i}" for i in range(60)]
     chain = [" ".join(words[k : k + 50]) for k in range(0, 10, 2)]  # neighbours are alike, the ends are not
     docs = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
-    assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == kept_by_brute_force(chain) == {0}
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == kept_by_brute_force(chain) == {0}
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
@@ -75,12 +74,12 @@ def test_stage_on_a_given_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id")
     rows = docs.collect()
     expected = {rows[i].doc_id for i in kept_by_brute_force([r.text for r in rows])}
-    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()} == expected
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == expected
 
 
 def test_rows_without_ids_and_repeated_ids(spark):
     rows = [(None, "x y z"), (None, "x y z"), (None, "other text"), (5, "p q r"), (5, "p q r"), (5, "another"), (None, "p q r")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = Counter(map(tuple, near_copies.keep_one(docs).collect()))
+    found = Counter(map(tuple, simhash.keep_one(docs).collect()))
     assert found == Counter([(None, "x y z"), (None, "other text"), (5, "p q r"), (5, "another")])
-    assert near_copies.keep_one(docs.limit(0)).count() == 0
+    assert simhash.keep_one(docs.limit(0)).count() == 0
