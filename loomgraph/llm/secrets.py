@@ -5,19 +5,24 @@ entropy method looks at every run of key-like characters that is long enough: a
 over it, the counts of its characters are updated by the one that enters and the one that leaves,
 and so is the sum of c * log2(c) that the entropy needs. The whole run is judged as base64, and each
 of its pieces between ``+ / _ = -`` once more by the class of the characters in each window
-(hexadecimal, letters of one case with digits, letters of both cases with digits), each with a
-threshold of its own. Windows at or above it are merged to a span. Runs that are words, numbers or
-a UUID as a whole, and windows that hold a placeholder, give no entropy span. Spans inside a
-pattern's match are that match's.
+(hexadecimal, letters of one case with digits, letters of both cases with digits, letters of both cases in like
+shares), each with a threshold of its own. Windows at or above it are merged to a span.
+
+The allow-list: runs that are numbers or a UUID as a whole give no entropy span, runs of words are not
+judged as base64, and placeholders cut a run, so what is beside them is judged without them. Letters of one case
+alone cannot be told from words by their entropy and give none. What a pattern has matched is that
+match's; it cuts a run too, and the parts before and after it are candidates of their own.
 
 Positions are code points, the end exclusive. Defined results: a null or empty text has no
-spans; equal rows are scanned each; an empty table gives no rows. Extra columns are ignored.
+spans; a text of any length is scanned whole, in time proportional to it; equal rows are scanned each; an empty
+table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from math import log2
 
@@ -40,17 +45,14 @@ SHORTEST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 PIECE = re.compile(rf"[A-Za-z0-9]{{{SHORTEST},}}")
 HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
-#: Bits per character that a window of each class needs: hexadecimal, one case and digits, both cases and digits, any run.
-HEX_BITS, ONE_CASE_BITS, MIXED_BITS, BASE64_BITS = 3.0, 3.5, 3.6, 3.9
-#: Runs of these shapes are no secrets: words joined by hyphens or such, numbers, UUIDs.
-ALLOWED = re.compile(
-    r"""[A-Za-z]+(?:[-_/=][A-Za-z]+)*[=]*          # words only
-    |[0-9]+(?:[-_/][0-9]+)*                        # numbers and dates
-    |[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}
-    """,
-    re.VERBOSE,
-)
-#: A window that holds one of these is no secret.
+#: Bits per character that a window of each class needs: hexadecimal, one case and digits, both cases and digits, both cases, any run.
+HEX_BITS, ONE_CASE_BITS, MIXED_BITS, LETTERS_BITS, BASE64_BITS = 3.0, 3.5, 3.6, 3.85, 3.9
+#: Of letters alone, each case must have this share of a window, in percent.
+CASE_SHARE = 35
+WORDS = re.compile(r"[A-Za-z]+(?:[-_/=][A-Za-z]+)*[=]*")
+#: Runs of these shapes are no secrets: numbers and dates, UUIDs.
+ALLOWED = re.compile(r"[0-9]+(?:[-_/][0-9]+)*|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+#: Placeholders: nothing that holds one of these is a secret.
 PLACEHOLDER = re.compile(r"EXAMPLE|example|xxxx|XXXX|0000|1234567|placeholder|changeme")
 LOG = [0.0, *(c * log2(c) for c in range(1, WINDOW + 1))]
 
@@ -77,6 +79,21 @@ def high_entropy(candidate: str, threshold: float, window: int = WINDOW) -> list
     return spans
 
 
+def _judged(window: int, digits: int, upper: int, other: int) -> tuple[str, float]:
+    """Kind and threshold of a window by how many of its characters are digits, upper case and no hexadecimal digits; 0: no key."""
+    letters = window - digits
+    if not letters:
+        return "", 0.0
+    if not digits:
+        lower = letters - upper
+        return "entropy_base64", LETTERS_BITS if 100 * min(upper, lower) >= CASE_SHARE * window else 0.0
+    if not other:
+        return "entropy_hex", HEX_BITS
+    if upper not in (0, letters):
+        return "entropy_base64", MIXED_BITS
+    return "entropy_base64", ONE_CASE_BITS if digits > 1 else 0.0
+
+
 def key_windows(piece: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the windows of ``piece`` (letters and digits) that reach the threshold of their class."""
     window = min(WINDOW, len(piece))
@@ -92,10 +109,8 @@ def key_windows(piece: str) -> list[tuple[str, int, int]]:
         other += entering not in HEX_DIGITS
         if end < window:
             continue
-        letters = window - digits
-        one_case = upper in (0, letters)
-        kind, bits = ("entropy_hex", HEX_BITS) if not other else ("entropy_base64", ONE_CASE_BITS if one_case else MIXED_BITS)
-        if letters and digits >= (2 if other and one_case else 1) and log2(window) - weighted / window >= bits - shift - 1e-9:
+        kind, bits = _judged(window, digits, upper, other)
+        if bits and log2(window) - weighted / window >= bits - shift - 1e-9:
             found.append((kind, end - window, end))
         leaving = piece[end - window]
         c = counts[leaving]
@@ -111,12 +126,13 @@ def entropy_spans(run: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the spans of a candidate that are covered by windows of high entropy."""
     if ALLOWED.fullmatch(run):
         return []
+    words = WORDS.fullmatch(run)
     marks = [m.span() for m in PLACEHOLDER.finditer(run)]
     starts, ends = [0, *(b for _, b in marks)], [*(a for a, _ in marks), len(run)]
     windows = []
     for at, upto in zip(starts, ends, strict=True):
         part = run[at:upto]
-        if not set(part) <= HEX_DIGITS:
+        if not words and not set(part) <= HEX_DIGITS:
             windows += [("entropy_base64", a + at, b + at) for a, b in high_entropy(part, BASE64_BITS)]
         for m in PIECE.finditer(part):
             windows += [(kind, a + at + m.start(), b + at + m.start()) for kind, a, b in key_windows(m[0])]
@@ -130,6 +146,18 @@ def entropy_spans(run: str) -> list[tuple[str, int, int]]:
     return spans
 
 
+def _outside(start: int, end: int, taken: list[list[int]]) -> Iterator[tuple[int, int]]:
+    """What ``taken`` (in order, apart from one another) leaves of a stretch."""
+    for a, b in taken[max(0, bisect_right(taken, [start, start]) - 1) :]:
+        if a >= end:
+            break
+        if a > start:
+            yield start, a
+        start = max(start, b)
+    if start < end:
+        yield start, end
+
+
 def scan(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in order of start, then kind."""
     if not text:
@@ -137,12 +165,16 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    taken = [(start, end) for _, start, end in found]
+    taken: list[list[int]] = []
+    for _, start, end in sorted(found, key=lambda s: s[1]):
+        if taken and start <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
     for m in CANDIDATE.finditer(text):
-        for kind, start, end in entropy_spans(m[0]):
-            span = (start + m.start(), end + m.start())
-            if not any(a < span[1] and span[0] < b for a, b in taken):
-                found.append((kind, *span))
+        for at, upto in _outside(m.start(), m.end(), taken):
+            if upto - at >= SHORTEST:
+                found += [(kind, at + start, at + end) for kind, start, end in entropy_spans(text[at:upto])]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
