@@ -67,6 +67,8 @@ PREFIX, MISSED = 20, 0.01
 #: Rows of the table of signs that shingles draw from.
 SIGN_ROWS = 1 << 14
 WIDE_BLOCK = 1 << 12
+#: Texts whose walks one task makes.
+NODES = 1 << 12
 
 
 def _bit_sums(hashes: np.ndarray) -> np.ndarray:
@@ -356,10 +358,12 @@ def keep_one(
             F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"), F.first("s.n").alias("n"), F.first("s.print").alias("print")
         )
     )
+    count = nodes.count()
     if prefix is None:
-        prefix = max(PREFIX, nodes.count().bit_length())
+        prefix = max(PREFIX, count.bit_length())
+    spread = nodes.select("node", "n", "print", F.col("first.row").alias("row")).repartition(-(-count // NODES) or 1, "node")
     roots = similar_links(
-        nodes.select("node", "n", "print", F.col("first.row").alias("row")),
+        spread,
         rows.select("row", text.alias("text")),
         shingle=shingle,
         least=least,
