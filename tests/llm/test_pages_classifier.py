@@ -24,6 +24,36 @@ def test_structure():
     assert text_of('<p title="a>b">x</p><p class=\'Ad\'>y</p>') == "x"
 
 
+def test_names_that_only_mention_a_region_keep_the_article():
+    for html in (
+        '<main class="has-sidebar"><p>body</p></main>',
+        '<div class="layout with-sidebar"><article><p>body</p></article></div>',
+        '<article class="post share-enabled comments-open"><p>body</p></article>',
+        '<div class="sidebar"><main><p>body</p></main></div>',
+        '<div class="content-sidebar-wrap"><p>body</p></div>',
+        '<article><div class="related-work"><p>body</p></div></article>',
+        '<body class="ad"><p>body</p></body>',
+    ):
+        assert text_of(html) == "body", html
+    for html in ("sidebar", "site-footer", "ad-slot", "comment-list", "post Advert", "cookie_notice", "related", "widget-2"):
+        assert text_of(f'<article><p>body</p><div class="{html}"><p>no</p></div></article>') == "body", html
+    for role in ("navigation", "banner"):
+        assert text_of(f'<p>body</p><div role="{role}">no</div>') == "body"
+
+
+def test_a_teaser_is_not_the_page():
+    body = "<p>A long first paragraph of the page.</p><p>And a second one, as long as that.</p>"
+    assert text_of(f"<div>{body}</div><article><p>Teaser</p></article>").split("\n")[0] == "A long first paragraph of the page."
+    assert text_of(f"<p>x</p><article>{body}</article>").startswith("A long")
+
+
+def test_very_long_pages():
+    many = "".join(f"<p>line {i}</p>" for i in range(60_000))
+    assert text_of(f"<article>{many}</article>").count("\n") == 59_999
+    assert text_of("<article>" + "<div>" * 3_000 + "deep" + "</div>" * 3_000 + "</article>") == "deep"
+    assert len(text_of("<p>" + "word " * 400_000)) == 1_999_999
+
+
 def longest(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
@@ -41,7 +71,7 @@ def test_common_lines_are_a_longest_common_subsequence():
         assert found == sorted(found) and all(a[i] in rest for i in found) and len(found) == longest(a, b)
 
 
-def test_differencing_against_the_nearest_page(spark, monkeypatch):
+def test_differencing_against_the_nearest_page(spark):
     page = lambda body: f"<html><body><div>Site name</div><p>{body}</p><div>All rights</div></body></html>"
     rows = [
         (1, "http://h.org/a/1", page("one")),
@@ -55,11 +85,14 @@ def test_differencing_against_the_nearest_page(spark, monkeypatch):
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     expected = {(1, "one"), (2, "two"), (4, "Site name\nalone\nAll rights"), (5, ""), (6, "kept\nkept"), (None, "")}
-    for limit in (20_000, 0):  # broadcast and shuffled
-        monkeypatch.setattr(html_text, "BROADCAST_ROWS", limit)
-        found = html_text.extract_text(pages).collect()
+    clashing = pages.selectExpr("*", "1 as key", "2 as host", "3 as path", "4 as lines", "5 as deleted", "6 as number")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for frame, limit in ((pages, threshold), (clashing, threshold), (pages, "-1")):  # broadcast and shuffled
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        found = html_text.extract_text(frame).collect()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         assert len(found) == len(rows)
-        assert {(r.page_id, r.text) for r in found if r.page_id != 3} == expected
+        assert {(r.page_id, r.text) for r in found} == expected | {(3, "nine")}
         assert all(r.n_chars == len(r.text) for r in found)
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
@@ -89,6 +122,43 @@ def test_copies_and_mirrors_delete_no_text(spark):
     }
 
 
+def brute_texts(rows):
+    """Each page against the others of its host, by direct comparison."""
+    lines = {i: html_text.page_lines(html)[0] for i, _, html in rows}
+    split = {i: (url.split("/")[2], "/" + "/".join(url.split("/")[3:])) for i, url, _ in rows}
+    out = {}
+    for host in {h for h, _ in split.values()}:
+        different = {}
+        for i, (h, path) in split.items():
+            if h == host:
+                different.setdefault(tuple(lines[i]), []).append(path)
+        order = sorted((min(paths), content) for content, paths in different.items())
+        for at, (path, content) in enumerate(order):
+            near = [order[k] for k in range(max(0, at - 2), min(len(order), at + 3)) if k != at]
+            prefix = lambda other: next((k for k, (a, b) in enumerate(zip(path, other, strict=False)) if a != b), min(len(path), len(other)))  # noqa: E731, B023
+            near.sort(key=lambda n: (-prefix(n[0]), n[0]))  # noqa: B023
+            gone = set(html_text.shared_lines(list(content), [list(n[1]) for n in near]))
+            for i in lines:
+                if split[i][0] == host and tuple(lines[i]) == content:
+                    out[i] = "\n".join(x for k, x in enumerate(content) if k not in gone)
+    return out
+
+
+def test_pages_without_landmarks_match_brute_force(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        host = rng.choice(["a.org", "a.org", "b.org", "c.org"])
+        body = [rng.choice(["Home", "About us", "Contact"]) for _ in range(2)]
+        body += [f"paragraph {rng.randrange(60)}" for _ in range(rng.randrange(6))] + ["All rights reserved"]
+        path = "/".join(rng.choice("xyz") for _ in range(rng.randint(1, 3)))
+        rows.append((i, f"http://{host}/{path}/{i:03}", "".join(f"<p>{b}</p>" for b in body)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    assert found == brute_texts(rows)
+    assert sum("All rights reserved" not in t for t in found.values()) > 90
+
+
 def made_up(rng, good):
     words = ["".join(rng.choice(["an", "ther", "in", "tion", "re", "st"]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(30, 120))]
     return " ".join(words).capitalize() + "." if good else " ".join(w + rng.choice(["***", "$$$"]) for w in words)
