@@ -1,19 +1,21 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-A text becomes weighted counts of hashed features: the shapes of its words (letters, case,
-digits and marks, runs collapsed), their endings, short words themselves, and how much of it
+A text becomes weighted counts of hashed features: its words (``TERMS`` slots, case ignored), and the forms
+of its words (letters, case, digits and marks, runs collapsed), their endings and lengths, and how much of it
 repeats. A bounded sample of labelled rows gives inverse document frequencies and, by a
 truncated singular value decomposition, the latent space. The labelled vectors are broadcast;
 every document's cosine with each of them is computed exactly, in blocks, and the labels of the
-nearest ones are averaged, weighted by similarity.
+``NEIGHBOURS`` nearest are averaged, weighted by similarity. Cosines count to five digits; of equal ones the
+labelled row that comes first in the order of the sample is nearer, so scores do not depend on blocks.
 
-The bound of the sample, ``EXAMPLES``, bounds the broadcast (about 2 MB) and the memory of a block.
-Everything else covers all rows: each document is scored from its whole text.
+The bound of the sample, ``EXAMPLES`` labelled rows that have a document, bounds the broadcast (about 3 MB)
+and the memory of a block. Everything else covers all rows: each document is scored from its whole text,
+however long.
 
 Defined results: a null or empty text is scored like any other (it has the features of an empty
 text); rows without an id are scored, and are held out as crc32 of nothing is 0; without any
 labelled row every score is 0.5; equal rows score equally; an empty table gives no rows. Extra
-columns are ignored by :func:`score_quality`, kept by :func:`keep_good`.
+columns are ignored by :func:`score_quality`, kept by :func:`keep_good`, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,11 +34,17 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that are learnt from, at most: those with the smallest hash of their id.
 EXAMPLES = 4096
-FEATURES = 2048
+#: Slots of hashed forms, and after them of hashed words.
+FORMS, TERMS = 2048, 2048
+FEATURES = FORMS + TERMS
+#: What words count beside forms.
+TERM_WEIGHT = 0.5
 DIMENSIONS = 48
 NEIGHBOURS = 24
 #: Votes weigh similarity to this power, so that close neighbours count most.
 SHARPNESS = 6
+#: Cosines are counted in this part of one.
+DIGITS = 100_000
 THRESHOLD = 0.3
 FOLDS = 5
 #: Documents scored at a time.
@@ -48,7 +56,11 @@ REMEMBERED = 1 << 18
 
 @lru_cache(maxsize=1 << 16)
 def _slot(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % FEATURES
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % FORMS
+
+
+def _term(word: str) -> int:
+    return FORMS + zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % TERMS
 
 
 def _shape(word: str) -> str:
@@ -68,19 +80,20 @@ def _shape(word: str) -> str:
 
 
 class _WordSlots(dict):
-    """Word -> row of ``table``, which has the slots of its features; alike words share a row."""
+    """Word -> slot of the word itself, and row of ``table``, which has the slots of its forms; words of one form share a row."""
 
     def __init__(self):
         super().__init__()
         self.table = np.zeros((1024, 3), dtype=np.int64)
         self.kinds: dict[tuple, int] = {}
 
-    def rows(self, words: Counter) -> np.ndarray:
+    def slots(self, words: Counter) -> np.ndarray:
+        """For each word its three form slots and its own."""
         if len(self) >= REMEMBERED or len(self.kinds) >= REMEMBERED:
             self.clear()
             self.kinds.clear()
-        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        return self.table[at]
+        row, term = np.divmod(np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)), FEATURES)
+        return np.column_stack((self.table[row], term))
 
     def __missing__(self, word: str) -> int:
         size = len(word)
@@ -89,8 +102,8 @@ class _WordSlots(dict):
         row = self.kinds.get(kind)
         if row is None:
             row = self._new_row(kind)
-        self[word] = row
-        return row
+        self[word] = row * FEATURES + _term(word)
+        return self[word]
 
     def _new_row(self, kind: tuple) -> int:
         shape, own = kind
@@ -113,9 +126,8 @@ def features(text: str | None, slots: _WordSlots) -> tuple[np.ndarray, np.ndarra
     found = Counter(words)
     counts = np.zeros(FEATURES)
     if words:
-        rows = slots.rows(found)
         times = np.fromiter(found.values(), dtype=np.float64, count=len(found))
-        counts = np.bincount(rows.ravel(), weights=np.repeat(times, 3), minlength=FEATURES)
+        counts = np.bincount(slots.slots(found).ravel(), weights=np.repeat(times, 4), minlength=FEATURES)
     lines = [line for line in (text or "").split("\n") if line and not line.isspace()]
     doubled = sum(map(str.__eq__, words, words[1:]))
     windows = len(set(zip(words, words[1:], words[2:], strict=False)))
@@ -127,7 +139,7 @@ def features(text: str | None, slots: _WordSlots) -> tuple[np.ndarray, np.ndarra
         "distinct": _level(len(found) / max(1, n)),
     }
     slot_of = np.flatnonzero(counts)
-    value = np.sqrt(counts[slot_of] / max(1, 3 * n))
+    value = np.sqrt(counts[slot_of] / max(1, 3 * n)) * np.where(slot_of < FORMS, 1.0, TERM_WEIGHT)
     pseudo = np.array([_slot(f"{k} {v}") for k, v in whole.items()], dtype=np.int64)
     return np.concatenate((slot_of, pseudo)), np.concatenate((value, np.full(len(pseudo), 0.35)))
 
@@ -139,6 +151,13 @@ def _matrix(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
+def _projected(rows: list[tuple[np.ndarray, np.ndarray]], axes: np.ndarray) -> np.ndarray:
+    """The rows in the latent space; every row has features."""
+    starts = np.cumsum([0, *(len(slots) for slots, _ in rows[:-1])])
+    weighted = axes[np.concatenate([s for s, _ in rows])] * np.concatenate([v for _, v in rows])[:, None].astype(np.float32)
+    return np.add.reduceat(weighted, starts, axis=0)
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
@@ -154,10 +173,12 @@ class Model:
     def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(rows), 0.5)
-        cosines = _unit(_matrix(rows) @ self.axes) @ self.vectors.T
-        k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 1e-6).astype(np.float64) ** SHARPNESS
+        n = len(self.labels)
+        cosines = np.rint(_unit(_projected(rows, self.axes)) @ self.vectors.T * DIGITS).astype(np.int64)
+        k = min(NEIGHBOURS, n)
+        ranked = -np.sort(-np.partition(cosines * n + (n - 1 - np.arange(n)), n - k, axis=1)[:, n - k :], axis=1)
+        near, cosines = n - 1 - ranked % n, ranked // n
+        weight = np.maximum(cosines / DIGITS, 1e-6) ** SHARPNESS
         return (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
 
 
@@ -173,7 +194,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
         basis, _r = np.linalg.qr(x @ (x.T @ basis))
     _u, _s, axes = np.linalg.svd(basis.T @ x, full_matrices=False)
     axes = (axes[:k].T * idf[:, None]).astype(np.float32)
-    return Model(axes, _unit(_matrix(rows) @ axes).astype(np.float32), labels)
+    return Model(axes, _unit(_projected(rows, axes)).astype(np.float32), labels)
 
 
 def fold(id_col: Column) -> Column:
@@ -185,6 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     chosen = (
         labels.select(F.col(id_col).alias("_label_id"), F.col(label_col).alias("_label"))
         .filter((fold(F.col("_label_id")) != 0) & F.col("_label").isNotNull())
+        .join(docs.select(F.col(id_col).alias("_label_id")), "_label_id", "left_semi")
         .withColumn("_order", F.md5(F.col("_label_id").cast("string")))
         .orderBy("_order", "_label")
         .limit(EXAMPLES)

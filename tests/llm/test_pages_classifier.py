@@ -184,3 +184,50 @@ def test_without_labels(docs, no_docs, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in classifier.score_quality(docs, labels).collect()} == {0.5}
     assert classifier.score_quality(no_docs, labels).count() == 0
+
+
+def test_votes_match_brute_force(spark):
+    rng = random.Random(5)
+    texts = [made_up(rng, i % 2 > 0) for i in range(90)] + ["same text twice"] * 40 + ["", "word " * 30_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, rng.randrange(2)) for i in range(len(texts))], "doc_id long, quality int")
+    model = classifier.learn(docs, labels)
+    slots = classifier._WordSlots()
+    expected = {}
+    for i, text in enumerate(texts):
+        where, values = classifier.features(text, slots)
+        vector = sum(model.axes[s].astype(float) * v for s, v in zip(where, values, strict=True))
+        vector = vector / np.linalg.norm(vector)
+        cosines = [round(float(vector @ v) * classifier.DIGITS) for v in model.vectors.astype(float)]
+        near = sorted(range(len(cosines)), key=lambda k: (-cosines[k], k))[: classifier.NEIGHBOURS]
+        weights = [max(cosines[k] / classifier.DIGITS, 1e-6) ** classifier.SHARPNESS for k in near]
+        expected[i] = sum(w * model.labels[k] for w, k in zip(weights, near, strict=True)) / sum(weights)
+    found = {r.doc_id: r.score for r in classifier.score_quality(docs, labels).collect()}
+    apart = [i for i in expected if abs(found[i] - expected[i]) > 1e-3]
+    assert len(apart) <= 2, apart  # a cosine on the edge between two digits may change places
+    assert len({round(found[i], 9) for i in range(90, 130)}) == 1
+
+
+def test_blocks_do_not_change_scores():
+    rng = random.Random(6)
+    slots = classifier._WordSlots()
+    rows = [classifier.features(made_up(rng, i % 2 > 0), slots) for i in range(300)]
+    model = classifier.fit(rows, np.array([i % 2 for i in range(300)], float))
+    one = np.concatenate([model.scores([r]) for r in rows])
+    assert np.abs(model.scores(rows) - one).max() < 0.02 and np.mean(model.scores(rows) == one) > 0.9
+
+
+def test_wording_alone_is_learnt():
+    rng = random.Random(7)
+    good, bad = (["".join(rng.choices("abcdefgh", k=6)) for _ in range(60)] for _ in range(2))
+    slots = classifier._WordSlots()
+    made = [classifier.features(" ".join(rng.choices(good if i % 2 else bad, k=40)), slots) for i in range(400)]
+    model = classifier.fit(made[:300], np.array([i % 2 for i in range(300)], float))
+    assert np.mean((model.scores(made[300:]) >= 0.5) == (np.arange(300, 400) % 2 == 1)) > 0.95
+
+
+def test_labels_without_a_document_take_no_place(spark, monkeypatch):
+    monkeypatch.setattr(classifier, "EXAMPLES", 30)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(4000)], "doc_id long, quality int")
+    assert len(classifier.learn(docs, labels).labels) == 30
