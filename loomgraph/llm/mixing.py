@@ -14,18 +14,20 @@ of source)`` times, and the documents at the front of the order once more, until
 the target is used up; the document on the boundary is rounded to the nearer side. A source
 therefore misses its target by at most half a document, and reruns agree.
 
-The running sums never gather a source in one task: the seeded order is cut into ``16 **
-bucket_digits`` buckets, words are summed by (source, bucket) before the shuffle, and only
+The running sums never gather a source in one task: the seeded order is cut into buckets, as many
+as the rows ask for, words are summed by (source, bucket) before the shuffle, and only
 sums are carried from bucket to bucket.
 
 Defined results: a null text has size 0; the null source is a source of its own, last in
 order; a source without words gets target 0; an empty table gives no rows; equal rows are each
-counted and are interchangeable in the order. Columns other than ``id_col``, ``text_col`` and
+counted and are interchangeable in the order; rows without an id are ordered by their text; a very
+long text is one document like any other. Columns other than ``id_col``, ``text_col`` and
 ``source_col`` are ignored by :func:`plan_mix` and kept by :func:`mix`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import SPACES, numbered, word_count
 
 SEED = 20240517
+#: Rows of a bucket of the seeded order, on average and at most if sources are few; there are never under 256 buckets a source.
+BUCKET_ROWS = 1 << 16
 
 
 def plan_mix(
@@ -46,14 +50,17 @@ def plan_mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    bucket_digits: int = 2,
+    bucket_digits: int | None = None,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: id, source, size, source_size, target, copies, taken, and the columns ``carry``.
 
     ``weights`` go to the sources in order of their names, repeating. ``carry`` also orders rows of one id and size.
     """
-    order_key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    if bucket_digits is None:  # cuts the same order finer or coarser, for the same result
+        bucket_digits = max(2, math.ceil(math.log(max(1, docs.count() / BUCKET_ROWS), 16)))
+    no_id = F.concat(F.lit("no id "), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    order_key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), no_id)))
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
@@ -139,8 +146,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     rows = numbered(docs)
     doc = F.col("doc")
     content = F.md5(F.coalesce(doc[text_col], F.lit("")))
-    own_id = F.coalesce(doc[id_col].cast("string"), F.concat(F.lit("no id "), content))
-    keyed = rows.select(own_id.alias("id"), doc[text_col].alias("text"), doc[source_col].alias("source"), content.alias("content"), "row")
+    keyed = rows.select(doc[id_col].alias("id"), doc[text_col].alias("text"), doc[source_col].alias("source"), content.alias("content"), "row")
     plan = plan_mix(keyed, id_col="id", text_col="text", source_col="source", carry=("content", "row"), **options)
     taken = plan.filter("copies > 0").select("row", "copies")
     repeated = rows.join(taken, "row").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
@@ -149,7 +155,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 ORACLE = f"""
 WITH sized AS (
-  SELECT doc_id, source, md5(concat_ws(':', '{SEED}', CAST(doc_id AS VARCHAR))) AS order_key,
+  SELECT doc_id, source, md5(concat_ws(':', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), 'no id ' || md5(coalesce(text, ''))))) AS order_key,
          CAST(coalesce(len(list_filter(regexp_split_to_array(text, '{SPACES}'), lambda w: w <> '')), 0) AS BIGINT) AS size
   FROM documents),
 sources AS (

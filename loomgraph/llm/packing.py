@@ -7,7 +7,8 @@ first one with room in logarithmic time. Groups are a fixed size whatever the in
 scales with the number of groups, and a group of thousands leaves little padding.
 
 Defined results: null counts as the empty text, which is one piece of one id (the end); equal
-rows are packed each; an empty table gives no rows. Extra columns are ignored.
+rows are packed each; a very long text is cut into as many pieces as it takes; an empty table gives
+no rows. Ids may have any type that survives a cast to string and back. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ END_ID = 1
 #: Pieces per group, on average.
 GROUP = 8192
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECE = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = f"{PIECE}, sequence_id long, offset long"
 
 
 def cut(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) to pieces."""
+    """(doc_id string, text) to pieces."""
 
     def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = TokenIds(vocabulary)
@@ -45,9 +46,7 @@ def cut(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, voca
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
                     rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.mapInPandas(of_batches, PIECE)
 
@@ -90,7 +89,7 @@ def pack(
     text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    named = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = durable(cut(named, capacity=capacity, end_id=end_id, vocabulary=vocabulary))
     groups = max(1, -(-pieces.count() // group))
 
@@ -98,9 +97,10 @@ def pack(
         pieces = pieces.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(pieces["length"].to_numpy(dtype=np.int64), capacity)
         return pieces.drop(columns="group").assign(
-            doc_id=pieces["doc_id"].astype("Int64"), sequence_id=pieces["group"].to_numpy(dtype=np.int64) * (1 << 32) + bins, offset=offsets
+            sequence_id=pieces["group"].to_numpy(dtype=np.int64) * (1 << 32) + bins, offset=offsets
         )
 
     # Numbered by place in the written pieces, not by document: equal rows spread over groups.
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(place, PLACED)
+    id_type = docs.select(id_col).schema[0].dataType
+    return dealt.groupBy("group").applyInPandas(place, PLACED).withColumn("doc_id", F.col("doc_id").cast(id_type))

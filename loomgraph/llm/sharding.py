@@ -6,13 +6,13 @@ walking), which keeps the map a permutation of 0 .. n-1. Row p of the shuffle li
 ``p % shards`` at slot ``p div shards``, so shard and slot can be computed for any row without
 looking at others, shards differ by one row at most, and slots have no gaps.
 
-Global numbers come without a global sort: ids are dealt to ``buckets`` by arithmetic, counted
-from the id column alone, and numbered inside their bucket after one narrow shuffle. The
+Global numbers come without a global sort: ids are dealt to ``buckets`` by arithmetic (rows without
+an id by a checksum of their text, so they do not share a bucket), counted, and numbered inside their bucket after one narrow shuffle. The
 table of bucket offsets has ``buckets`` rows whatever the input, so it is broadcast.
 
 Defined results: a null text counts as no bytes (size 8, CRC 0); rows with a null id are
-numbered like any other; equal rows are interchangeable; an empty table gives no rows. Extra
-columns are ignored by :func:`assign_shards`.
+numbered like any other; equal rows are interchangeable; a very long text is only measured; an empty table gives no rows.
+Ids may have any type that casts to string. Extra columns are ignored by :func:`assign_shards`.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEED = 11
 BUCKETS = 4096
@@ -39,8 +40,14 @@ def round_keys(seed: int, rounds: int = ROUNDS) -> list[int]:
     return keys
 
 
-def bucket_of(id_col: Column, buckets: int) -> Column:
-    mixed = F.pmod(F.pmod(F.coalesce(id_col.cast("long"), F.lit(0)), F.lit(PRIME)) * F.lit(MULTIPLIER), F.lit(PRIME))
+def bucket_key(id_col: Column, id_type: T.DataType, text_crc32: Column) -> Column:
+    """A long that spreads rows: the id, a checksum of an id that is no integer, that of the text where there is no id."""
+    number = id_col.cast("long") if isinstance(id_type, T.IntegralType) else F.crc32(id_col.cast("string").cast("binary")).cast("long")
+    return F.coalesce(number, text_crc32)
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    mixed = F.pmod(F.pmod(key, F.lit(PRIME)) * F.lit(MULTIPLIER), F.lit(PRIME))
     return F.pmod(mixed, F.lit(buckets)).cast("int")
 
 
@@ -72,21 +79,20 @@ def permute(number: Column, n: int, seed: int) -> Column:
     return F.when(done < F.lit(n), done).otherwise(F.raise_error("cycle walk did not end").cast("long"))
 
 
-def number_rows(rows: DataFrame, key_source: DataFrame, id_col: str, order: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """``rows`` with a column ``row_number`` from 0 without gaps, by bucket and then ``order``.
+def number_rows(rows: DataFrame, key_source: DataFrame, order: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """``rows`` with a column ``row_number`` from 0 without gaps, by bucket of ``key`` and then ``order``.
 
-    ``key_source`` has the same rows and is read for ``id_col`` alone.
+    ``key_source`` has the keys of the same rows.
     """
-    counts = key_source.select(bucket_of(F.col(id_col), buckets).alias("_bucket")).groupBy("_bucket").count()
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_bucket").orderBy(*order)
+    counts = key_source.select(bucket_of(F.col("key"), buckets).alias("bucket")).groupBy("bucket").count()
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("bucket").orderBy(*order)
     return (
-        rows.withColumn("_bucket", bucket_of(F.col(id_col), buckets))
-        .withColumn("_inside", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn("row_number", F.col("_offset") + F.col("_inside"))
-        .drop("_bucket", "_inside", "_offset")
+        rows.withColumn("bucket", bucket_of(F.col("key"), buckets))
+        .withColumn("inside", F.row_number().over(inside) - 1)
+        .join(F.broadcast(offsets), "bucket")
+        .withColumn("row_number", F.col("offset") + F.col("inside"))
     )
 
 
@@ -95,13 +101,15 @@ def assign_shards(
 ) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, position."""
     n = docs.count()
+    text_crc32 = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("long")
+    key = bucket_key(F.col(id_col), docs.select(id_col).schema[0].dataType, text_crc32)
     narrow = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
+        text_crc32.alias("text_crc32"),
+        key.alias("key"),
     )
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    numbered = number_rows(narrow, ids, "doc_id", ["doc_id", "text_crc32", "size"], buckets)
+    numbered = number_rows(narrow, docs.select(key.alias("key")), ["doc_id", "text_crc32", "size"], buckets)
     return numbered.withColumn("position", permute(F.col("row_number"), n, seed)).select(
         "doc_id",
         "size",
@@ -138,7 +146,7 @@ crc AS (
       lambda c, h: xor(c >> 4, ({crc_table}::BIGINT[])[(xor(c, h) & 15) + 1])), 4294967295::BIGINT) AS BIGINT) AS text_crc32
   FROM nibbles),
 dealt AS (
-  SELECT *, (((coalesce(doc_id, 0) % {PRIME} + {PRIME}) % {PRIME}) * {MULTIPLIER} % {PRIME}) % {BUCKETS} AS bucket,
+  SELECT *, (((coalesce(doc_id, text_crc32) % {PRIME} + {PRIME}) % {PRIME}) * {MULTIPLIER} % {PRIME}) % {BUCKETS} AS bucket,
          (SELECT count(*) FROM documents) AS n FROM crc),
 sides AS (
   SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS a,

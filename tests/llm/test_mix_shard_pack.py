@@ -156,3 +156,29 @@ def test_packed_pieces_rebuild_documents(docs, no_docs):
             expected[r.doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids)] += 1
     assert Counter((p.doc_id, p.start, p.length, p.ids_crc32, p.doc_tokens) for p in pieces) == expected
     assert packing.pack(no_docs).count() == 0
+
+
+def test_ids_that_are_no_integers(spark):
+    texts = ["one two three", None, "", "four five"] * 10
+    rows = [(None if i % 3 == 0 else f"doc-{i}", t, "s") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string").repartition(3)
+    ids = sorted(map(str, (r[0] for r in rows)))
+    sharded = sharding.assign_shards(docs, shards=7).collect()
+    assert sorted(str(r.doc_id) for r in sharded) == ids
+    assert sorted(r.position for r in sharded) == list(range(40))
+    packed = packing.pack(docs)
+    assert dict(packed.dtypes)["doc_id"] == "string" and sorted(str(r.doc_id) for r in packed.collect()) == ids
+    assert sorted(str(r.doc_id) for r in mixing.plan_mix(docs).collect()) == ids
+
+
+def test_bucket_digits_do_not_change_the_mix(docs):
+    plans = [Counter(map(tuple, mixing.plan_mix(docs, bucket_digits=n).collect())) for n in (1, 2, 4)]
+    assert plans[0] == plans[1] == plans[2] == Counter(map(tuple, mixing.plan_mix(docs).collect()))
+
+
+def test_rows_without_ids_are_spread(spark):
+    docs = spark.range(2000).selectExpr("cast(null as long) as doc_id", "concat('text ', id) as text")
+    crc = F.crc32(F.col("text").cast("binary")).cast("long")
+    key = sharding.bucket_key(F.col("doc_id"), docs.schema[0].dataType, crc)
+    assert docs.select(sharding.bucket_of(key, 64).alias("b")).distinct().count() > 50
+    assert sorted(r.position for r in sharding.assign_shards(docs, buckets=64).collect()) == list(range(2000))
