@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from loomgraph.extract.sites import Site
@@ -22,6 +23,7 @@ class _Scan:
     def __init__(self, source: str, typed: bool):
         self.c, self.typed = Cursor(source, ECMA), typed
         self.named: set[int] = set()  # tokens that name a definition
+        self.ends = [k for k, t in enumerate(self.c.all) if t.kind == "string" or t.text == ";"]
 
     def types(self, start: int, stop: int) -> Iterator[Site]:
         """References to the types named among tokens ``start`` .. ``stop``."""
@@ -137,7 +139,8 @@ class _Scan:
             elif t.text == "as" and c.is_word(i + 1) and c.is_word(i - 1):
                 yield from self.types(i + 1, i + 2)
             elif t.text == "import" and c[i + 1].text not in ("(", "."):
-                end = next((k for k in range(i + 1, min(i + 400, len(c))) if c[k].kind == "string" or c[k].text == ";"), i)
+                at = bisect_right(self.ends, i)
+                end = self.ends[at] if at < len(self.ends) else i
                 if c[end].kind == "string":
                     module = c[end].text.strip("'\"")
                     yield Site("Import", module, t.start, c[end].end, module_path=module)

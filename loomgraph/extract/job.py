@@ -14,6 +14,8 @@ from loomgraph.functions import paths
 SPAN = ("start_line", "start_col", "end_line", "end_col")
 SITES = """path string, what string, ordinal long, kind string, name string, module_path string, visibility string, signature string,
 start_line int, start_col int, end_line int, end_col int, around array<int>, message string"""
+#: Sites handed over at a time.
+ROWS = 10_000
 COLUMNS = [c.split()[0] for c in SITES.split(",")]
 
 
@@ -44,11 +46,19 @@ def extract_sites(files: DataFrame) -> DataFrame:
     extractors = dict(EXTRACTORS)
 
     def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple] = []
+
+        def handed_over() -> pd.DataFrame:
+            out = pd.DataFrame(found, columns=COLUMNS).astype({c: "Int32" for c in SPAN})
+            found.clear()
+            return out
+
         for batch in batches:
             for path, language, content in zip(batch["path"], batch["language"], batch["content"], strict=True):
-                yield pd.DataFrame(list(_rows(path, language, content, extractors)), columns=COLUMNS).astype(
-                    {c: "Int32" for c in SPAN}
-                )
+                found += _rows(path, language, content, extractors)
+                if len(found) >= ROWS:
+                    yield handed_over()
+        yield handed_over()
 
     known = files.filter(F.col("language").isin(*extractors))
     return known.select("path", "language", "content").mapInPandas(of_batches, SITES)

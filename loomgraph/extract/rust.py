@@ -29,6 +29,9 @@ class _Scan:
     def __init__(self, source: str):
         self.source, self.c = source, Cursor(source, RUST)
         self.named: set[int] = set()
+        self.opening: dict[int, int] = {}
+        for opening, closing in self.c.close.items():
+            self.opening.setdefault(closing, opening)
 
     def text(self, start: int, stop: int) -> str:
         return self.source[self.c[start].start : self.c[stop - 1].end] if stop > start else ""
@@ -49,7 +52,7 @@ class _Scan:
         if c[i - 1].text == "pub":
             return i - 1, "pub"
         if c[i - 1].text == ")":
-            opening = next((k for k in range(i - 2, max(-1, i - 12), -1) if c[k].text == "("), -1)
+            opening = self.opening.get(i - 1, -1)
             if c[opening - 1].text == "pub":
                 return opening - 1, self.text(opening - 1, i)
         return i, None

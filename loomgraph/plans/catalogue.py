@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.extract import job
 from loomgraph.functions import names, paths, style
-from loomgraph.operators import geometry, hierarchy, layout, merge, resolve, view
+from loomgraph.operators import geometry, hierarchy, layout, merge, numbering, resolve, view
+from loomgraph.plans import sources_workload as sw
 from loomgraph.plans import workload as w
 from loomgraph.schema import BLOCK_KINDS, EDGE_KINDS, NODE_SIZES, SUFFIXES
 from loomgraph.streaming import progress
@@ -742,3 +744,38 @@ def reroute_edges(spark, d):
         geometry.anchor(tb, p[1], p[0]).alias("target_anchor"),
     )
     return geometry.reroute(edges).select("source", "target", F.size("points").alias("n_points"), F.to_json("points").alias("points"))
+
+
+# Extraction.
+
+
+def _extracted_blocks(language: str) -> None:
+    def blocks(spark, d):
+        found = job.blocks_of(job.extract_sites(sw.source_files(spark, d, language)))
+        lines = [F.col(f"span.{c}").alias(c) for c in ("start_line", "end_line")]
+        return found.select("id", "kind", "name", "visibility", "signature", *lines, "parent_id", "file_path")
+
+    blocks.__name__ = f"extract_blocks_{language.lower()}"
+    query(sw.blocks_sql(language))(blocks)
+
+
+def _extracted_references(language: str) -> None:
+    def references(spark, d):
+        found = job.references_of(job.extract_sites(sw.source_files(spark, d, language)))
+        return found.select("from_node", "kind", "name", "module_path", "file_path")
+
+    references.__name__ = f"extract_references_{language.lower()}"
+    query(sw.references_sql(language))(references)
+
+
+for _language in sw.LANGUAGES:
+    _extracted_blocks(_language)
+    _extracted_references(_language)
+
+
+@query(sw.results_sql())
+def extract_results(spark, d):
+    """A row per file in the order of paths: its blocks, or that it could not be read."""
+    results = job.results_of(job.extract_sites(sw.source_files(spark, d)))
+    numbered = numbering.with_row_numbers(results, "path", name="seq")
+    return numbered.select("path", "blocks", F.col("message").isNotNull().alias("failed"), "seq")
