@@ -17,15 +17,17 @@ All links within the budget are found; a component is what links reach.
 A similarity of 0.8 is about 15 % of the bits, far too many for blocks without an error. So
 :func:`keep_one` takes fingerprints of ``WIDE`` bits and walks many tries, each over 64 bits drawn from
 them: the first ``prefix`` levels without an error, the other levels and then the whole fingerprint
-within the errors expected at that similarity and ``SPREAD`` standard deviations more. Every pair that is left is verified
+within the errors expected at that similarity and a few standard deviations more. Every pair that is left is verified
 by its shingle sets, so no pair below the similarity is a link. The tries are as many as it takes to
 miss a pair of exactly the similarity with a chance of ``MISSED``, nearer pairs far less often. A
 trie node is reached by chance by ``documents / 2 ** prefix`` texts, so ``prefix`` grows with the
 logarithm of the distinct texts, and with it the number of walks: recall is the same at every size.
 
-Not every pair of a trie node needs a look, as only components matter. First the texts of a node
-are compared with one of them, drawn for each node anew, so a large group of near copies takes
-pairs in proportion to its size. Then the pairs of a node that are still in different components.
+Not every pair of a trie node needs a look, as only components matter. Nodes of up to ``SMALL`` texts give
+all their pairs. In larger ones, as a large group of near copies makes them, the smallest text stands for the
+node: first each text is compared with the smallest text that stands for a node of its own, one pair a
+text; then those not yet linked with the others that stand for their nodes; last, all pairs of a node that are
+still in different components.
 
 Defined results: A-Z are lower-cased; a text of fewer words than a shingle is one shingle. A null or
 wordless text has fingerprint 0, linked like any other, and for :func:`keep_one` such texts are
@@ -43,6 +45,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,10 +63,12 @@ BLOCK = 1 << 16
 # Near copies by similarity.
 NEAR_SHINGLE, LEAST = 5, 0.8
 WIDE = 1024
-#: Standard deviations of differing bits allowed beyond those expected at the least similarity.
-SPREAD = 4.0
+#: Standard deviations of differing bits allowed beyond those expected at the least similarity, in a walk and in all bits.
+SPREAD_OF_WALK, SPREAD = 2.5, 4.0
 #: Levels without an error, at least, and the chance to miss a pair of just the least similarity.
-PREFIX, MISSED = 20, 0.01
+PREFIX, MISSED = 20, 0.02
+#: Texts of a trie node that are all compared with one another.
+SMALL = 16
 #: Rows of the table of signs that shingles draw from.
 SIGN_ROWS = 1 << 14
 WIDE_BLOCK = 1 << 12
@@ -223,10 +228,10 @@ def walks_for(prefix: int, least: float = LEAST, missed: float = MISSED) -> int:
     return math.ceil(math.log(missed) / math.log1p(-((1 - share_of_bits(least)) ** prefix)))
 
 
-def error_budget(bits: int, least: float) -> int:
+def error_budget(bits: int, least: float, spread: float = SPREAD) -> int:
     """Differing bits allowed among so many."""
     differs = share_of_bits(least)
-    return min(bits, math.ceil(bits * differs + SPREAD * math.sqrt(bits * differs * (1 - differs))))
+    return min(bits, math.ceil(bits * differs + spread * math.sqrt(bits * differs * (1 - differs))))
 
 
 @lru_cache(maxsize=4)
@@ -278,63 +283,150 @@ def _set_column(text: Column, shingle: int) -> Column:
     return of_batches(text)
 
 
-def _within(pairs: DataFrame, least: float, prefix: int) -> DataFrame:
-    """Distinct (a, b), a < b, of rows (x, n_x, rest_x, y, n_y, rest_y) that neither the walk nor their sizes rule out."""
-    alike = F.bit_count(F.col("rest_x").bitwiseXOR(F.col("rest_y"))) <= error_budget(BITS - prefix, least)
-    sized = F.least("n_x", "n_y") / F.greatest("n_x", "n_y") >= least
-    return pairs.filter((F.col("x") != F.col("y")) & alike & sized).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+class _Met:
+    """Walks down the sorted leaves of a partition; what meets in a trie node within the budget."""
+
+    def __init__(self, budget: int):
+        self.budget = budget
+        self.open = tuple(np.empty(0, dtype=np.int64) for _ in range(3))  # the last node so far, whole if small
+        self.first: tuple[int, int, int] | None = None  # of the last node so far, if large: key, text, rest
+
+    def _close(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x ^ y) <= self.budget
+
+    def _of_large(self, key, node, rest, first) -> list[tuple]:
+        met = self._close(rest, first[2]) & (node != first[1])
+        return [(key, node, np.full(len(node), first[1]), rest, met)]
+
+    def add(self, key: np.ndarray, node: np.ndarray, rest: np.ndarray) -> list[tuple]:
+        """Tuples of arrays: key (None for small nodes), text, other text, rest, whether the two met."""
+        out = []
+        if self.first is not None:
+            same = int(np.searchsorted(key, self.first[0], side="right"))
+            out += self._of_large(key[:same], node[:same], rest[:same], self.first)
+            key, node, rest = key[same:], node[same:], rest[same:]
+            if not len(key):
+                return out
+            self.first = None
+        key, node, rest = (np.concatenate(pair) for pair in zip(self.open, (key, node, rest), strict=True))
+        if not len(key):
+            return out
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(starts, len(key)))
+        out += self._whole(key, node, rest, starts[:-1], sizes[:-1])
+        last = slice(int(starts[-1]), None)
+        self.open = (key[last], node[last], rest[last])
+        if sizes[-1] > SMALL:
+            self.first = tuple(int(c[0]) for c in self.open)
+            out += self._of_large(*self.open, self.first)
+            self.open = tuple(np.empty(0, dtype=np.int64) for _ in range(3))
+        return out
+
+    def end(self) -> list[tuple]:
+        key, node, rest = self.open
+        return self._whole(key, node, rest, np.array([0]), np.array([len(key)])) if len(key) else []
+
+    def _whole(self, key, node, rest, starts, sizes) -> list[tuple]:
+        out = []
+        small = (sizes > 1) & (sizes <= SMALL)
+        inside = np.repeat(starts, np.where(small, sizes, 0))
+        at = inside + np.arange(len(inside)) - np.repeat(np.cumsum(sizes[small]) - sizes[small], sizes[small])
+        k, n, r = key[at], node[at], rest[at]
+        for step in range(1, min(SMALL, len(k))):
+            met = (k[step:] == k[:-step]) & self._close(r[step:], r[:-step])
+            out.append((None, n[step:][met], n[:-step][met], r[step:][met], np.ones(int(met.sum()), dtype=bool)))
+        for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+            whole = slice(start, start + size)
+            out += self._of_large(key[whole], node[whole], rest[whole], (int(key[start]), int(node[start]), int(rest[start])))
+        return out
+
+
+def _meetings(leaves: DataFrame, budget: int) -> DataFrame:
+    """(key, node, rest), together and in order by key and node, to (key, x, y, rest).
+
+    Of a small trie node: its pairs (x, y) within the budget, without key. Of a large one: a row for each text x, y the
+    first text of the node if within the budget.
+    """
+    schema = pa.schema({"key": pa.int64(), "x": pa.int64(), "y": pa.int64(), "rest": pa.int64()})
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Met(budget)
+
+        def rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for key, x, y, rest, within in found:
+                if len(x):
+                    keys = pa.nulls(len(x), pa.int64()) if key is None else pa.array(key)
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(x), pa.array(y, mask=~within), pa.array(rest)], schema=schema)
+
+        for batch in batches:
+            yield from rows(met.add(*[batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "rest")]))
+        yield from rows(met.end())
+
+    return leaves.mapInArrow(of_batches, "key long, x long, y long, rest long")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs whose whole fingerprints are within the budget, and whose shingle sets have a Jaccard similarity of ``least``."""
 
-    def joined(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    def joined(pairs: DataFrame, values: DataFrame, *names: str) -> DataFrame:
         for end in ("a", "b"):
-            pairs = pairs.join(values.select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}")), end)
+            pairs = pairs.join(values.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in names]), end)
         return pairs
 
     fresh = F.zip_with("print_a", "print_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     errors = F.aggregate(fresh, F.lit(0), lambda total, n: total + n)
-    close = written(joined(pairs, nodes, "print").filter(errors <= error_budget(WIDE, least)).select("a", "b"))
-    needed = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
+    sized = F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b")
+    close = written(joined(pairs, nodes, "n", "print").filter(sized & (errors <= error_budget(WIDE, least))).select("a", "b"))
+    ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    needed = ends.join(nodes.select("node", "row"), "node")
     sets = written(texts.join(needed, "row").select("node", _set_column(F.col("text"), shingle).alias("set")))
     shared = F.size(F.array_intersect("set_a", "set_b"))
     sizes = F.size("set_a") + F.size("set_b")
     return joined(close, sets, "set").filter(shared >= F.lit(least) * (sizes - shared)).select("a", "b")
 
 
+def _labelled(rows: DataFrame, roots: DataFrame, name: str, label: str) -> DataFrame:
+    """``rows`` with the component that ``name`` is known to be in, at first its own."""
+    found = roots.select(F.col("node").alias(name), F.col("root").alias(label))
+    return rows.join(found, name, "left").withColumn(label, F.coalesce(label, name))
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame, *, shingle: int, least: float, prefix: int) -> DataFrame:
     """(node, root) of the components that links join.
 
     ``nodes`` is (node, n, print, row) with a row for each distinct shingle set, ``texts`` (row, text).
     """
     walked = _walked(F.col("print"), prefix, walks_for(prefix, least))
-    dealt = nodes.filter("n > 0").select("node", "n", walked.alias("w")).select("node", "n", F.inline(F.arrays_zip("w.key", "w.rest")))
-    drawn = F.struct(F.xxhash64("node", "key"), "node")
-    chosen = dealt.groupBy("key").agg(
-        F.count(F.lit(1)).alias("times"), F.min_by(F.struct("node", "n", "rest"), drawn).alias("one")
-    )
-    # Written, so that both sides of the join are fresh shuffles and the adaptive join can split a node of very many texts.
-    shared = written(dealt.join(written(chosen.filter("times > 1").drop("times")), "key"))
-    with_one = shared.select(
-        *[F.col(c).alias(name) for c, name in (("node", "x"), ("n", "n_x"), ("rest", "rest_x"))],
-        *[F.col(f"one.{c}").alias(name) for c, name in (("node", "y"), ("n", "n_y"), ("rest", "rest_y"))],
-    )
-    tested = written(_within(with_one, least, prefix))
+    leaves = nodes.filter("n > 0").select("node", walked.alias("w")).select("node", F.inline(F.arrays_zip("w.key", "w.rest")))
+    budget = error_budget(BITS - prefix, least, SPREAD_OF_WALK)
+    met = written(_meetings(leaves.repartition("key").sortWithinPartitions("key", "node"), budget))
+    large = met.filter("key is not null")
+
+    nearest = large.filter("y is not null").groupBy("x").agg(F.min("y").alias("y"))
+    tested = written(_ordered(met.filter("key is null").select("x", "y").unionByName(nearest)))
     links = durable(_verified(tested, nodes, texts, shingle, least))
+    roots = connected_components(links)
 
+    others = large.filter("y is not null").select("x", "y").distinct()
+    others = _labelled(_labelled(others, roots, "x", "label_x"), roots, "y", "label_y").filter("label_x <> label_y")
+    second = written(_ordered(others).join(tested, ["a", "b"], "left_anti"))
+    links = durable(links.unionByName(_verified(second, nodes, texts, shingle, least)))
     roots = connected_components(links)
-    labelled = shared.join(roots, "node", "left").select("key", "node", "n", "rest", F.coalesce("root", "node").alias("label"))
-    labelled = written(labelled)
-    by_label = labelled.groupBy("key", "label").count()
+
+    members = written(_labelled(large.select("key", "x", "rest"), roots, "x", "label"))
+    by_label = members.groupBy("key", "label").count()
     major = by_label.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
-    apart = labelled.join(written(major.filter("labels > 1").drop("labels")), "key")
-    side = lambda df, name: df.select("key", *[F.col(c).alias(n) for c, n in zip(("node", "n", "rest", "label"), name, strict=True)])
-    left = side(apart.filter("label <> major"), ("x", "n_x", "rest_x", "label_x"))
-    right = side(labelled, ("y", "n_y", "rest_y", "label_y"))
-    rest = _within(left.join(right, "key").filter("label_x <> label_y"), least, prefix).join(tested, ["a", "b"], "left_anti")
-    more = durable(_verified(written(rest), nodes, texts, shingle, least))
-    return connected_components(links.unionByName(more))
+    apart = members.join(written(major.filter("labels > 1").drop("labels")), "key").filter("label <> major").drop("major")
+    side = members.select("key", F.col("x").alias("y"), F.col("rest").alias("rest_y"), F.col("label").alias("label_y"))
+    alike = F.bit_count(F.col("rest").bitwiseXOR(F.col("rest_y"))) <= budget
+    left = apart.withColumnRenamed("key", "key_x")
+    pairs = left.join(side, (F.col("key_x") == F.col("key")) & (F.col("label") != F.col("label_y")) & alike)
+    third = written(_ordered(pairs).join(tested.unionByName(second), ["a", "b"], "left_anti"))
+    return connected_components(links.unionByName(durable(_verified(third, nodes, texts, shingle, least))))
 
 
 def keep_one(

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from loomgraph.llm import simhash
 
@@ -83,3 +84,44 @@ def test_rows_without_ids_and_repeated_ids(spark):
     found = Counter(map(tuple, simhash.keep_one(docs).collect()))
     assert found == Counter([(None, "x y z"), (None, "other text"), (5, "p q r"), (5, "another")])
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def brute_meetings(rows, budget):
+    """What is met in each trie node, by comparing its rows directly."""
+    by_key = {}
+    for key, node, rest in rows:
+        by_key.setdefault(key, []).append((node, rest))
+    small, large = set(), set()
+    for key, texts in by_key.items():
+        texts.sort()
+        if len(texts) <= simhash.SMALL:
+            small |= {(a, b) for i, (b, r) in enumerate(texts) for a, s in texts[i + 1 :] if bin(r ^ s).count("1") <= budget}
+        else:
+            (first, r), *_ = texts
+            large |= {(key, n, first if n != first and bin(r ^ s).count("1") <= budget else None, s) for n, s in texts}
+    return small, large
+
+
+@pytest.mark.parametrize("batch", [1, 3, 7, 50, 10_000])
+def test_meetings_match_brute_force_however_batches_cut(batch):
+    rng = random.Random(batch)
+    rows = [(key, 1000 * key + i, rng.getrandbits(6)) for key in range(40) for i in range(rng.choice([1, 1, 2, 3, 16, 17, 40]))]
+    met, found = simhash._Met(2), []
+    for at in range(0, len(rows), batch):
+        found += met.add(*[np.array(c, dtype=np.int64) for c in zip(*rows[at : at + batch], strict=True)])
+    small, large = set(), set()
+    for key, x, y, rest, within in found + met.end():
+        if key is None:
+            assert within.all()
+            small |= set(zip(x.tolist(), y.tolist(), strict=True))
+        else:
+            large |= {(k, a, b if w else None, r) for k, a, b, r, w in zip(key.tolist(), x.tolist(), y.tolist(), rest.tolist(), within.tolist(), strict=True)}
+    assert (small, large) == brute_meetings(rows, 2)
+
+
+def test_a_large_group_of_near_copies_is_one(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(edited(rng, base, rng.randrange(4))) for _ in range(300)] + [f"quite another text number {i} of its own" for i in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == kept_by_brute_force(texts)
