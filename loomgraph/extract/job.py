@@ -13,7 +13,7 @@ from loomgraph.functions import paths
 
 SPAN = ("start_line", "start_col", "end_line", "end_col")
 SITES = """path string, what string, ordinal long, kind string, name string, module_path string, visibility string, signature string,
-start_line int, start_col int, end_line int, end_col int, around array<int>, message string"""
+start_line int, start_col int, end_line int, end_col int, around array<int>, message string, n_refs long"""
 #: Sites handed over at a time.
 ROWS = 10_000
 COLUMNS = [c.split()[0] for c in SITES.split(",")]
@@ -22,23 +22,23 @@ COLUMNS = [c.split()[0] for c in SITES.split(",")]
 def _rows(path: str, language: str, content: bytes | None, extractors: dict) -> Iterator[tuple]:
     blank = (None,) * 10
     if content is None:
-        yield path, "error", 0, *blank, "cannot be read"
+        yield path, "error", 0, *blank, "cannot be read", 0
         return
     try:
         source = content.decode("utf-8")
     except UnicodeDecodeError as e:
-        yield path, "error", 0, *blank, f"not valid UTF-8: {e}"
+        yield path, "error", 0, *blank, f"not valid UTF-8: {e}", 0
         return
     lines = Lines(source)
     blocks, parents, references = enclosed(extractors[language](source))
     for i, (block, parent) in enumerate(zip(blocks, parents, strict=True)):
         place = (*lines.at(block.start), *lines.at(block.end))
         around = [] if parent is None else [parent]
-        yield path, "block", i, block.kind, block.name, None, block.visibility, signature(source[block.start : block.end]), *place, around, None
+        yield path, "block", i, block.kind, block.name, None, block.visibility, signature(source[block.start : block.end]), *place, around, None, None
     for i, (ref, around) in enumerate(references):
         if around:
-            yield path, "ref", i, ref.kind, ref.name, ref.module_path, None, None, *lines.at(ref.start), *lines.at(ref.end), around, None
-    yield path, "done", len(blocks), *blank, None
+            yield path, "ref", i, ref.kind, ref.name, ref.module_path, None, None, *lines.at(ref.start), *lines.at(ref.end), around, None, None
+    yield path, "done", len(blocks), *blank, None, len(references)
 
 
 def extract_sites(files: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def extract_sites(files: DataFrame) -> DataFrame:
         found: list[tuple] = []
 
         def handed_over() -> pd.DataFrame:
-            out = pd.DataFrame(found, columns=COLUMNS).astype({c: "Int32" for c in SPAN})
+            out = pd.DataFrame(found, columns=COLUMNS).astype({c: "Int32" for c in SPAN} | {"n_refs": "Int64"})
             found.clear()
             return out
 
@@ -100,7 +100,7 @@ def references_of(sites: DataFrame) -> DataFrame:
 
 
 def results_of(sites: DataFrame) -> DataFrame:
-    """(path, blocks, message), a row per file."""
+    """(path, blocks, message, n_refs), a row per file."""
     return sites.filter("what in ('done', 'error')").select(
-        "path", F.when(F.col("what") == "done", F.col("ordinal")).alias("blocks"), "message"
+        "path", F.when(F.col("what") == "done", F.col("ordinal")).alias("blocks"), "message", "n_refs"
     )

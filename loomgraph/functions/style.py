@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomgraph.schema import BLOCK_KINDS, EDGE_KINDS, NO_KIND, NODE_SIZES
+from loomgraph.schema import BLOCK_ICONS, BLOCK_KINDS, EDGE_KINDS, NO_BLOCK_COLOUR, NO_ICON, NO_KIND, NODE_COLOURS, NODE_ICONS, NODE_SIZES
 
 FAINTEST = 0.05
 
@@ -72,6 +72,16 @@ def darkened(colour: Column, share: float = 0.25) -> Column:
     return F.concat(F.lit("#"), channel(2), channel(4), channel(6))
 
 
+def node_colour(type_: Column, kind: Column) -> Column:
+    """Background of a node; that of a block is its colour, darkened."""
+    block = darkened(F.coalesce(block_colour(kind), F.lit(NO_BLOCK_COLOUR)))
+    return F.when(type_ == "CodeBlock", block).otherwise(_choose(type_, NODE_COLOURS, None))
+
+
+def node_icon(type_: Column, kind: Column) -> Column:
+    return F.when(type_ == "CodeBlock", _choose(kind, BLOCK_ICONS, NO_ICON)).otherwise(_choose(type_, NODE_ICONS, None))
+
+
 def node_label(type_: Column, kind: Column, name: Column) -> Column:
     prefix = _choose(kind, {k: v[1] for k, v in BLOCK_KINDS.items()}, None)
     return F.when(type_ == "CodeBlock", F.concat_ws(" ", prefix, name)).otherwise(name)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.extract import job
-from loomgraph.operators import hierarchy, merge, resolve, view
+from loomgraph.operators import hierarchy, merge, numbering, resolve, view
 from loomgraph.schema import EDGES, NODES
 from loomgraph.sources import graph_json, repo_tree
 from loomgraph.streaming import progress
@@ -64,7 +64,11 @@ class CodeGraph:
         blocks = merge.last_definitions(blocks)
         base = self.nodes.filter("type <> 'CodeBlock'")
         nodes = base.unionByName(_conform(blocks, NODES))
-        refs = job.references_of(sites).withColumn("seq", F.xxhash64("file_path").bitwiseAND(F.lit((1 << 40) - 1)) * (1 << 20) + F.col("ordinal"))
+        # References in the order of their files' paths, then of the text.
+        last = job.results_of(sites).agg(F.coalesce(F.max("n_refs"), F.lit(0)).alias("last"))
+        places = numbering.with_row_numbers(job.results_of(sites).select("path", F.split("path", "/").alias("parts")), "parts", name="place")
+        placed = job.references_of(sites).join(places.select(F.col("path").alias("file_path"), "place"), "file_path")
+        refs = placed.crossJoin(F.broadcast(last)).withColumn("seq", F.col("place") * (F.col("last") + 1) + F.col("ordinal"))
         symbols = resolve.symbol_table(nodes)
         by_name = resolve.resolve_symbols(refs, symbols)
         imports = resolve.resolve_imports(refs.filter("kind = 'Import'"), base.filter("type = 'File'"))
@@ -75,8 +79,8 @@ class CodeGraph:
         """Progress events of the parse."""
         if self.sites is None:
             raise ValueError("the graph has not been parsed")
-        order = Window.orderBy(F.split("path", "/"))  # a row per file
-        results = job.results_of(self.sites).withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
+        results = job.results_of(self.sites).withColumn("parts", F.split("path", "/"))
+        results = numbering.with_row_numbers(results, "parts", name="seq").drop("parts")
         return progress.file_events(results, run_id)
 
     def release(self) -> None:

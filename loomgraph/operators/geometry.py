@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.schema import ANCHOR, POINT
+from loomgraph.schema import POINT
 
 # Fixed values.
 BOUNDARY = 4.0
@@ -90,7 +90,7 @@ def without_repeats(points: Column) -> Column:
     )
 
 
-def flattened(points: Column, dx: Column, dy: Column) -> Column:
+def shifted(points: Column, dx: Column, dy: Column) -> Column:
     """A polyline moved by the offsets of its container."""
     return F.transform(points, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y")))
 
@@ -206,11 +206,29 @@ def resolved(points, old_source, old_target, source, target, source_anchor, targ
     return orthogonal(source, target, source_anchor, target_anchor, points)
 
 
+def simplify(points: Column) -> Column:
+    """Polylines without repeated points and without points in the middle of a straight run."""
+
+    @F.pandas_udf(T.ArrayType(POINT))
+    def of_batches(lines: pd.Series) -> pd.Series:
+        return pd.Series([[{"x": x, "y": y} for x, y in simplified([(p["x"], p["y"]) for p in line])] for line in lines], dtype=object)
+
+    return of_batches(points)
+
+
+def moved_alike(same: float = 1.0) -> Column:
+    """Whether both boxes of an edge have moved, and by the same."""
+    by = lambda end, c: F.col(f"{end}_box")[c] - F.col(f"old_{end}_box")[c]
+    alike = (F.abs(by("source", "x") - by("target", "x")) <= same) & (F.abs(by("source", "y") - by("target", "y")) <= same)
+    still = [(F.abs(by(end, "x")) <= same) & (F.abs(by(end, "y")) <= same) for end in ("source", "target")]
+    return alike & ~(still[0] & still[1])
+
+
 def reroute(edges: DataFrame) -> DataFrame:
     """``edges`` with ``points`` resolved against moved boxes.
 
     Columns used: points, source_box, target_box, old_source_box, old_target_box, source_anchor,
-    target_anchor.
+    target_anchor. Routes whose boxes moved alike move along without Python.
     """
 
     @F.pandas_udf(T.ArrayType(POINT))
@@ -218,25 +236,15 @@ def reroute(edges: DataFrame) -> DataFrame:
         boxes = [list(b[["x", "y", "width", "height"]].itertuples(index=False, name=None)) for b in (osb, otb, sb, tb)]
         anchors = [list(a[["side", "offset"]].itertuples(index=False, name=None)) for a in (sa, ta)]
         routes = (
-            resolved([(p["x"], p["y"]) for p in line], *row)
+            None if line is None else resolved([(p["x"], p["y"]) for p in line], *row)
             for line, *row in zip(points, *boxes, *anchors, strict=True)
         )
-        return pd.Series([[{"x": x, "y": y} for x, y in r] for r in routes])
-
-    names = ("points", "source_box", "target_box", "old_source_box", "old_target_box", "source_anchor", "target_anchor")
-    return edges.withColumn("points", route(*[F.col(n) for n in names]))
-
-
-BOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y", "width", "height")])
-ROUTES = T.StructType(
-    [
-        T.StructField("idx", T.LongType()),
-        T.StructField("source", T.StringType()),
-        T.StructField("target", T.StringType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("color", T.StringType()),
-        T.StructField("points", T.ArrayType(POINT)),
-        T.StructField("source_anchor", ANCHOR),
-        T.StructField("target_anchor", ANCHOR),
-    ]
-)
+        return pd.Series([None if r is None else [{"x": x, "y": y} for x, y in r] for r in routes], dtype=object)
+
+    alike = moved_alike()
+    names = ("source_box", "target_box", "old_source_box", "old_target_box", "source_anchor", "target_anchor")
+    turned = route(F.when(~alike, F.col("points")), *[F.col(n) for n in names])
+    move = lambda c: F.col("source_box")[c] - F.col("old_source_box")[c]
+    return edges.withColumn("turned", turned).withColumn(
+        "points", F.when(alike, shifted(F.col("points"), move("x"), move("y"))).otherwise(F.col("turned"))
+    ).drop("turned")

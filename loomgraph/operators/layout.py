@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import style
-from loomgraph.operators import hierarchy
+from loomgraph.operators import geometry, hierarchy, numbering
 from loomgraph.schema import PADDING
 
 COLUMNS, START, STEP_X, STEP_Y = 8, 20.0, 220.0, 60.0
 
 
 def grid_layout(visible: DataFrame, nodes: DataFrame, *, order: str = "pos") -> DataFrame:
-    """Boxes of the visible nodes on a grid of eight columns, in order; ids without a node take no place.
-
-    A layout is a picture of what one view shows, so its order is global; the ids are the only
-    columns that are sorted.
-    """
-    placed = visible.join(nodes.select("id", "type"), "id").withColumn("i", F.row_number().over(Window.orderBy(order)) - 1)
+    """Boxes of the visible nodes on a grid of eight columns, in order; ids without a node take no place."""
+    placed = numbering.with_row_numbers(visible.join(nodes.select("id", "type"), "id").select("id", "type", order), order, name="i")
     size = style.node_size(F.col("type"))
     return placed.select(
         F.col("id").alias("node_id"),
@@ -50,9 +46,9 @@ def fit_scale(bounds: DataFrame, view_width: float, view_height: float, padding:
     return bounds.withColumn("scale", F.least(wide, high, F.lit(1.0)))
 
 
-def minimap_rectangles(boxes: DataFrame, width: float = 150.0, height: float = 100.0, inset: float = 4.0) -> DataFrame:
-    """Boxes projected onto a minimap, at least 2 by 1 large."""
-    bounds = world_bounds(boxes).select(
+def _minimap_scale(boxes: DataFrame, width: float, height: float, inset: float) -> DataFrame:
+    """One row: min_x, min_y, scale."""
+    return world_bounds(boxes).select(
         F.col("min_x"),
         F.col("min_y"),
         F.least(
@@ -60,6 +56,23 @@ def minimap_rectangles(boxes: DataFrame, width: float = 150.0, height: float = 1
             (F.lit(height) - 2 * inset) / _extent(F.col("min_y"), F.col("max_y")),
         ).alias("scale"),
     )
+
+
+def minimap_viewport(
+    boxes: DataFrame, x: float, y: float, view_width: float, view_height: float, width: float = 150.0, height: float = 100.0, inset: float = 4.0
+) -> DataFrame:
+    """One row: what a viewport covers of the minimap of ``boxes``."""
+    return _minimap_scale(boxes, width, height, inset).select(
+        (F.lit(inset) + (F.lit(x) - F.col("min_x")) * F.col("scale")).alias("x"),
+        (F.lit(inset) + (F.lit(y) - F.col("min_y")) * F.col("scale")).alias("y"),
+        (F.lit(view_width) * F.col("scale")).alias("width"),
+        (F.lit(view_height) * F.col("scale")).alias("height"),
+    )
+
+
+def minimap_rectangles(boxes: DataFrame, width: float = 150.0, height: float = 100.0, inset: float = 4.0) -> DataFrame:
+    """Boxes projected onto a minimap, at least 2 by 1 large."""
+    bounds = _minimap_scale(boxes, width, height, inset)
     return boxes.crossJoin(F.broadcast(bounds)).select(  # one row
         "node_id",
         (F.lit(inset) + (F.col("x") - F.col("min_x")) * F.col("scale")).alias("x"),
@@ -108,30 +121,46 @@ def upsert_boxes(boxes: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def fitted_containers(boxes: DataFrame, nodes: DataFrame, visible: DataFrame) -> DataFrame:
-    """Boxes of direct containers grown to hold their visible children, with padding and a least size."""
-    kids = nodes.join(visible.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("node_id"), "container_id")
-    spans = (
-        boxes.join(kids, "node_id")
-        .groupBy(F.col("container_id").alias("node_id"))
-        .agg(
-            F.min("x").alias("left"),
-            F.min("y").alias("top"),
-            F.max(F.col("x") + F.col("width")).alias("right"),
-            F.max(F.col("y") + F.col("height")).alias("bottom"),
-        )
+    """Boxes of all containers of visible children grown to hold them, with padding and a least size.
+
+    From the deepest containers up, so that a container holds its children as they have grown.
+    """
+    shown = visible.select("id").distinct().withColumn("visible", F.lit(True))
+    facts = nodes.join(shown, "id", "left").select(
+        F.col("id").alias("node_id"), "container_id", "type", F.size("ancestors").alias("depth"), F.coalesce("visible", F.lit(False)).alias("visible")
+    )
+    placed = boxes.join(facts, "node_id")
+    deepest = placed.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return boxes.limit(0)
+    fitted, below = None, placed.filter(F.col("depth") == deepest)
+    for depth in range(deepest - 1, -1, -1):
+        grown = _fitted_level(placed.filter(F.col("depth") == depth), below.filter("visible"))
+        fits = grown.filter("fits").select(*boxes.columns)
+        fitted = fits if fitted is None else fitted.unionByName(fits)
+        below = grown
+    return boxes.limit(0) if fitted is None else fitted
+
+
+def _fitted_level(containers: DataFrame, kids: DataFrame) -> DataFrame:
+    """``containers`` with the boxes that hold ``kids``, and whether there are any (``fits``)."""
+    spans = kids.groupBy(F.col("container_id").alias("node_id")).agg(
+        F.min("x").alias("left"),
+        F.min("y").alias("top"),
+        F.max(F.col("x") + F.col("width")).alias("right"),
+        F.max(F.col("y") + F.col("height")).alias("bottom"),
     )
     least = style.node_size(F.col("type"))
     x = F.least(F.col("x"), F.col("left") - PADDING["left"])
     y = F.least(F.col("y"), F.col("top") - PADDING["top"])
-    joined = boxes.join(spans, "node_id").join(nodes.select(F.col("id").alias("node_id"), "type"), "node_id")
     right = F.greatest(F.col("x") + least["width"] - PADDING["right"], F.col("right"))
     bottom = F.greatest(F.col("y") + least["height"] - PADDING["bottom"], F.col("bottom"))
-    return joined.select(
-        "node_id",
-        x.alias("x"),
-        y.alias("y"),
-        F.greatest(least["width"], F.ceil(right - x + PADDING["right"]).cast("double")).alias("width"),
-        F.greatest(least["height"], F.ceil(bottom - y + PADDING["bottom"]).cast("double")).alias("height"),
+    fits = F.col("left").isNotNull()
+    width = F.greatest(least["width"], F.ceil(right - x + PADDING["right"]).cast("double"))
+    height = F.greatest(least["height"], F.ceil(bottom - y + PADDING["bottom"]).cast("double"))
+    kept = lambda new, c: F.when(fits, new).otherwise(F.col(c)).alias(c)
+    return containers.join(spans, "node_id", "left").select(
+        "node_id", kept(x, "x"), kept(y, "y"), kept(width, "width"), kept(height, "height"), "container_id", "type", "depth", "visible", fits.alias("fits")
     )
 
 
@@ -172,7 +201,20 @@ def absolute_boxes(boxes: DataFrame, nodes: DataFrame) -> DataFrame:
     return boxes.join(total, "node_id", "left").select("node_id", shift("x"), shift("y"), "width", "height")
 
 
-def centres(boxes: DataFrame) -> DataFrame:
-    return boxes.select("node_id", (F.col("x") + F.col("width") / 2).alias("x"), (F.col("y") + F.col("height") / 2).alias("y"))
-
+def flatten_layout(boxes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Routes of a nested layout in the coordinates of the root: ``edges`` with ``points`` and both boxes.
 
+    ``boxes`` are relative to their containers. ``edges`` is (container_id, source, target, section) with a
+    section relative to its container; without one the route is the line between the centres. Points that
+    repeat are left out; so are edges without a box at either end or with fewer than two points.
+    """
+    absolute = absolute_boxes(boxes, nodes)
+    box = F.struct("x", "y", "width", "height")
+    at = absolute.select(F.col("node_id").alias("container_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    ends = edges.join(absolute.select(F.col("node_id").alias("source"), box.alias("source_box")), "source")
+    ends = ends.join(absolute.select(F.col("node_id").alias("target"), box.alias("target_box")), "target").join(at, "container_id", "left")
+    middle = lambda b: F.struct((b["x"] + b["width"] / 2).alias("x"), (b["y"] + b["height"] / 2).alias("y"))
+    moved = geometry.shifted(F.col("section"), F.coalesce("cx", F.lit(0.0)), F.coalesce("cy", F.lit(0.0)))
+    line = F.array(middle(F.col("source_box")), middle(F.col("target_box")))
+    points = geometry.without_repeats(F.when(F.col("section").isNull(), line).otherwise(moved))
+    return ends.withColumn("points", points).filter(F.size("points") >= 2).drop("section", "cx", "cy")

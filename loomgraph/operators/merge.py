@@ -58,10 +58,6 @@ def of_kinds(edges: DataFrame, kinds: Iterable[str] | None) -> DataFrame:
     return edges if kinds is None else edges.filter(F.col("kind").isin(*check_edge_kinds(kinds)))
 
 
-def without_loops(edges: DataFrame) -> DataFrame:
-    return edges.filter("source <> target")
-
-
 def children(nodes: DataFrame) -> DataFrame:
     """(container_id, children): child ids in order."""
     return nodes.filter("container_id is not null").groupBy("container_id").agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass, replace
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import style
 from loomgraph.operators import hierarchy, merge
+from loomgraph.schema import EDGE_KINDS
 
 
 class SubGraph(NamedTuple):
@@ -102,8 +104,52 @@ def tooltips(nodes: DataFrame) -> DataFrame:
     return nodes.join(sizes, "id", "left").select("id", text.alias("tooltip"))
 
 
-def visible_edges(routes: DataFrame, ids: DataFrame) -> DataFrame:
-    """Routes with both ends visible."""
-    return between(routes, ids)
+def layout_pairs(edges: DataFrame, rolled: DataFrame) -> DataFrame:
+    """(source, target) of what a layout connects, each once: direct edges and those rolled up."""
+    return edges.select("source", "target").unionByName(rolled.select("source", "target")).distinct()
 
 
+def samples(rows: DataFrame, *order: str, n: int = 5) -> DataFrame:
+    """The first ``n`` rows in an order, for a look at a table."""
+    return rows.orderBy(*order).limit(n)
+
+
+def files_of(ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, file): the file a node lies in; an id without a node or without a file is its own."""
+    return ids.join(nodes.select("id", "file_path"), "id", "left").select("id", F.coalesce("file_path", "id").alias("file"))
+
+
+@dataclass(frozen=True)
+class View:
+    """What of a graph is visible and expanded, and which kinds of edges are on; every verb gives a new view."""
+
+    nodes: DataFrame
+    visible: DataFrame
+    expanded: DataFrame
+    kinds: frozenset[str] = frozenset(EDGE_KINDS)
+
+    @staticmethod
+    def of(nodes: DataFrame) -> View:
+        """Everything visible, what has children expanded."""
+        return View(nodes, nodes.select("id"), hierarchy.default_expanded(nodes))
+
+    def toggle_visible(self, node_id: str) -> View:
+        return replace(self, visible=hierarchy.toggle_subtree(self.nodes, self.visible, node_id))
+
+    def toggle_expanded(self, node_id: str) -> View:
+        return replace(self, expanded=hierarchy.toggle_one(self.expanded, node_id))
+
+    def set_expanded(self, node_id: str, expanded: bool) -> View:
+        others = self.expanded.select("id").filter(F.col("id") != node_id)
+        one = others.sparkSession.createDataFrame([(node_id,)] if expanded else [], "id string")
+        return replace(self, expanded=others.unionByName(one))
+
+    def toggle_kind(self, kind: str) -> View:
+        return replace(self, kinds=self.kinds ^ set(merge.check_edge_kinds([kind])))
+
+    def shown(self) -> DataFrame:
+        return hierarchy.shown(self.nodes, self.visible, self.expanded)
+
+    def edges(self, edges: DataFrame) -> DataFrame:
+        """``edges`` of the kinds that are on, with both ends visible."""
+        return between(merge.of_kinds(edges, sorted(self.kinds)), self.visible)

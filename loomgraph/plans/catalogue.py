@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.extract import job
@@ -12,7 +12,7 @@ from loomgraph.functions import names, paths, style
 from loomgraph.operators import geometry, hierarchy, layout, merge, numbering, resolve, view
 from loomgraph.plans import sources_workload as sw
 from loomgraph.plans import workload as w
-from loomgraph.schema import BLOCK_KINDS, EDGE_KINDS, NODE_SIZES, SUFFIXES
+from loomgraph.schema import BLOCK_ICONS, BLOCK_KINDS, EDGE_KINDS, NO_BLOCK_COLOUR, NO_ICON, NODE_COLOURS, NODE_ICONS, NODE_SIZES, SUFFIXES
 from loomgraph.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -312,22 +312,29 @@ def hover_highlight(spark, d):
     return view.highlighted(w.raw_edges(spark, d).withColumn("idx", F.col("seq")), w.nodes(spark, d), "EUROPE/NATION_3")
 
 
+def _drawn(spark, d) -> DataFrame:
+    """Edges with some of a kind that views hide from afar."""
+    kind = F.when(F.col("quantity") % 10 == 0, "VariableUsage").otherwise(F.col("kind")).alias("kind")
+    return w.raw_edges(spark, d).select("source", "target", kind).distinct()
+
+
 def _draw_sql(level: str, opacity: float, width: float) -> str:
     hidden = "AND kind <> 'VariableUsage'" if level == "overview" else ""
-    return f"""WITH {w.TREE}, {w.RAW}, e AS (SELECT DISTINCT source, target, kind FROM raw WHERE true {hidden})
+    return f"""WITH {w.TREE}, {w.RAW}, k AS (SELECT source, target, CASE WHEN quantity % 10 = 0 THEN 'VariableUsage' ELSE kind END AS kind FROM raw),
+    e AS (SELECT DISTINCT source, target, kind FROM k WHERE true {hidden})
     SELECT source, target, kind, {EDGE_ALPHA} * {opacity}::DOUBLE AS alpha, {EDGE_WIDTH} * {width}::DOUBLE AS width, {EDGE_COLOUR} AS colour FROM e
     WHERE {EDGE_ALPHA} * {opacity}::DOUBLE >= 0.05"""
 
 
 @query(_draw_sql("overview", 0.5, 0.75))
 def lod_draw_list(spark, d):
-    return view.draw_list(w.raw_edges(spark, d).select("source", "target", "kind").distinct(), 0.1)
+    return view.draw_list(_drawn(spark, d), 0.1)
 
 
-@query(_draw_sql("minimap", 0.06, 0.5))
+@query(_draw_sql("minimap", 0.064, 0.5))
 def faint_edge_cut(spark, d):
-    edges = w.raw_edges(spark, d).select("source", "target", "kind").distinct()
-    return view.draw_list(edges, 0.01, style.DetailSettings(minimap_opacity=0.06))
+    """At this opacity calls are drawn, type references and variables are too faint."""
+    return view.draw_list(_drawn(spark, d), 0.01, style.DetailSettings(minimap_opacity=0.064))
 
 
 @query(
@@ -445,11 +452,102 @@ def highlight_split(spark, d):
     return n.withColumn("h", names.highlight(F.col("name"), F.lit("On_"))).select("id", "h.before", "h.match", "h.after")
 
 
-@query("SELECT * FROM (VALUES (0.01::DOUBLE, 'minimap', 0.2::DOUBLE, 0.5::DOUBLE), (0.05, 'overview', 0.5, 0.75), (0.1999, 'overview', 0.5, 0.75), (0.2, 'detail', 1.0, 1.0), (3.5, 'detail', 1.0, 1.0)) t(scale, level, opacity, width)")
+@query(
+    """WITH scales AS (SELECT p_partkey, CAST(p_size AS DOUBLE) / 160.0::DOUBLE - 0.00625::DOUBLE AS scale FROM part),
+    levels AS (SELECT *, CASE WHEN scale < 0.05 THEN 'minimap' WHEN scale < 0.2 THEN 'overview' ELSE 'detail' END AS level FROM scales)
+    SELECT *, CASE level WHEN 'minimap' THEN 0.2::DOUBLE WHEN 'overview' THEN 0.5 ELSE 1.0 END AS opacity,
+      CASE level WHEN 'minimap' THEN 0.5::DOUBLE WHEN 'overview' THEN 0.75 ELSE 1.0 END AS width FROM levels"""
+)
 def lod_levels(spark, d):
-    scales = spark.createDataFrame([(s,) for s in (0.01, 0.05, 0.1999, 0.2, 3.5)], "scale double")
+    scale = F.col("p_size").cast("double") / F.lit(160.0) - F.lit(0.00625)
+    scales = w.table(spark, d, "part").select("p_partkey", scale.alias("scale"))
     level = style.level_of_detail(F.col("scale"))
-    return scales.select("scale", level.alias("level"), style.opacity_factor(level).alias("opacity"), style.width_factor(level).alias("width"))
+    return scales.select("*", level.alias("level"), style.opacity_factor(level).alias("opacity"), style.width_factor(level).alias("width"))
+
+
+def _darkened_sql(colour: str) -> str:
+    channels = " || ".join(
+        f"printf('%02x', CAST(floor(CAST('0x' || substr({colour}, {at}, 2) AS INTEGER) * 0.25) AS INTEGER))" for at in (2, 4, 6)
+    )
+    return f"'#' || {channels}"
+
+
+@query(
+    f"""WITH {w.NODES} SELECT id, {_case('type', {k: f"'{v}'" for k, v in NODE_ICONS.items()},
+      _case('kind', {k: f"'{v}'" for k, v in BLOCK_ICONS.items()}, f"'{NO_ICON}'"))} AS icon,
+    {_case('type', {k: f"'{v}'" for k, v in NODE_COLOURS.items()}, _darkened_sql(f"coalesce({BLOCK_COLOUR}, '{NO_BLOCK_COLOUR}')"))} AS colour FROM nodes"""
+)
+def node_icons_and_colours(spark, d):
+    kind, type_ = F.col("kind"), F.col("type")
+    return w.nodes(spark, d).select("id", style.node_icon(type_, kind).alias("icon"), style.node_colour(type_, kind).alias("colour"))
+
+
+@query(f"WITH {w.TREE}, {w.RAW} SELECT DISTINCT kind, {_case('kind', {k: f"'{v[3]}'" for k, v in EDGE_KINDS.items()})} AS label FROM raw")
+def edge_labels(spark, d):
+    return w.raw_edges(spark, d).select("kind", style.edge_label(F.col("kind")).alias("label")).distinct()
+
+
+@query(
+    """WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '_' || c_name ELSE c_name END AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS trait,
+      CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS type FROM customer)
+    SELECT c_custkey, c_custkey % 3 = 0 AS private, CASE WHEN type IS NULL THEN 'impl' WHEN trait IS NULL THEN 'impl ' || type ELSE trait || ' for ' || type END AS impl,
+      name AS unquoted, CAST(c_custkey % 100 AS DOUBLE) / 100.0::DOUBLE AS share,
+      CASE c_custkey % 4 WHEN 0 THEN 'Private' WHEN 1 THEN 'Public' WHEN 2 THEN 'Crate' ELSE 'Protected' END AS visibility,
+      CASE WHEN c_custkey % 2 = 0 THEN 'new().' || c_name ELSE c_name END AS callee FROM n JOIN customer USING (c_custkey)"""
+)
+def name_helpers(spark, d):
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("_"), "c_name")).otherwise(F.col("c_name"))
+    quote = F.when(k % 2 == 0, "'").otherwise('"')
+    modifier = F.when(k % 4 == 1, "pub").when(k % 4 == 2, "pub(in crate::a)").when(k % 4 == 3, "pub(super)")
+    text = F.when(k % 2 == 0, F.concat(F.lit("Foo::new()."), "c_name")).otherwise(F.concat(F.lit("a.b."), "c_name"))
+    return w.table(spark, d, "customer").select(
+        "c_custkey",
+        names.is_private(name).alias("private"),
+        names.impl_name(F.when(k % 4 != 0, F.col("c_mktsegment")), F.when(k % 5 != 0, F.col("c_name"))).alias("impl"),
+        names.unquoted(F.concat(quote, name, quote)).alias("unquoted"),
+        style.percent_to_share(F.concat((k % 100).cast("string"), F.lit("%"))).alias("share"),
+        names.rust_visibility(modifier).alias("visibility"),
+        names.call_target(text).alias("callee"),
+    )
+
+
+@query(
+    f"""WITH {w.NODES}, ids AS (SELECT id FROM nodes WHERE type = 'CodeBlock' OR child_ordinal % 2 = 0 UNION ALL SELECT 'unknown ' || n_name FROM nation)
+    SELECT ids.id, coalesce(file_path, ids.id) AS file FROM ids LEFT JOIN nodes ON nodes.id = ids.id"""
+)
+def file_of_node(spark, d):
+    n = w.nodes(spark, d)
+    unknown = w.table(spark, d, "nation").select(F.concat(F.lit("unknown "), "n_name").alias("id"))
+    return view.files_of(n.filter("type = 'CodeBlock' or child_ordinal % 2 = 0").select("id").unionByName(unknown), n)
+
+
+@query(f"WITH {w.NODES}, {w.RAW}, {w.ROLLED} SELECT source, target FROM raw UNION SELECT source, target FROM rolled")
+def layout_pairs(spark, d):
+    n, raw = w.nodes(spark, d), w.raw_edges(spark, d)
+    return view.layout_pairs(raw, hierarchy.roll_up(raw, n, w.directories(n)))
+
+
+@query(f"WITH {w.SYMBOLS} SELECT symbol, node_id FROM symbols ORDER BY symbol, node_id LIMIT 5")
+def symbol_samples(spark, d):
+    return view.samples(resolve.symbol_table(w.part_nodes(spark, d)), "symbol", "node_id")
+
+
+@query(f"WITH {w.TREE}, {w.RAW} SELECT source, target, kind, seq FROM raw ORDER BY seq, source, target, kind LIMIT 1")
+def first_edge(spark, d):
+    return view.samples(w.raw_edges(spark, d).select("source", "target", "kind", "seq"), "seq", "source", "target", "kind", n=1)
+
+
+@query(
+    f"""WITH {w.NODES}, {w.RAW}, {w.VIEW},
+    seen AS (SELECT id FROM visible WHERE NOT (id = 'EUROPE' OR id LIKE 'EUROPE/%'))
+    SELECT seq, kind FROM raw WHERE kind <> 'MethodCall' AND source IN (SELECT id FROM seen) AND target IN (SELECT id FROM seen)"""
+)
+def view_verbs(spark, d):
+    """Edges of a view after a region was hidden and a kind switched off, another off and on again."""
+    n = w.nodes(spark, d)
+    seen = view.View(n, w.visible(n), w.expanded(n)).toggle_visible("EUROPE").toggle_kind("MethodCall").toggle_kind("Import").toggle_kind("Import")
+    return seen.edges(w.raw_edges(spark, d)).select("seq", "kind")
 
 
 # Resolution.
@@ -570,6 +668,19 @@ def latest_request(spark, d):
     return progress.latest(w.table(spark, d, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
 
 
+@query(
+    f"""WITH {w.SYMBOLS} SELECT p.id AS source, s.node_id AS target, 'FunctionCall' AS kind, CAST(count(*) AS BIGINT) AS weight, min(p_key) AS seq
+    FROM (SELECT *, CAST(split_part(id, '@', 2) AS BIGINT) AS p_key FROM parts) p JOIN symbols s ON s.symbol = p.p_name WHERE s.node_id <> p.id GROUP BY ALL"""
+)
+def self_edges_left_out(spark, d):
+    """Every part refers to its own name: only others of that name are reached."""
+    nodes = w.part_nodes(spark, d)
+    refs = nodes.select(
+        F.col("id").alias("from_node"), F.lit("FunctionCall").alias("kind"), "name", F.substring_index("id", "@", -1).cast("long").alias("seq")
+    )
+    return resolve.resolve_symbols(refs, resolve.symbol_table(nodes))
+
+
 # Layout.
 
 _GRID = f"""grid AS (SELECT id AS node_id, 20.0::DOUBLE + 220.0::DOUBLE * ((k - 1) % 8) AS x, 20.0::DOUBLE + 60.0::DOUBLE * ((k - 1) // 8) AS y,
@@ -624,13 +735,25 @@ def viewport_join(spark, d):
     return layout.viewport_join(_grid(spark, d), views)
 
 
-@query(
-    f"""WITH {w.NODES}, {_GRID}, span AS (SELECT container_id AS c, min(x) AS l, min(y) AS t, max(x + width) AS r, max(y + height) AS b
-      FROM grid JOIN nodes ON id = node_id WHERE {w.VISIBLE} GROUP BY container_id),
-    spot AS (SELECT grid.*, type, least(x, l - 10) AS nx, least(y, t - 30) AS ny, r, b FROM grid JOIN span ON c = node_id JOIN nodes ON id = node_id)
-    SELECT node_id, nx AS x, ny AS y, greatest({WIDTH}, CAST(ceil(greatest(x + {WIDTH} - 10, r) - nx + 10) AS DOUBLE)) AS width,
-      greatest({HEIGHT}, CAST(ceil(greatest(y + {HEIGHT} - 10, b) - ny + 10) AS DOUBLE)) AS height FROM spot"""
-)
+def _fitted_sql() -> str:
+    """Level by level: ``now3`` are the boxes of files, ``nowK`` those of depth K grown around what lies in them."""
+    seen = f"SELECT id, type, container_id, len(ancestors) AS depth, {w.VISIBLE} AS seen FROM nodes WHERE type <> 'CodeBlock'"
+    ctes = [f"facts AS ({seen})", "now3 AS (SELECT grid.*, facts.*, true AS fits FROM grid JOIN facts ON id = node_id WHERE depth = 3)"]
+    for depth in (2, 1, 0):
+        ctes.append(
+            f"""span{depth} AS (SELECT container_id AS c, min(x) AS l, min(y) AS t, max(x + width) AS r, max(y + height) AS b FROM now{depth + 1} WHERE seen GROUP BY container_id),
+    spot{depth} AS (SELECT grid.*, facts.*, c IS NOT NULL AS fits, CASE WHEN c IS NULL THEN x ELSE least(x, l - 10) END AS nx, CASE WHEN c IS NULL THEN y ELSE least(y, t - 30) END AS ny, r, b
+      FROM grid JOIN facts ON id = node_id LEFT JOIN span{depth} ON c = node_id WHERE depth = {depth}),
+    now{depth} AS (SELECT node_id, nx AS x, ny AS y,
+      CASE WHEN fits THEN greatest({WIDTH}, CAST(ceil(greatest(x + {WIDTH} - 10, r) - nx + 10) AS DOUBLE)) ELSE width END AS width,
+      CASE WHEN fits THEN greatest({HEIGHT}, CAST(ceil(greatest(y + {HEIGHT} - 10, b) - ny + 10) AS DOUBLE)) ELSE height END AS height,
+      id, type, container_id, depth, seen, fits FROM spot{depth})"""
+        )
+    union = " UNION ALL ".join(f"SELECT node_id, x, y, width, height FROM now{depth} WHERE fits" for depth in (2, 1, 0))
+    return f"WITH {w.NODES}, {_GRID}, {', '.join(ctes)} {union}"
+
+
+@query(_fitted_sql())
 def fitted_containers(spark, d):
     n = w.nodes(spark, d).filter("type <> 'CodeBlock'")
     return layout.fitted_containers(_grid(spark, d), n, w.visible(n))
@@ -667,6 +790,51 @@ def absolute_boxes(spark, d):
     return layout.absolute_boxes(_grid(spark, d), w.nodes(spark, d).filter("type <> 'CodeBlock'"))
 
 
+@query(
+    f"""WITH {w.NODES}, {_GRID}, b AS (SELECT min(x) AS x0, min(y) AS y0, least(142.0::DOUBLE / (max(x + width) - min(x)), 92.0::DOUBLE / (max(y + height) - min(y))) AS s FROM grid)
+    SELECT 4.0 + (240.0 - x0) * s AS x, 4.0 + (380.0 - y0) * s AS y, 660.0 * s AS width, 620.0 * s AS height FROM b"""
+)
+def minimap_viewport(spark, d):
+    return layout.minimap_viewport(_grid(spark, d), 240.0, 380.0, 660.0, 620.0)
+
+
+@query(f"WITH {w.NODES}, {_GRID} SELECT node_id, CASE WHEN hash % 3 = 0 THEN x + 1000.0 ELSE x END AS x, y, width, height FROM (SELECT *, length(node_id) AS hash FROM grid) UNION ALL SELECT 'new', 1.0, 2.0, 3.0, 4.0")
+def upserted_boxes(spark, d):
+    boxes = _grid(spark, d)
+    moved = boxes.filter(F.length("node_id") % 3 == 0).withColumn("x", F.col("x") + 1000.0)
+    fresh = spark.range(1).select(F.lit("new").alias("node_id"), *[F.lit(v).alias(c) for c, v in (("x", 1.0), ("y", 2.0), ("width", 3.0), ("height", 4.0))])
+    return layout.upsert_boxes(boxes, moved.unionByName(fresh))
+
+
+def _nested_edges(spark, d) -> DataFrame:
+    """From each customer's file to the first supplier's file of its nation, routed within the nation or not at all."""
+    files = w.customer_files(spark, d).select("c_custkey", F.col("id").alias("source"), F.substring_index("id", "/", 2).alias("container_id"))
+    first = w.supplier_files(spark, d).groupBy(F.col("nation_id").alias("container_id")).agg(F.min("id").alias("target"))
+    k = F.col("c_custkey").cast("double")
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    section = F.array(at(k, k + 1), at(k + 0.25, k + 1.25), at(k, k + 50), at(k + 70, k + 50))
+    single = F.array(at(k, k), at(k + 0.25, k))
+    return files.join(first, "container_id").select(
+        "container_id", "source", "target", F.when(F.col("c_custkey") % 3 == 0, section).when(F.col("c_custkey") % 3 == 1, single).alias("section")
+    )
+
+
+@query(
+    f"""WITH {w.NODES}, {_GRID}, o AS (SELECT i, sum(x) AS ox, sum(y) AS oy FROM (SELECT id AS i, unnest(ancestors) AS a FROM nodes) JOIN grid ON node_id = a GROUP BY i),
+    boxes AS (SELECT node_id, x + coalesce(ox, 0.0) AS x, y + coalesce(oy, 0.0) AS y, width AS w, height AS h FROM grid LEFT JOIN o ON i = node_id),
+    firsts AS (SELECT nation_id, min(id) AS target FROM sf GROUP BY nation_id),
+    e AS (SELECT CAST(c_custkey AS DOUBLE) AS k, c_custkey % 3 AS turn, cf.id AS source, target, c.x AS cx, c.y AS cy, a.x + a.w / 2 AS sx, a.y + a.h / 2 AS sy, b.x + b.w / 2 AS tx, b.y + b.h / 2 AS ty
+      FROM cf JOIN firsts USING (nation_id) JOIN boxes a ON a.node_id = cf.id JOIN boxes b ON b.node_id = target JOIN boxes c ON c.node_id = nation_id)
+    SELECT source, target, CASE WHEN turn = 0 THEN 3 ELSE 2 END AS n, CASE WHEN turn = 0 THEN cx + k ELSE sx END AS x1, CASE WHEN turn = 0 THEN cy + k + 1 ELSE sy END AS y1,
+      CASE WHEN turn = 0 THEN cx + k + 70 ELSE tx END AS x2, CASE WHEN turn = 0 THEN cy + k + 50 ELSE ty END AS y2 FROM e WHERE turn <> 1"""
+)
+def flatten_layout(spark, d):
+    n = w.nodes(spark, d).filter("type <> 'CodeBlock'")
+    routes = layout.flatten_layout(_grid(spark, d), n, _nested_edges(spark, d))
+    first, last = F.element_at("points", 1), F.element_at("points", -1)
+    return routes.select("source", "target", F.size("points").alias("n"), first["x"].alias("x1"), first["y"].alias("y1"), last["x"].alias("x2"), last["y"].alias("y2"))
+
+
 @query("SELECT event_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 10")
 def log_tail(spark, d):
     return progress.tail(w.table(spark, d, "events").select("event_id", "event_type", "value"), 10, "event_id")
@@ -722,6 +890,68 @@ def anchor_point(spark, d):
     return _boxed(spark, d).withColumn("p", geometry.anchor_point(F.col("source_box"), a)).select("source", "target", "p.x", "p.y")
 
 
+@query(
+    f"""WITH {w.NODES}, {w.RAW}, {_GRID}, {_MIDDLES} SELECT source, target, side, CASE WHEN side IN ('left', 'right') THEN ah / 2 ELSE aw / 2 END AS "offset" FROM ends"""
+)
+def anchor_from_inside(spark, d):
+    """From the centre of a box the side is that towards which the route goes."""
+    middle = lambda b: F.struct((b["x"] + b["width"] / 2).alias("x"), (b["y"] + b["height"] / 2).alias("y"))
+    a = geometry.anchor(F.col("source_box"), middle(F.col("source_box")), middle(F.col("target_box")))
+    return _boxed(spark, d).withColumn("a", a).select("source", "target", "a.side", "a.offset")
+
+
+@query(
+    f"""WITH {w.NODES}, {w.RAW}, {_GRID}, {_MIDDLES}
+    SELECT source, target, CASE side WHEN 'right' THEN ax + aw ELSE ax END AS x1, sy AS y1, CASE side WHEN 'right' THEN b_x ELSE b_x + b_w END AS x2, ty AS y2
+    FROM ends WHERE sy = ty AND sx <> tx"""
+)
+def anchored_routes(spark, d):
+    """Boxes beside one another that did not move: the straight route already leaves and arrives through its anchors."""
+    sb, tb, p = F.col("source_box"), F.col("target_box"), F.col("points")
+    level = _boxed(spark, d).filter((p[0]["y"] == p[1]["y"]) & (sb["y"] + sb["height"] / 2 == tb["y"] + tb["height"] / 2) & (sb["x"] != tb["x"]))
+    edges = level.withColumns({"old_source_box": sb, "old_target_box": tb, "source_anchor": geometry.anchor(sb, p[0], p[1]), "target_anchor": geometry.anchor(tb, p[1], p[0])})
+    return geometry.reroute(edges).select("source", "target", p[0]["x"].alias("x1"), p[0]["y"].alias("y1"), p[1]["x"].alias("x2"), p[1]["y"].alias("y2"))
+
+
+@query(
+    f"""WITH {w.NODES}, {w.RAW}, {_GRID}, {_MIDDLES}
+    SELECT source, target, 25.0 + CASE side WHEN 'right' THEN ax + aw WHEN 'left' THEN ax ELSE sx END AS x1, CASE side WHEN 'bottom' THEN ay + ah WHEN 'top' THEN ay ELSE sy END - 7.0 AS y1,
+      25.0 + CASE side WHEN 'right' THEN b_x WHEN 'left' THEN b_x + b_w ELSE tx END AS x2, CASE side WHEN 'bottom' THEN b_y WHEN 'top' THEN b_y + b_h ELSE ty END - 7.0 AS y2 FROM ends"""
+)
+def routes_moved_along(spark, d):
+    """Both boxes moved by the same: the route moves along."""
+    sb, tb, p = F.col("source_box"), F.col("target_box"), F.col("points")
+    move = lambda b: F.struct((b["x"] + 25.0).alias("x"), (b["y"] - 7.0).alias("y"), b["width"].alias("width"), b["height"].alias("height"))
+    edges = _boxed(spark, d).select(
+        "source", "target", "points", sb.alias("old_source_box"), tb.alias("old_target_box"), move(sb).alias("source_box"), move(tb).alias("target_box"),
+        geometry.anchor(sb, p[0], p[1]).alias("source_anchor"), geometry.anchor(tb, p[1], p[0]).alias("target_anchor"),
+    )
+    return geometry.reroute(edges).select("source", "target", p[0]["x"].alias("x1"), p[0]["y"].alias("y1"), p[1]["x"].alias("x2"), p[1]["y"].alias("y2"))
+
+
+def _polylines(spark, d) -> DataFrame:
+    """(p_partkey, points): a repeated point, a run with points in its middle, a corner, a repeated end."""
+    k = F.col("p_size").cast("double")
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    zero = F.lit(0.0)
+    points = F.array(at(zero, zero), at(zero + 0.25, zero), at(k + 1, zero), at(k + 2, zero), at(k + 10, zero), at(k + 10, k + 5), at(k + 10.25, k + 5.25))
+    return w.table(spark, d, "part").select("p_partkey", points.alias("points"))
+
+
+def _polyline_text(points: Column) -> Column:
+    return F.array_join(F.transform(points, lambda p: F.concat_ws(" ", p["x"].cast("long").cast("string"), p["y"].cast("long").cast("string"))), ", ")
+
+
+@query("SELECT p_partkey, '0 0, ' || (p_size + 1) || ' 0, ' || (p_size + 2) || ' 0, ' || (p_size + 10) || ' 0, ' || (p_size + 10) || ' ' || (p_size + 5) AS points FROM part")
+def polylines_without_repeats(spark, d):
+    return _polylines(spark, d).select("p_partkey", _polyline_text(geometry.without_repeats(F.col("points"))).alias("points"))
+
+
+@query("SELECT p_partkey, '0 0, ' || (p_size + 10) || ' 0, ' || (p_size + 10) || ' ' || (p_size + 5) AS points FROM part")
+def polylines_simplified(spark, d):
+    return _polylines(spark, d).select("p_partkey", _polyline_text(geometry.simplify(F.col("points"))).alias("points"))
+
+
 @query("SELECT l_orderkey AS track, median(CAST(l_quantity AS DOUBLE)) AS median FROM lineitem GROUP BY l_orderkey")
 def track_median(spark, d):
     return w.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("track")).agg(F.percentile("l_quantity", 0.5).alias("median"))

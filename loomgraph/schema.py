@@ -88,6 +88,23 @@ BLOCK_KINDS = {
     "Constant": ("#f97316", "const"),
     "TypeAlias": ("#14b8a6", "type"),
 }
+#: Background of directories and files, and the colour of blocks of another kind before it is darkened.
+NODE_COLOURS = {"Directory": "#1e293b", "File": "#1e3a5f"}
+NO_BLOCK_COLOUR = "#334155"
+NODE_ICONS = {"Directory": "\U0001f4c1", "File": "\U0001f4c4"}
+BLOCK_ICONS = {
+    "Function": "\u0192",
+    "Class": "C",
+    "Struct": "S",
+    "Enum": "E",
+    "Trait": "T",
+    "Interface": "I",
+    "Impl": "\u21d2",
+    "Module": "M",
+    "Constant": "K",
+    "TypeAlias": "\u2261",
+}
+NO_ICON = "\u2022"
 VISIBILITIES = ("Public", "Private", "Protected", "Crate")
 LANGUAGES = {"py": "Python", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "rs": "Rust"}
 NODE_SIZES = {"Directory": (200.0, 60.0), "File": (180.0, 40.0), "CodeBlock": (160.0, 32.0)}

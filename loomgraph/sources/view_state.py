@@ -16,6 +16,11 @@ from loomgraph.functions.style import DetailSettings
 SETS = ("expanded", "visible")
 
 
+def restore_wanted(arguments: list[str]) -> bool:
+    """Whether a start with these arguments takes up the saved state: not with ``--norestore``."""
+    return "--norestore" not in arguments
+
+
 def folder_key(spark: SparkSession, folder: str) -> str:
     return spark.range(1).select(path_hash(F.lit(folder)).alias("key")).first()["key"]
 

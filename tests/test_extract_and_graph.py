@@ -182,3 +182,19 @@ def test_view_state(spark, tmp_path):
     chosen = DetailSettings(minimap_opacity=0.4, hidden_at_overview=("Import",))
     view_state.save_settings(spark, chosen, str(tmp_path / "s"))
     assert view_state.load_settings(spark, str(tmp_path / "s")) == chosen
+
+
+def test_long_statements_are_read_whole():
+    names = ", ".join(f"n{i}" for i in range(2000))
+    assert ("Import", "./big") in found("TypeScript", "class A { m() { import { " + names + " } from './big'; } }")[1]
+    deep = "::".join(f"m{i}" for i in range(40))
+    assert found("Rust", f"pub(in crate::{deep}) fn f() {{}}")[0] == [("Function", "f", "Crate")]
+
+
+def test_first_reference_follows_the_order_of_paths(spark, tmp_path):
+    for name in ("z", "b", "m"):
+        (tmp_path / f"{name}.py").write_text("def go():\n    helper()\n    helper()\n")
+    (tmp_path / "a.py").write_text("def helper(): pass\n")
+    parsed = CodeGraph.scan(spark, str(tmp_path)).parse()
+    order = [r.source for r in parsed.edges.orderBy("seq").collect()]
+    assert order == ["b.py::go@1", "m.py::go@1", "z.py::go@1"]

@@ -250,3 +250,50 @@ def test_closure_without_paths_has_no_limit_of_rows_or_levels(spark):
         spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
     with pytest.raises(ValueError):
         hierarchy.closure_by_recursion(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "id string, container_id string"))
+
+
+def test_row_numbers_follow_the_order(spark):
+    from loomgraph.operators import numbering
+
+    rows = spark.range(1000).selectExpr("id", "pmod(id * 7919, 1009) as k").repartition(7)
+    found = numbering.with_row_numbers(rows, "k").collect()
+    assert [r.number for r in sorted(found, key=lambda r: r.k)] == list(range(1000))
+    assert numbering.with_row_numbers(rows.limit(0), "k").count() == 0
+
+
+def test_containers_grow_with_what_they_hold(spark):
+    from loomgraph.operators import layout
+
+    nodes = spark.createDataFrame(
+        [("", "Directory", None, []), ("a", "Directory", "", [""]), ("a/f", "File", "a", ["", "a"]), ("b", "Directory", "", [""])],
+        "id string, type string, container_id string, ancestors array<string>",
+    )
+    boxes = spark.createDataFrame(
+        [("", 0.0, 0.0, 1.0, 1.0), ("a", 0.0, 0.0, 1.0, 1.0), ("a/f", -300.5, 50.0, 180.0, 40.0), ("b", 5.0, 5.0, 1.0, 1.0)],
+        "node_id string, x double, y double, width double, height double",
+    )
+    found = {r.node_id: tuple(r)[1:] for r in layout.fitted_containers(boxes, nodes, nodes.select("id")).collect()}
+    assert found == {"a": (-310.5, 0.0, 511.0, 100.0), "": (-320.5, -30.0, 531.0, 140.0)}
+    assert layout.fitted_containers(boxes, nodes, nodes.select("id").limit(0)).count() == 0
+    assert layout.fitted_containers(boxes.limit(0), nodes, nodes.select("id")).count() == 0
+
+
+def test_view_is_a_value(spark):
+    from loomgraph.operators.view import View
+    from loomgraph.sources.view_state import restore_wanted
+
+    nodes = spark.createDataFrame(
+        [("", "Directory", None, []), ("a", "File", "", [""]), ("b", "File", "", [""]), ("a::f@1", "CodeBlock", "a", ["", "a"])],
+        "id string, type string, container_id string, ancestors array<string>",
+    )
+    edges = spark.createDataFrame([("a", "b", "Import"), ("b", "a::f@1", "FunctionCall")], "source string, target string, kind string")
+    start = View.of(nodes)
+    shown = lambda v: {r.id for r in v.shown().collect()}
+    assert shown(start) == {"a", "b", "a::f@1"} and start.edges(edges).count() == 2
+    assert shown(start.toggle_expanded("a")) == {"a", "b"}
+    assert shown(start.set_expanded("a", False).set_expanded("a", True)) == {"a", "b", "a::f@1"}
+    assert shown(start.toggle_visible("a")) == {"b"} and shown(start.toggle_visible("a").toggle_visible("a")) == shown(start)
+    assert [r.kind for r in start.toggle_kind("FunctionCall").edges(edges).collect()] == ["Import"]
+    with pytest.raises(ValueError):
+        start.toggle_kind("NoSuchKind")
+    assert restore_wanted(["app"]) and not restore_wanted(["app", "--norestore"])
