@@ -187,14 +187,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
     if not len(x):
         return Model(np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), labels)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
-    x = x * idf.astype(np.float32)
+    x *= idf.astype(np.float32)
     k = min(DIMENSIONS, len(x))
     basis = x @ np.random.default_rng(SEED).standard_normal((FEATURES, k + 16)).astype(np.float32)
     for _ in range(4):  # subspace iteration
         basis, _r = np.linalg.qr(x @ (x.T @ basis))
     _u, _s, axes = np.linalg.svd(basis.T @ x, full_matrices=False)
     axes = (axes[:k].T * idf[:, None]).astype(np.float32)
-    return Model(axes, _unit(_projected(rows, axes)).astype(np.float32), labels)
+    blocks = [_projected(rows[i : i + BLOCK], axes) for i in range(0, len(rows), BLOCK)]
+    return Model(axes, _unit(np.concatenate(blocks)).astype(np.float32), labels)
 
 
 def fold(id_col: Column) -> Column:
@@ -218,17 +219,17 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         slots = _WordSlots()
         for batch in batches:
             made = [features(t, slots) for t in batch["_text"]]
-            yield pd.DataFrame(
-                {"_order": batch["_order"], "_label": batch["_label"], "slots": [s for s, _ in made], "counts": [v for _, v in made]}
-            )
+            packed = {"slots": [s.astype("<u2").tobytes() for s, _ in made], "counts": [v.astype("<f4").tobytes() for _, v in made]}
+            yield pd.DataFrame({"_order": batch["_order"], "_label": batch["_label"], **packed})
 
     rows = (
-        joined.mapInPandas(of_batches, "_order string, _label int, slots array<long>, counts array<double>")
+        joined.mapInPandas(of_batches, "_order string, _label int, slots binary, counts binary")
         .orderBy("_order", "_label")
         .limit(EXAMPLES)
         .collect()
     )
-    return fit([(np.array(r["slots"], np.int64), np.array(r["counts"])) for r in rows], np.array([r["_label"] for r in rows], float))
+    found = [(np.frombuffer(r["slots"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<f4").astype(np.float64)) for r in rows]
+    return fit(found, np.array([r["_label"] for r in rows], float))
 
 
 def score_column(text: Column, model: Model, context) -> Column:
