@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import classifier, exact_dedup, mixing, packing, simhash
 from loomgraph.llm.common import table
-from loomgraph.shared import shared_folder
+from loomgraph.shared import delete, scratch, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +48,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what is between them is written to the shared checkpoint folder."""
+    """All stages over ``documents``; what is between them is written to the shared checkpoint folder.
+
+    What a stage has needed is deleted when its result is written; the last stage's input stays, as
+    the rows returned are made from it.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from loomgraph.schema import MAX_WEIGHT, check_edge_kinds
 
 
+#: Entries of a list in one row, about.
+LISTED = 100_000
+
+
 def merge_edges(edges: DataFrame) -> DataFrame:
     """One row per (source, target, kind): summed weight, saturated; ``seq`` of the first.
 
@@ -31,16 +35,22 @@ def counted_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target", "kind").agg(F.count(F.lit(1)).alias("count"))
 
 
-def adjacency(edges: DataFrame, *, reverse: bool = False, parts: int = 1) -> DataFrame:
+def adjacency(edges: DataFrame, *, reverse: bool = False, parts: int | None = None) -> DataFrame:
     """(node, part, neighbours): neighbours in order, each with the ``seq`` of its edge.
 
-    A node of very high degree is listed in ``parts`` rows, dealt by ``seq``, so that no task has
-    to hold all its neighbours.
+    A node of very high degree is listed in several rows, so that no task has to hold all its
+    neighbours: in ``parts`` rows, dealt by ``seq``; without that in as many as its degree asks for
+    at about ``LISTED`` a row.
     """
     node, neighbour = ("target", "source") if reverse else ("source", "target")
-    return edges.groupBy(F.col(node).alias("node"), F.pmod("seq", F.lit(parts)).cast("int").alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(neighbour).alias("neighbour"), F.col("seq")))).alias("neighbours")
-    )
+    dealt = edges.select(F.col(node).alias("node"), F.col(neighbour).alias("neighbour"), "seq")
+    if parts is None:
+        degrees = dealt.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / LISTED).alias("parts"))
+        hubs = degrees.filter("parts > 1")  # a LISTED-th of the edges at most
+        dealt = dealt.join(hubs, "node", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("seq"), "parts"), F.lit(0)).cast("int"))
+    else:
+        dealt = dealt.withColumn("part", F.pmod("seq", F.lit(parts)).cast("int"))
+    return dealt.groupBy("node", "part").agg(F.sort_array(F.collect_list(F.struct("neighbour", "seq"))).alias("neighbours"))
 
 
 def incident_edges(routes: DataFrame, idx: str = "idx") -> DataFrame:
@@ -59,8 +69,9 @@ def of_kinds(edges: DataFrame, kinds: Iterable[str] | None) -> DataFrame:
 
 
 def children(nodes: DataFrame) -> DataFrame:
-    """(container_id, children): child ids in order."""
-    return nodes.filter("container_id is not null").groupBy("container_id").agg(
+    """(container_id, part, children): child ids in order, those of ``LISTED`` ordinals in a row."""
+    part = F.floor(F.coalesce("child_ordinal", F.lit(0)) / LISTED).cast("long").alias("part")
+    return nodes.filter("container_id is not null").groupBy("container_id", part).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("child_ordinal", "id"))), lambda c: c["id"]).alias("children")
     )
 

@@ -133,12 +133,12 @@ def point_lookup(spark, d):
 
 
 @query(
-    f"""WITH {w.NODES} SELECT container_id, count(*) AS n, string_agg(id, ',' ORDER BY child_ordinal, id) AS children FROM nodes
-    WHERE container_id IS NOT NULL GROUP BY container_id"""
+    f"""WITH {w.NODES} SELECT container_id, child_ordinal // {merge.LISTED} AS part, count(*) AS n, string_agg(id, ',' ORDER BY child_ordinal, id) AS children FROM nodes
+    WHERE container_id IS NOT NULL GROUP BY container_id, child_ordinal // {merge.LISTED}"""
 )
 def children_list(spark, d):
     lists = merge.children(w.nodes(spark, d))
-    return lists.select("container_id", F.size("children").cast("long").alias("n"), F.array_join("children", ",").alias("children"))
+    return lists.select("container_id", "part", F.size("children").cast("long").alias("n"), F.array_join("children", ",").alias("children"))
 
 
 @query(

@@ -19,7 +19,8 @@ GRAPH = f"nodes map<string,{NODE}>, edges array<{EDGE}>, root string"
 
 def to_json(nodes: DataFrame, edges: DataFrame, root: str = "") -> DataFrame:
     """One row with the column ``json``."""
-    kids = merge.children(nodes).withColumnRenamed("container_id", "id")
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "children"))), lambda p: p["children"]))
+    kids = merge.children(nodes).groupBy(F.col("container_id").alias("id")).agg(whole.alias("children"))
     listed = nodes.join(kids, "id", "left").select(
         "id",
         F.struct(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -92,16 +94,24 @@ def read_event_files(spark, path: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).json(path)
 
 
-def write_progress(events: DataFrame, name: str, checkpoint: str, *, seconds: int | None = None) -> StreamingQuery:
-    """Run the fold as a stream into the in-memory table ``name``.
+def write_progress(
+    events: DataFrame, checkpoint: str, *, to_batch: Callable[[DataFrame, int], None], seconds: int | None = None
+) -> StreamingQuery:
+    """Run the fold as a stream; ``to_batch`` gets the runs that have changed, with a number, at every trigger.
 
-    State is a row per run. ``seconds`` limits how often it is brought up to date; without it all
-    available events are folded and the query ends.
+    State is a row per run, kept by the executors. ``seconds`` limits how often it is brought up to
+    date; without it all available events are folded and the query ends.
     """
     trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
-    return (
-        fold(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-    )
+    stream = fold(events).writeStream.outputMode("update").foreachBatch(to_batch)
+    return stream.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def watch_progress(events: DataFrame, name: str, checkpoint: str, *, seconds: int | None = None) -> StreamingQuery:
+    """The same into the in-memory table ``name``, which the driver holds: for watching a few runs."""
+    trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
+    stream = fold(events).writeStream.outputMode("complete").format("memory").queryName(name)
+    return stream.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def latest(results: DataFrame, key: str, order: str) -> DataFrame:

@@ -227,9 +227,13 @@ def test_progress_in_batch_and_as_a_stream(spark, tmp_path):
     assert (rows["q"].parsed_files, rows["q"].total_files, rows["q"].complete) == (0, None, False)
     assert [r.message for r in progress.errors(events).collect()] == ["bad"]
     events.repartition(3).write.json(str(tmp_path / "in"))
-    query = progress.write_progress(progress.read_event_files(spark, str(tmp_path / "in")), "folded", str(tmp_path / "state"))
-    query.awaitTermination(60)
+    stream = lambda: progress.read_event_files(spark, str(tmp_path / "in"))
+    progress.watch_progress(stream(), "folded", str(tmp_path / "state")).awaitTermination(60)
     assert set(spark.table("folded").collect()) == set(batch.collect())
+    changed = {}
+    keep = lambda rows, _: changed.update({r.run_id: r for r in rows.collect()})
+    progress.write_progress(stream(), str(tmp_path / "other"), to_batch=keep).awaitTermination(60)
+    assert set(changed.values()) == set(batch.collect())
     results = spark.createDataFrame([(0, "a", 3, None), (1, "b", None, "bad")], "seq long, path string, blocks long, message string")
     again = progress.fold(progress.file_events(results, "r")).first()
     assert (again.parsed_files, again.parsed_blocks, again.n_errors) == (2, 3, 1)
@@ -297,3 +301,37 @@ def test_view_is_a_value(spark):
     with pytest.raises(ValueError):
         start.toggle_kind("NoSuchKind")
     assert restore_wanted(["app"]) and not restore_wanted(["app", "--norestore"])
+
+
+def test_lists_of_hubs_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(merge, "LISTED", 10)
+    edges = spark.createDataFrame([("hub", f"n{i}", i) for i in range(95)] + [("few", "n1", 200)], "source string, target string, seq long")
+    rows = merge.adjacency(edges).collect()
+    assert {r.part for r in rows if r.node == "few"} == {0} and len([r for r in rows if r.node == "hub"]) > 5
+    assert sorted(n.seq for r in rows if r.node == "hub" for n in r.neighbours) == list(range(95))
+    nodes = spark.createDataFrame([(f"n{i}", "d", i) for i in range(25)], "id string, container_id string, child_ordinal long")
+    assert [len(r.children) for r in merge.children(nodes).orderBy("part").collect()] == [10, 10, 5]
+
+
+def test_viewports_of_any_size_match_brute_force(spark):
+    from loomgraph.operators import layout
+
+    rng = random.Random(2)
+    rect = lambda: (rng.uniform(-3e3, 3e3), rng.uniform(-3e3, 3e3), rng.choice([0.0, 5.0, 400.0, 1e4, 1e6]), rng.choice([1.0, 60.0, 3e3, 1e6]))
+    boxes, views = ([(f"{p}{i}", *rect()) for i in range(60)] for p in "bv")
+    shape = "x double, y double, width double, height double"
+    found = layout.viewport_join(spark.createDataFrame(boxes, f"node_id string, {shape}"), spark.createDataFrame(views, f"viewport_id string, {shape}"))
+    meets = lambda a, b: a[1] <= b[1] + b[3] and a[1] + a[3] >= b[1] and a[2] <= b[2] + b[4] and a[2] + a[4] >= b[2]
+    assert sorted(map(tuple, found.collect())) == sorted((v[0], b[0]) for v in views for b in boxes if meets(b, v))
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from loomgraph import shared
+
+    with shared.scratch(spark):
+        kept = shared.written(spark.range(3))
+        path = kept.inputFiles()[0].removeprefix("file:").removeprefix("//")
+        assert kept.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
