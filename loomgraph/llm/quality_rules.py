@@ -10,7 +10,8 @@ words of repeated three-word windows are found by sorting a document's windows a
 neighbours.
 
 Defined results: a null or wordless text has all measurements 0 and fails ``too_short``; equal
-rows are judged each; an empty table gives no rows; rows with a null id are judged like others.
+rows are judged each; a very long text is judged whole, within its row; an empty table gives no rows; rows with a null id
+are judged like others.
 Extra columns are ignored.
 """
 

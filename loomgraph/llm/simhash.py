@@ -183,7 +183,8 @@ def near_groups(
     distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = durable(connected_components(trie_links(distinct.select("fp"), budget)).withColumnRenamed("node", "fp"))
     linked = distinct.join(roots, "fp")
-    smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Written, so that the join is by broadcast or of two fresh shuffles, which the adaptive join can split at a large component.
+    smallest = written(linked.groupBy("root").agg(F.min("first_id").alias("component_id")))
     of_linked = roots.join(smallest, "root").select("fp", "component_id")
     # Written, so that the last join shuffles both sides and the adaptive join can split a fingerprint of very many rows.
     of_print = durable(
