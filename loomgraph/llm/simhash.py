@@ -24,10 +24,10 @@ trie node is reached by chance by ``documents / 2 ** prefix`` texts, so ``prefix
 logarithm of the distinct texts, and with it the number of walks: recall is the same at every size.
 
 Not every pair of a trie node needs a look, as only components matter. Nodes of up to ``SMALL`` texts give
-all their pairs. In larger ones, as a large group of near copies makes them, the smallest text stands for the
-node: first each text is compared with the smallest text that stands for a node of its own, one pair a
-text; then those not yet linked with the others that stand for their nodes; last, all pairs of a node that are
-still in different components.
+all their pairs. In larger ones, as a large group of near copies makes them, the text nearest to the majority of
+the node's bits stands for it, as the original of edited copies does: first each text is compared with the
+nearest text that stands for a node of its own, one pair a text; then those not yet linked with the others that stand
+for their nodes; last, all pairs of a node that are still in different components and within the budget of the whole fingerprint.
 
 Defined results: A-Z are lower-cased; a text of fewer words than a shingle is one shingle. A null or
 wordless text has fingerprint 0, linked like any other, and for :func:`keep_one` such texts are
@@ -290,25 +290,33 @@ class _Met:
     def __init__(self, budget: int):
         self.budget = budget
         self.open = tuple(np.empty(0, dtype=np.int64) for _ in range(3))  # the last node so far, whole if small
-        self.first: tuple[int, int, int] | None = None  # of the last node so far, if large: key, text, rest
+        self.stands: tuple[int, int, int] | None = None  # for the last node so far, if large: key, text, rest
 
     def _close(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.bitwise_count(x ^ y) <= self.budget
 
-    def _of_large(self, key, node, rest, first) -> list[tuple]:
-        met = self._close(rest, first[2]) & (node != first[1])
-        return [(key, node, np.full(len(node), first[1]), rest, met)]
+    def _of_large(self, key, node, rest, stands) -> list[tuple]:
+        met = self._close(rest, stands[2]) & (node != stands[1])
+        return [(key, node, np.full(len(node), stands[1]), np.bitwise_count(rest ^ stands[2]).astype(np.int64), met)]
+
+    @staticmethod
+    def standing_for(key, node, rest) -> tuple[int, int, int]:
+        """Of the texts of a node, as far as they are at hand, the one nearest to the majority of bits, then the first."""
+        bits = np.unpackbits(rest.view(np.uint8).reshape(-1, 8), axis=1)
+        majority = np.packbits(2 * bits.sum(axis=0) > len(rest)).view(np.int64)[0]
+        at = int(np.argmin(np.bitwise_count(rest ^ majority)))
+        return int(key[at]), int(node[at]), int(rest[at])
 
     def add(self, key: np.ndarray, node: np.ndarray, rest: np.ndarray) -> list[tuple]:
-        """Tuples of arrays: key (None for small nodes), text, other text, rest, whether the two met."""
+        """Tuples of arrays: key (None for small nodes), text, other text, bits apart, whether the two met."""
         out = []
-        if self.first is not None:
-            same = int(np.searchsorted(key, self.first[0], side="right"))
-            out += self._of_large(key[:same], node[:same], rest[:same], self.first)
+        if self.stands is not None:
+            same = int(np.searchsorted(key, self.stands[0], side="right"))
+            out += self._of_large(key[:same], node[:same], rest[:same], self.stands)
             key, node, rest = key[same:], node[same:], rest[same:]
             if not len(key):
                 return out
-            self.first = None
+            self.stands = None
         key, node, rest = (np.concatenate(pair) for pair in zip(self.open, (key, node, rest), strict=True))
         if not len(key):
             return out
@@ -318,8 +326,8 @@ class _Met:
         last = slice(int(starts[-1]), None)
         self.open = (key[last], node[last], rest[last])
         if sizes[-1] > SMALL:
-            self.first = tuple(int(c[0]) for c in self.open)
-            out += self._of_large(*self.open, self.first)
+            self.stands = self.standing_for(*self.open)
+            out += self._of_large(*self.open, self.stands)
             self.open = tuple(np.empty(0, dtype=np.int64) for _ in range(3))
         return out
 
@@ -335,35 +343,42 @@ class _Met:
         k, n, r = key[at], node[at], rest[at]
         for step in range(1, min(SMALL, len(k))):
             met = (k[step:] == k[:-step]) & self._close(r[step:], r[:-step])
-            out.append((None, n[step:][met], n[:-step][met], r[step:][met], np.ones(int(met.sum()), dtype=bool)))
+            apart = np.bitwise_count(r[step:][met] ^ r[:-step][met]).astype(np.int64)
+            out.append((None, n[step:][met], n[:-step][met], apart, np.ones(len(apart), dtype=bool)))
         for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
             whole = slice(start, start + size)
-            out += self._of_large(key[whole], node[whole], rest[whole], (int(key[start]), int(node[start]), int(rest[start])))
+            out += self._of_large(key[whole], node[whole], rest[whole], self.standing_for(key[whole], node[whole], rest[whole]))
         return out
 
 
 def _meetings(leaves: DataFrame, budget: int) -> DataFrame:
-    """(key, node, rest), together and in order by key and node, to (key, x, y, rest).
+    """(key, node, rest), together and in order by key and node, to (key, x, y, apart).
 
     Of a small trie node: its pairs (x, y) within the budget, without key. Of a large one: a row for each text x, y the
-    first text of the node if within the budget.
+    text that stands for the node if within the budget. ``apart`` are the bits in which the two differ.
     """
-    schema = pa.schema({"key": pa.int64(), "x": pa.int64(), "y": pa.int64(), "rest": pa.int64()})
+    schema = pa.schema({"key": pa.int64(), "x": pa.int64(), "y": pa.int64(), "apart": pa.int64()})
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = _Met(budget)
 
         def rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for key, x, y, rest, within in found:
+            for key, x, y, apart, within in found:
                 if len(x):
                     keys = pa.nulls(len(x), pa.int64()) if key is None else pa.array(key)
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(x), pa.array(y, mask=~within), pa.array(rest)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(x), pa.array(y, mask=~within), pa.array(apart)], schema=schema)
 
         for batch in batches:
             yield from rows(met.add(*[batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "rest")]))
         yield from rows(met.end())
 
-    return leaves.mapInArrow(of_batches, "key long, x long, y long, rest long")
+    return leaves.mapInArrow(of_batches, "key long, x long, y long, apart long")
+
+
+def _errors() -> Column:
+    """Bits in which two whole fingerprints differ."""
+    fresh = F.zip_with("print_a", "print_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(fresh, F.lit(0), lambda total, n: total + n)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -378,10 +393,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
             pairs = pairs.join(values.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in names]), end)
         return pairs
 
-    fresh = F.zip_with("print_a", "print_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    errors = F.aggregate(fresh, F.lit(0), lambda total, n: total + n)
     sized = F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b")
-    close = written(joined(pairs, nodes, "n", "print").filter(sized & (errors <= error_budget(WIDE, least))).select("a", "b"))
+    close = written(joined(pairs, nodes, "n", "print").filter(sized & (_errors() <= error_budget(WIDE, least))).select("a", "b"))
     ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
     needed = ends.join(nodes.select("node", "row"), "node")
     sets = written(texts.join(needed, "row").select("node", _set_column(F.col("text"), shingle).alias("set")))
@@ -407,7 +420,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, *, shingle: int, least: fl
     met = written(_meetings(leaves.repartition("key").sortWithinPartitions("key", "node"), budget))
     large = met.filter("key is not null")
 
-    nearest = large.filter("y is not null").groupBy("x").agg(F.min("y").alias("y"))
+    nearest = large.filter("y is not null").groupBy("x").agg(F.min_by("y", F.struct("apart", "y")).alias("y"))
     tested = written(_ordered(met.filter("key is null").select("x", "y").unionByName(nearest)))
     links = durable(_verified(tested, nodes, texts, shingle, least))
     roots = connected_components(links)
@@ -418,14 +431,16 @@ def similar_links(nodes: DataFrame, texts: DataFrame, *, shingle: int, least: fl
     links = durable(links.unionByName(_verified(second, nodes, texts, shingle, least)))
     roots = connected_components(links)
 
-    members = written(_labelled(large.select("key", "x", "rest"), roots, "x", "label"))
+    members = written(_labelled(large.select("key", "x"), roots, "x", "label"))
     by_label = members.groupBy("key", "label").count()
     major = by_label.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
-    apart = members.join(written(major.filter("labels > 1").drop("labels")), "key").filter("label <> major").drop("major")
-    side = members.select("key", F.col("x").alias("y"), F.col("rest").alias("rest_y"), F.col("label").alias("label_y"))
-    alike = F.bit_count(F.col("rest").bitwiseXOR(F.col("rest_y"))) <= budget
-    left = apart.withColumnRenamed("key", "key_x")
-    pairs = left.join(side, (F.col("key_x") == F.col("key")) & (F.col("label") != F.col("label_y")) & alike)
+    mixed = members.join(written(major.filter("labels > 1").drop("labels")), "key")
+    prints = nodes.select(F.col("node").alias("x"), "print")
+    mixed = written(mixed.join(prints, "x"))
+    left = mixed.filter("label <> major").select(F.col("key").alias("key_x"), "x", F.col("label").alias("label_x"), F.col("print").alias("print_a"))
+    right = mixed.select("key", F.col("x").alias("y"), F.col("label").alias("label_y"), F.col("print").alias("print_b"))
+    within = _errors() <= error_budget(WIDE, least)
+    pairs = left.join(right, (F.col("key_x") == F.col("key")) & (F.col("label_x") != F.col("label_y")) & within)
     third = written(_ordered(pairs).join(tested.unionByName(second), ["a", "b"], "left_anti"))
     return connected_components(links.unionByName(durable(_verified(third, nodes, texts, shingle, least))))
 

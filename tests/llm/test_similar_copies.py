@@ -86,8 +86,8 @@ def test_rows_without_ids_and_repeated_ids(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
-def brute_meetings(rows, budget):
-    """What is met in each trie node, by comparing its rows directly."""
+def brute_meetings(rows, budget, stands):
+    """What is met in each trie node, by comparing its rows directly; ``stands``: what stands for the large ones."""
     by_key = {}
     for key, node, rest in rows:
         by_key.setdefault(key, []).append((node, rest))
@@ -97,8 +97,8 @@ def brute_meetings(rows, budget):
         if len(texts) <= simhash.SMALL:
             small |= {(a, b) for i, (b, r) in enumerate(texts) for a, s in texts[i + 1 :] if bin(r ^ s).count("1") <= budget}
         else:
-            (first, r), *_ = texts
-            large |= {(key, n, first if n != first and bin(r ^ s).count("1") <= budget else None, s) for n, s in texts}
+            first, r = next(t for t in texts if t[0] == stands[key])
+            large |= {(key, n, first if n != first and bin(r ^ s).count("1") <= budget else None, bin(r ^ s).count("1")) for n, s in texts}
     return small, large
 
 
@@ -109,14 +109,24 @@ def test_meetings_match_brute_force_however_batches_cut(batch):
     met, found = simhash._Met(2), []
     for at in range(0, len(rows), batch):
         found += met.add(*[np.array(c, dtype=np.int64) for c in zip(*rows[at : at + batch], strict=True)])
-    small, large = set(), set()
-    for key, x, y, rest, within in found + met.end():
+    small, large, stands = set(), set(), {}
+    for key, x, y, apart, within in found + met.end():
         if key is None:
             assert within.all()
             small |= set(zip(x.tolist(), y.tolist(), strict=True))
         else:
-            large |= {(k, a, b if w else None, r) for k, a, b, r, w in zip(key.tolist(), x.tolist(), y.tolist(), rest.tolist(), within.tolist(), strict=True)}
-    assert (small, large) == brute_meetings(rows, 2)
+            rows_of = list(zip(key.tolist(), x.tolist(), y.tolist(), apart.tolist(), within.tolist(), strict=True))
+            large |= {(k, a, b if w else None, n) for k, a, b, n, w in rows_of}
+            for k, _, b, _, _ in rows_of:
+                assert stands.setdefault(k, b) == b
+    assert (small, large) == brute_meetings(rows, 2, stands)
+
+
+def test_the_original_of_edited_copies_stands_for_them():
+    rng = random.Random(1)
+    base = rng.getrandbits(60)
+    rest = np.array([base ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60)) for _ in range(30)] + [base], dtype=np.int64)
+    assert simhash._Met.standing_for(np.zeros(31, dtype=np.int64), np.arange(31), rest)[2] == base
 
 
 def test_a_large_group_of_near_copies_is_one(spark):
