@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import classifier, exact_dedup, html_text, mixing, packing, quality_rules, secrets, sharding, simhash, token_counts
+from loomgraph.llm import (
+    classifier,
+    exact_dedup,
+    filter_audit,
+    html_text,
+    mixing,
+    packing,
+    quality_rules,
+    secrets,
+    sharding,
+    simhash,
+    token_counts,
+)
 from loomgraph.llm.common import table
 
 
@@ -50,6 +62,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mixing,
@@ -62,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_classifier,
         op9_packing,
         op10_secrets,
+        op11_filter_audit,
     )
     return {f.__name__: f for f in found}
 
@@ -72,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_sharding": sharding.ORACLE,
         "op4_exact_dedup": exact_dedup.ORACLE,
         "op6_quality_rules": quality_rules.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE,
     }
