@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import (
     classifier,
+    collocations,
     exact_dedup,
     filter_audit,
     html_text,
@@ -17,6 +18,7 @@ from loomgraph.llm import (
     secrets,
     sharding,
     simhash,
+    substring_dedup,
     token_counts,
 )
 from loomgraph.llm.common import table
@@ -66,6 +68,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.find_repeats(table(spark, sf_dir, "documents")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.find_collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mixing,
@@ -79,6 +89,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_packing,
         op10_secrets,
         op11_filter_audit,
+        op12_substring_dedup,
+        op13_collocations,
     )
     return {f.__name__: f for f in found}
 
@@ -90,4 +102,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": exact_dedup.ORACLE,
         "op6_quality_rules": quality_rules.ORACLE,
         "op11_filter_audit": filter_audit.ORACLE,
+        "op12_substring_dedup": substring_dedup.ORACLE,
+        "op13_collocations": collocations.ORACLE,
     }

@@ -78,12 +78,16 @@ def packed_strings(strings: list[bytes]) -> bytes:
     return zstandard.compress(lengths.tobytes() + b"".join(strings), 1)
 
 
-def unpacked_strings(data: bytes) -> list[str]:
+def unpacked_bytes(data: bytes) -> list[bytes]:
     data = zstandard.decompress(data)
     n = int.from_bytes(data[:4], "little")
     ends = np.cumsum(np.frombuffer(data, dtype="<u4", count=n, offset=4), dtype=np.int64) + 4 * (n + 1)
-    starts = np.concatenate(([4 * (n + 1)], ends[:-1]))
-    return [data[i:j].decode("utf-8", "surrogatepass") for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+    starts = np.concatenate(([4 * (n + 1)], ends))[:n]
+    return [data[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def unpacked_strings(data: bytes) -> list[str]:
+    return [s.decode("utf-8", "surrogatepass") for s in unpacked_bytes(data)]
 
 
 class _Block:
@@ -123,7 +127,8 @@ class _Block:
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
         found, starts = np.unique(slot[order], return_index=True)
-        for at, start, end in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+        ends = [*starts[1:].tolist(), len(order)] if len(order) else []
+        for at, start, end in zip(found.tolist(), starts.tolist(), ends, strict=True):
             yield self._row(slot=at, strings=packed_strings([named[i] for i in order[start:end].tolist()]))
         string = rank[np.concatenate(columns)]
         by_string = np.argsort(string, kind="stable")
