@@ -7,7 +7,7 @@ do not overlap; any window holds a whole one of them. The method has these steps
 1. *Anchors.* The reference blocks of all documents are indexed by hash and probed with every rolling block of
    every document. A probe hits if its hash is in the index and is met in more than one document.
 2. *Extension.* A hit reaches at most ``window - block`` words to either side in a window that holds it, so
-   the windows around hits are all that can repeat. Those with the same 128 bits of two rolling hashes
+   the windows around hits are all that can repeat. Those with the same 96 bits of two rolling hashes
    over 128-bit word hashes are equal; what starts in the smallest document of each is kept. Repeated windows
    that overlap or touch unite to maximal repeats.
 
@@ -43,6 +43,8 @@ WINDOW = 50
 BLOCK_WORDS = 1 << 19
 #: Rolling hashes a slot, and bounds for the number of slots, a power of two. Any number gives the same rows.
 HASHES_PER_SLOT, FEWEST_SLOTS, MOST_SLOTS = 1 << 21, 128, 1 << 16
+#: Compression of texts, which are written twice and shuffled once.
+LEVEL = 6
 #: In place of a missing id; ids are compared as unsigned numbers with the first bit flipped.
 NO_ID = (1 << 64) - 1
 
@@ -136,7 +138,7 @@ def document_blocks(docs: DataFrame, block_words: int) -> DataFrame:
         number, ids, texts, n = None, [], [], 0
 
         def block() -> pa.RecordBatch:
-            return _record(out, block=number, n_words=n, ids=_two(np.array(ids, dtype=np.uint64)), texts=packed_strings(texts))
+            return _record(out, block=number, n_words=n, ids=_two(np.array(ids, dtype=np.uint64)), texts=packed_strings(texts, LEVEL))
 
         for batch in batches:
             columns = [batch.column("row"), batch.column("id"), batch.column("text").cast(pa.binary())]
@@ -253,7 +255,7 @@ def windows_around_hits(blocks: DataFrame, window: int, block: int, bits: int) -
         if len(some := np.flatnonzero(counts)):
             kept = [b" ".join(words.split[i]) for i in some.tolist()]
             place = packed(words.place[starts])
-            yield _record(out, block=number, ids=_two(ids[some]), texts=packed_strings(kept), windows=place, counts=packed(counts[some]))
+            yield _record(out, block=number, ids=_two(ids[some]), texts=packed_strings(kept, LEVEL), windows=place, counts=packed(counts[some]))
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +274,7 @@ class _Candidates:
         document = np.repeat(np.arange(len(self.ids)), unpacked(counts))
         self.at = self.words.starts[document] + unpacked(windows).astype(np.int64)
         self.owner = self.ids[document]
-        self.distinct = _Distinct(*(self.words.hashes(window, half, self.at) for half in (0, 1)))
+        self.distinct = _Distinct(self.words.hashes(window, 0, self.at), _low(self.words.hashes(window, 1, self.at)))
         self.first = self.distinct.over(np.minimum, self.owner)
 
 
@@ -286,8 +288,8 @@ def window_slices(judged: DataFrame, window: int, bits: int) -> DataFrame:
                 found = _Candidates(*data, window)
                 one, two = found.distinct.keys
                 for slot, part in found.distinct.slots(bits):
-                    keys, flags, first = map(_two, (one[part], two[part], found.first[part]))
-                    yield _record(out, block=number, slot=slot, n=part.stop - part.start, keys=keys, flags=flags, first=first)
+                    steps, first = _two(np.diff(one[part], prepend=np.uint64(0))), _two(found.first[part])
+                    yield _record(out, block=number, slot=slot, n=part.stop - part.start, keys=steps, flags=packed(two[part]), first=first)
 
     return judged.mapInArrow(of_batches, SLICE)
 
@@ -296,8 +298,9 @@ def earlier_windows(slices: DataFrame) -> DataFrame:
     """Which windows of each slice start in a smaller document of another block."""
 
     def of_slot(group: pa.Table) -> pa.Table:
-        columns = [[_joined(x) for x in group.column(c).to_pylist()] for c in ("keys", "flags", "first")]
-        one, two, first = map(np.concatenate, columns)
+        steps, second, first = (group.column(c).to_pylist() for c in ("keys", "flags", "first"))
+        one = np.concatenate([np.cumsum(_joined(x), dtype=np.uint64) for x in steps])
+        two, first = np.concatenate([unpacked(x) for x in second]), np.concatenate([_joined(x) for x in first])
         distinct = _Distinct(one, two)
         earlier = distinct.spread(distinct.over(np.minimum, first)) < first
         return _answers(group, np.split(earlier, np.cumsum(group.column("n").to_numpy())[:-1]))

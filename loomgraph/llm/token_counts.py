@@ -72,10 +72,10 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def packed_strings(strings: list[bytes]) -> bytes:
+def packed_strings(strings: list[bytes], level: int = 1) -> bytes:
     """UTF-8 strings as their number, their lengths and their bytes."""
     lengths = np.array([len(strings), *map(len, strings)], dtype="<u4")
-    return zstandard.compress(lengths.tobytes() + b"".join(strings), 1)
+    return zstandard.compress(lengths.tobytes() + b"".join(strings), level)
 
 
 def unpacked_bytes(data: bytes) -> list[bytes]:

@@ -102,6 +102,15 @@ def test_token_counts_of_awkward_rows(docs, no_docs):
     assert token_counts.count_tokens(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"block_pairs": 1}, {"buckets": 1}])
+def test_token_counts_where_a_task_has_no_pre_token(spark, options):
+    special = "<|endoftext|>"
+    for texts in ([None], ["", None, "", None], [special, special * 2, None], [None, "one two", None, special], ["a", None, "b c", ""]):
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4, "doc_id")
+        found = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(frame, **options).collect()}
+        assert found == {i: (len((t or "").encode()), len(library_ids(t or ""))) for i, t in enumerate(texts)}
+
+
 def test_token_counts_keep_the_type_of_ids(spark):
     rows = spark.createDataFrame([("a-1", "one two"), (None, "three")], "name string, body string")
     found = token_counts.count_tokens(rows, id_col="name", text_col="body")
