@@ -16,6 +16,24 @@ def text_of(html):
     return html_text._main_text(html, None)
 
 
+def test_stray_quotes_in_tags_hide_no_text():
+    for html, expected in (
+        ("<article><p it's>one</p><p>two</p><p it's>three</p></article>", ["one", "two", "three"]),
+        ("<article><p>a<img alt=it's>b</p><p>c<img alt=it's></p></article>", ["ab", "c"]),
+        ("<article><p title='x > y'>one</p><p title = \"a>b\">two</p></article>", ["one", "two"]),
+    ):
+        assert html_text.page_lines(html)[0] == expected
+
+
+def test_a_menu_or_notice_that_an_article_is_about_stays():
+    dishes = "<p>soup of the day</p><p>roast with dumplings</p>"
+    for name in ("menu", "notice", "menu-list"):
+        assert len(html_text.page_lines(f'<article><h1>Lunch</h1><div class="{name}">{dishes}</div></article>')[0]) == 3
+        assert html_text.page_lines(f'<article><p>{"a long story " * 9}</p><div class="{name}">home</div></article>')[0] == [("a long story " * 9).strip()]
+        assert html_text.page_lines(f'<div class="{name}">{dishes}</div><article>x</article>')[0] == ["x"]
+    assert html_text.page_lines(f'<article><p>short</p><div class="comments">{dishes}</div></article>')[0] == ["short"]
+
+
 def test_structure():
     assert text_of(PAGE) == 'Head & "more\nFirst bold text. Same block\nSecond\none\ntwo'
     assert text_of(None) == text_of("") == text_of("<p>") == text_of("<script>x") == ""
