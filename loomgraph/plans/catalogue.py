@@ -13,7 +13,7 @@ from loomgraph.operators import geometry, hierarchy, layout, merge, numbering, r
 from loomgraph.plans import sources_workload as sw
 from loomgraph.plans import workload as w
 from loomgraph.schema import BLOCK_ICONS, BLOCK_KINDS, EDGE_KINDS, NO_BLOCK_COLOUR, NO_ICON, NODE_COLOURS, NODE_ICONS, NODE_SIZES, SUFFIXES
-from loomgraph.streaming import progress
+from loomgraph.streaming import progress, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -663,6 +663,43 @@ def run_totals(spark, d):
     return progress.run_totals(w.events(spark, d).filter("type in ('FileDone', 'Error')"))
 
 
+@query(
+    f"""WITH {w.EVENTS}, timed AS (
+      SELECT ev.*, ts FROM ev JOIN events ON event_id = seq
+      UNION ALL SELECT CAST(user_id AS VARCHAR), event_id, 'Start', NULL, NULL, NULL, NULL, NULL, ts FROM events WHERE event_type = 'click'),
+    numbered AS (SELECT *, count(*) FILTER (type = 'Start') OVER (PARTITION BY run_id ORDER BY ts, seq) AS attempt FROM timed),
+    active AS (SELECT *, count(*) FILTER (type = 'Complete') OVER (PARTITION BY run_id, attempt ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended
+      FROM numbered WHERE attempt > 0)
+    SELECT run_id, max(seq) FILTER (type = 'Start') AS start_seq, arg_max(path, (ts, seq)) FILTER (type = 'FileStart') AS current_path,
+      count(*) FILTER (type = 'FileDone') AS parsed_files, coalesce(max(total_files), 0) AS total_files,
+      CAST(coalesce(max(total_blocks), sum(blocks), 0) AS BIGINT) AS total_blocks, count(*) FILTER (type = 'Error') AS n_errors, bool_or(type = 'Complete') AS complete
+    FROM active WHERE ended = 0 GROUP BY run_id, attempt"""
+)
+def replayed_runs(spark, d):
+    return runs.replay(w.timed_events(spark, d))
+
+
+@query(
+    """WITH b AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR AS new FROM events),
+    n AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM b)
+    SELECT user_id, max(ts) + INTERVAL 6 HOUR AS written_at, count(*) AS n_writes, max(event_id) AS event_id, max(ts) AS ts,
+      arg_max(value, event_id) AS value FROM n GROUP BY user_id, burst"""
+)
+def debounced_writes(spark, d):
+    """Saved values of each user; events here are hours apart, so the gap is."""
+    writes = w.table(spark, d, "events").select("user_id", "event_id", "ts", "value")
+    return runs.debounced(writes, "user_id", gap="6 hours", order="event_id")
+
+
+@query(
+    """SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS frame, count(*) AS n_requests, max(event_id) AS event_id, max(ts) AS ts,
+      arg_max(event_type, event_id) AS event_type FROM events GROUP BY ALL"""
+)
+def requests_per_frame(spark, d):
+    """The last request of each user in a frame, here of a day."""
+    return runs.per_frame(w.table(spark, d, "events").select("user_id", "event_id", "ts", "event_type"), "user_id", frame="1 day", order="event_id")
+
+
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def latest_request(spark, d):
     return progress.latest(w.table(spark, d, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")

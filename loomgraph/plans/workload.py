@@ -163,6 +163,14 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def timed_events(spark: SparkSession, d: str) -> DataFrame:
+    """All events with their times; a click starts a run."""
+    t = F.col("event_type")
+    starts = table(spark, d, "events").filter(t == "click").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), F.lit("Start").alias("type"))
+    every = events(spark, d).unionByName(starts, allowMissingColumns=True)
+    return every.join(table(spark, d, "events").select(F.col("event_id").alias("seq"), "ts"), "seq")
+
+
 VISIBLE = "not (type = 'File' and child_ordinal % 7 = 3) and not (coalesce(container_id, '-') = '' and child_ordinal = 2)"
 EXPANDED = "(type = 'Directory' and not (len(ancestors) = 2 and child_ordinal % 3 = 1)) or (type = 'File' and child_ordinal % 2 = 0)"
 
