@@ -89,37 +89,49 @@ def in_viewport(boxes: DataFrame, x: float, y: float, width: float, height: floa
     )
 
 
+def _celled(rows: DataFrame, levels: Column, cell: float, prefix: str) -> DataFrame:
+    """``rows`` once for each of their ``levels`` and each cell of it that they touch."""
+    edge = lambda v: F.floor(v / (F.lit(cell) * F.pow(F.lit(2.0), F.col("level")))).cast("long")
+    out = rows.withColumn("level", F.explode(levels))
+    across = F.explode(F.sequence(edge(F.col("x")), edge(F.col("x") + F.col("width"))))
+    down = F.explode(F.sequence(edge(F.col("y")), edge(F.col("y") + F.col("height"))))
+    out = out.withColumn("cell_x", across).withColumn("cell_y", down)
+    out = out.withColumn("first_x", edge(F.col("x"))).withColumn("first_y", edge(F.col("y")))
+    return out.select("level", "cell_x", "cell_y", *[F.col(c).alias(prefix + c) for c in (*rows.columns, "first_x", "first_y")])
+
+
+def viewport_candidates(boxes: DataFrame, viewports: DataFrame, cell: float = 500.0) -> DataFrame:
+    """Boxes and viewports that share a cell of the coarser of their levels, and are compared."""
+    own = F.coalesce(F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("width", "height") / F.lit(cell)))), F.lit(0)).cast("int")
+    boxes, viewports = boxes.withColumn("own", own), viewports.withColumn("own", own)
+    met = lambda df: F.array(*[F.lit(r.own) for r in df.select("own").distinct().collect()]).cast("array<int>")  # noqa: E731  a few levels
+    of_boxes, of_views, mine = met(boxes), met(viewports), F.array("own")
+    same_or_coarser = F.filter(of_boxes, lambda level: level >= F.col("own"))
+    coarser = F.filter(of_views, lambda level: level > F.col("own"))
+    keys = ["level", "cell_x", "cell_y"]
+    at_boxes = _celled(boxes, mine, cell, "b_").join(_celled(viewports, same_or_coarser, cell, "v_"), keys)
+    at_views = _celled(boxes, coarser, cell, "b_").join(_celled(viewports, mine, cell, "v_"), keys)
+    return at_boxes.unionByName(at_views)
+
+
 def viewport_join(boxes: DataFrame, viewports: DataFrame, cell: float = 500.0) -> DataFrame:
     """(viewport_id, node_id): boxes that meet each of many viewports.
 
     Both sides are dealt to the cells of grids, so the join has an equality key. A rectangle has a
-    level at which cells are as large as it, so it lies in four of them at most, and it is dealt to the
-    cells of that level and of the coarser ones; two rectangles meet at the coarser of their levels.
-    A pair that shares several cells is kept in the first of them only.
+    level at which cells are as large as it, so it lies in four of them at most. Boxes at their own level meet
+    the viewports of that level and of finer ones, viewports at their own level the finer boxes; so a huge
+    viewport brings only itself to the boxes, not all others. A pair that shares several cells is kept in
+    the first of them only.
     """
-    own = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("width", "height") / F.lit(cell)))).cast("int")
-    levels = boxes.select(own.alias("level")).unionByName(viewports.select(own.alias("level")))
-    top = levels.agg(F.max("level")).first()[0] or 0
-
-    def celled(df: DataFrame, prefix: str) -> DataFrame:
-        edge = lambda v: F.floor(v / (F.lit(cell) * F.pow(F.lit(2.0), F.col("level")))).cast("long")
-        out = df.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("level", F.explode(F.sequence("own", F.lit(top))))
-        across = F.explode(F.sequence(edge(F.col("x")), edge(F.col("x") + F.col("width"))))
-        down = F.explode(F.sequence(edge(F.col("y")), edge(F.col("y") + F.col("height"))))
-        out = out.withColumn("cell_x", across).withColumn("cell_y", down)
-        out = out.withColumn("first_x", edge(F.col("x"))).withColumn("first_y", edge(F.col("y")))
-        return out.select("level", "cell_x", "cell_y", *[F.col(c).alias(prefix + c) for c in (*df.columns, "own", "first_x", "first_y")])
-
-    both = celled(boxes, "b_").join(celled(viewports, "v_"), ["level", "cell_x", "cell_y"])
     meets = (
         (F.col("b_x") <= F.col("v_x") + F.col("v_width"))
         & (F.col("b_x") + F.col("b_width") >= F.col("v_x"))
         & (F.col("b_y") <= F.col("v_y") + F.col("v_height"))
         & (F.col("b_y") + F.col("b_height") >= F.col("v_y"))
-        & (F.col("level") == F.greatest("b_own", "v_own"))
     )
     first = (F.col("cell_x") == F.greatest("b_first_x", "v_first_x")) & (F.col("cell_y") == F.greatest("b_first_y", "v_first_y"))
-    return both.filter(meets & first).select(F.col("v_viewport_id").alias("viewport_id"), F.col("b_node_id").alias("node_id"))
+    both = viewport_candidates(boxes, viewports, cell).filter(meets & first)
+    return both.select(F.col("v_viewport_id").alias("viewport_id"), F.col("b_node_id").alias("node_id"))
 
 
 def upsert_boxes(boxes: DataFrame, changed: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.extract import job
 from loomgraph.functions import names, paths, style
-from loomgraph.operators import geometry, hierarchy, layout, merge, numbering, resolve, view
+from loomgraph.operators import geometry, hierarchy, layout, merge, numbering, resolve, spatial, view
 from loomgraph.plans import sources_workload as sw
 from loomgraph.plans import workload as w
 from loomgraph.schema import BLOCK_ICONS, BLOCK_KINDS, EDGE_KINDS, NO_BLOCK_COLOUR, NO_ICON, NODE_COLOURS, NODE_ICONS, NODE_SIZES, SUFFIXES
+from loomgraph.shared import durable, shared_folder
 from loomgraph.streaming import progress, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -772,6 +774,37 @@ def viewport_join(spark, d):
     return layout.viewport_join(_grid(spark, d), views)
 
 
+def _changed_boxes(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Boxes moved to the left and made large, and ids that go."""
+    number = F.regexp_extract("node_id", "([0-9]+)$", 1)
+    moved = grid.filter(number.endswith("7")).select("node_id", (F.col("x") - 700.0).alias("x"), "y", (F.col("width") * 12.0).alias("width"), "height")
+    return moved, grid.filter(number.endswith("5")).select("node_id")
+
+
+_CHANGED = """changed AS (SELECT node_id, CASE WHEN node_id SIMILAR TO '.*7' THEN x - 700.0 ELSE x END AS x, y,
+  CASE WHEN node_id SIMILAR TO '.*7' THEN width * 12.0 ELSE width END AS width, height FROM grid WHERE node_id NOT SIMILAR TO '.*5')"""
+
+
+def _box_index(spark, d) -> str:
+    """An index of the grid, some of whose boxes were then put elsewhere and some taken out."""
+    grid, path = durable(_grid(spark, d)), f"{shared_folder(spark)}/boxes-{uuid.uuid4().hex}"
+    moved, gone = _changed_boxes(grid)
+    spatial.create_index(grid, path)
+    spatial.upsert(spark, path, moved)
+    spatial.remove(spark, path, gone)
+    return path
+
+
+@query(f"WITH {w.NODES}, {_GRID}, {_CHANGED} SELECT * FROM changed WHERE x <= 900 AND x + width >= 240 AND y <= 1000 AND y + height >= 380")
+def box_index_view(spark, d):
+    return spatial.boxes_in_view(spark, _box_index(spark, d), 240.0, 380.0, 660.0, 620.0)
+
+
+@query(f"WITH {w.NODES}, {_GRID}, {_CHANGED} SELECT * FROM changed")
+def box_index_rows(spark, d):
+    return spatial.read_index(spark, _box_index(spark, d))
+
+
 def _fitted_sql() -> str:
     """Level by level: ``now3`` are the boxes of files, ``nowK`` those of depth K grown around what lies in them."""
     seen = f"SELECT id, type, container_id, len(ancestors) AS depth, {w.VISIBLE} AS seen FROM nodes WHERE type <> 'CodeBlock'"
