@@ -53,12 +53,22 @@ def subtree(nodes: DataFrame, node_id: str) -> DataFrame:
 
 
 def shown(nodes: DataFrame, visible: DataFrame, expanded: DataFrame) -> DataFrame:
-    """Nodes below the root that are visible and whose containers are all visible and expanded."""
-    opened = visible.select("id").intersect(expanded.select("id")).withColumnRenamed("id", "ancestor")
-    present = nodes.filter("id <> ''").join(visible.select("id").distinct(), "id", "left_semi")
-    above = present.select("id", F.explode("ancestors").alias("ancestor")).filter("ancestor <> ''")
-    closed = above.join(opened, "ancestor", "left_anti").select("id").distinct()
-    return present.join(closed, "id", "left_anti")
+    """Nodes below the root that are visible and whose containers are all visible and expanded.
+
+    Containers are judged first, each once: those that are open themselves bring the open ones above them,
+    and lie open if these are all. Of the nodes only ``container_id`` is looked up.
+    """
+    marks = visible.select("id", F.lit(True).alias("seen"), F.lit(False).alias("wide"))
+    marks = marks.unionByName(expanded.select("id", F.lit(False).alias("seen"), F.lit(True).alias("wide")))
+    state = durable(marks.groupBy("id").agg(F.bool_or("seen").alias("seen"), F.bool_or("wide").alias("wide")).filter("seen"))
+    opened = state.filter("wide").select("id")
+    chains = nodes.filter("id <> ''").join(opened, "id", "left_semi").select("id", F.filter(F.concat("ancestors", F.array("id")), lambda a: a != "").alias("chain"))
+    steps = chains.select("id", F.size("chain").alias("n"), F.explode("chain").alias("step"))
+    met = steps.join(opened.withColumnRenamed("id", "step"), "step").groupBy("id", "n").agg(F.count(F.lit(1)).alias("met"))
+    lying_open = met.filter("met = n").select(F.col("id").alias("container_id"))
+    root = nodes.sparkSession.range(1).select(F.lit("").alias("container_id"))
+    present = nodes.filter("id <> ''").join(state.select("id"), "id", "left_semi")
+    return present.join(lying_open.unionByName(root), "container_id", "left_semi").select(*nodes.columns)
 
 
 def nearest_shown(nodes: DataFrame, shown_ids: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import style
 from loomgraph.operators import geometry, hierarchy, numbering
 from loomgraph.schema import PADDING
+from loomgraph.shared import durable
 
 COLUMNS, START, STEP_X, STEP_Y = 8, 20.0, 220.0, 60.0
 
@@ -142,19 +143,19 @@ def upsert_boxes(boxes: DataFrame, changed: DataFrame) -> DataFrame:
 def fitted_containers(boxes: DataFrame, nodes: DataFrame, visible: DataFrame) -> DataFrame:
     """Boxes of all containers of visible children grown to hold them, with padding and a least size.
 
-    From the deepest containers up, so that a container holds its children as they have grown.
+    From the deepest containers up, so that a container holds its children as they have grown; each level is written before the next.
     """
     shown = visible.select("id").distinct().withColumn("visible", F.lit(True))
     facts = nodes.join(shown, "id", "left").select(
         F.col("id").alias("node_id"), "container_id", "type", F.size("ancestors").alias("depth"), F.coalesce("visible", F.lit(False)).alias("visible")
     )
-    placed = boxes.join(facts, "node_id")
+    placed = durable(boxes.join(facts, "node_id"))
     deepest = placed.agg(F.max("depth")).first()[0]
     if deepest is None:
         return boxes.limit(0)
     fitted, below = None, placed.filter(F.col("depth") == deepest)
     for depth in range(deepest - 1, -1, -1):
-        grown = _fitted_level(placed.filter(F.col("depth") == depth), below.filter("visible"))
+        grown = durable(_fitted_level(placed.filter(F.col("depth") == depth), below.filter("visible")))
         fits = grown.filter("fits").select(*boxes.columns)
         fitted = fits if fitted is None else fitted.unionByName(fits)
         below = grown

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.extract import job
 from loomgraph.functions import names, paths, style
-from loomgraph.operators import geometry, hierarchy, layout, merge, numbering, resolve, spatial, view
+from loomgraph.operators import geometry, hierarchy, intervals, layout, merge, numbering, resolve, spatial, view
 from loomgraph.plans import sources_workload as sw
 from loomgraph.plans import workload as w
 from loomgraph.schema import BLOCK_ICONS, BLOCK_KINDS, EDGE_KINDS, NO_BLOCK_COLOUR, NO_ICON, NODE_COLOURS, NODE_ICONS, NODE_SIZES, SUFFIXES
@@ -183,16 +183,70 @@ def tree_order(spark, d):
     return hierarchy.tree_order(w.nodes(spark, d).filter("type <> 'CodeBlock'")).withColumn("place", F.array_join("place", ">"))
 
 
+_TREE_NUMBERS = """numbers AS (SELECT id, type, ancestors, row_number() OVER (ORDER BY list_append(ancestors, id)) - 1 AS start FROM nodes),
+below AS (SELECT a AS id, count(*) AS n FROM (SELECT unnest(ancestors) AS a FROM nodes) GROUP BY a)"""
+
+
+def _tree(spark, d) -> DataFrame:
+    return intervals.write_intervals(w.nodes(spark, d), f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}")
+
+
+@query(
+    f"""WITH {w.NODES}, {_TREE_NUMBERS} SELECT id, start, start + 1 + coalesce(n, 0) AS "end", CAST(len(ancestors) AS INTEGER) AS depth
+    FROM numbers LEFT JOIN below USING (id)"""
+)
+def tree_intervals(spark, d):
+    return intervals.with_intervals(w.nodes(spark, d)).select("id", "start", "end", "depth")
+
+
+@query(f"WITH {w.NODES} SELECT id, type FROM nodes WHERE id = 'ASIA' OR list_contains(ancestors, 'ASIA')")
+def subtree_by_range(spark, d):
+    return intervals.subtree(_tree(spark, d), "ASIA").select("id", "type")
+
+
+@query(
+    f"""WITH {w.NODES}, {w.RAW}, below AS (SELECT id FROM nodes WHERE id = 'EUROPE/NATION_3' OR list_contains(ancestors, 'EUROPE/NATION_3'))
+    SELECT source, target, kind, seq FROM raw WHERE source IN (SELECT id FROM below) OR target IN (SELECT id FROM below)"""
+)
+def edges_by_range(spark, d):
+    """Edges that touch a subtree, by the numbers of their ends."""
+    tree = _tree(spark, d)
+    edges = intervals.numbered_edges(w.raw_edges(spark, d), tree)
+    return intervals.touching(edges, tree, "EUROPE/NATION_3").select("source", "target", "kind", "seq")
+
+
+_DRAWN = f"""WITH {w.NODES}, {w.VIEW}, matches AS (SELECT DISTINCT unnest(list_append(ancestors, id)) AS id FROM nodes WHERE contains(lower(name), lower('1'))),
+    rows AS (SELECT id, type, ancestors FROM nodes WHERE id <> '' AND id IN (SELECT id FROM matches)
+      AND id NOT IN (SELECT i FROM (SELECT id AS i, unnest(ancestors) AS a FROM nodes) WHERE a <> '' AND a NOT IN (SELECT id FROM expanded))),
+    drawn AS (SELECT id, type, CAST(len(ancestors) - 1 AS INTEGER) AS depth, row_number() OVER (ORDER BY list_append(ancestors, id)) - 1 AS ordinal FROM rows)"""
+
+
+def _drawn_rows(spark, d) -> DataFrame:
+    n, tree = w.nodes(spark, d), _tree(spark, d)
+    return intervals.drawn_rows(tree, hierarchy.search(tree, "1"), w.expanded(n)).select("id", "type", "depth", "ordinal")
+
+
+@query(f"{_DRAWN} SELECT * FROM drawn")
+def drawn_tree(spark, d):
+    """Rows of the drawn tree in their order, under a search and with closed nodes."""
+    return _drawn_rows(spark, d)
+
+
+@query(f"{_DRAWN} SELECT * FROM drawn WHERE ordinal BETWEEN 100 AND 149")
+def drawn_page(spark, d):
+    return intervals.page(_drawn_rows(spark, d), 2, 50)
+
+
 @query(f"WITH {w.NODES}, {w.VIEW}, {w.SHOWN} SELECT id, type FROM shown")
 def shown_tree(spark, d):
-    n = w.nodes(spark, d)
+    n = durable(w.nodes(spark, d))
     return hierarchy.shown(n, w.visible(n), w.expanded(n)).select("id", "type")
 
 
 @query(f"WITH {w.NODES}, {w.VIEW}, {w.SHOWN}, lifted_to AS (SELECT id FROM shown), {w.PLACE} SELECT id, shown_id FROM place")
 def visible_ancestor(spark, d):
-    n = w.nodes(spark, d)
-    return hierarchy.nearest_shown(n, hierarchy.shown(n, w.visible(n), w.expanded(n)).select("id"))
+    n = durable(w.nodes(spark, d))
+    return hierarchy.nearest_shown(n, durable(hierarchy.shown(n, w.visible(n), w.expanded(n)).select("id")))
 
 
 @query(f"WITH {w.NODES}, {w.RAW}, {w.ROLLED} SELECT source, target, kind, count, weight FROM rolled")
@@ -283,7 +337,7 @@ def subgraph_aggregated(spark, d):
     source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown) AS in_tree FROM raw"""
 )
 def edges_in_tree_split(spark, d):
-    n = w.nodes(spark, d)
+    n = durable(w.nodes(spark, d))
     shown = hierarchy.shown(n, w.visible(n), w.expanded(n)).select("id")
     return view.split_by_tree(w.raw_edges(spark, d), shown).select("source", "target", "kind", "seq", "in_tree")
 
@@ -299,7 +353,7 @@ _PAIRS = """pairs AS (SELECT source, target FROM rolled UNION SELECT source, tar
     SELECT *, {EDGE_COLOUR} AS colour FROM joined"""
 )
 def edge_colour_lookup(spark, d):
-    n, raw = w.nodes(spark, d), w.raw_edges(spark, d)
+    n, raw = durable(w.nodes(spark, d)), durable(w.raw_edges(spark, d))
     rolled = hierarchy.roll_up(raw, n, w.directories(n))
     pairs = rolled.select("source", "target").union(raw.select("source", "target"))
     pairs = pairs.union(w.table(spark, d, "region").select("r_name", F.lit("nowhere"))).distinct()
@@ -375,7 +429,7 @@ def tooltip(spark, d):
     UNION ALL SELECT 'rolled_up', count(*) FROM rolled"""
 )
 def diagnostics(spark, d):
-    n, raw = w.nodes(spark, d), w.raw_edges(spark, d)
+    n, raw = durable(w.nodes(spark, d)), durable(w.raw_edges(spark, d))
     shown = hierarchy.shown(n, w.visible(n), w.expanded(n)).select("id")
     rolled = hierarchy.roll_up(raw, n, w.directories(n))
     return view.diagnostics(n, raw, shown, w.expanded(n), rolled, raw.filter("seq % 3 = 0"))
@@ -825,7 +879,7 @@ def _fitted_sql() -> str:
 
 @query(_fitted_sql())
 def fitted_containers(spark, d):
-    n = w.nodes(spark, d).filter("type <> 'CodeBlock'")
+    n = durable(w.nodes(spark, d).filter("type <> 'CodeBlock'"))
     return layout.fitted_containers(_grid(spark, d), n, w.visible(n))
 
 
@@ -837,7 +891,7 @@ def fitted_containers(spark, d):
       y + CASE WHEN node_id IN (SELECT id FROM moved) THEN -5.0 ELSE 0.0 END AS y, width, height FROM grid"""
 )
 def moved_subtree(spark, d):
-    n = w.nodes(spark, d).filter("type <> 'CodeBlock'")
+    n = durable(w.nodes(spark, d).filter("type <> 'CodeBlock'"))
     return layout.moved_subtree(_grid(spark, d), n, w.visible(n), "EUROPE", 15.0, -5.0)
 
 
@@ -848,7 +902,7 @@ def moved_subtree(spark, d):
     SELECT g.node_id, g.x - t.x AS dx, g.y - t.y AS dy FROM grid g, grid t WHERE t.node_id = 'EUROPE' AND g.node_id IN (SELECT id FROM kept)"""
 )
 def displayed_descendants(spark, d):
-    n = w.nodes(spark, d).filter("type <> 'CodeBlock'")
+    n = durable(w.nodes(spark, d).filter("type <> 'CodeBlock'"))
     return layout.offsets_from(_grid(spark, d), layout.displayed_below(n, w.visible(n), "EUROPE"), "EUROPE")
 
 
