@@ -15,21 +15,45 @@ class Token(NamedTuple):
 
 ECMA = re.compile(
     r"""(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))
-    |(?P<string>"(?:\\.|[^"\\\n])*(?:"|\Z)|'(?:\\.|[^'\\\n])*(?:'|\Z)|`(?:\\.|[^`\\])*(?:`|\Z))
+    |(?P<string>"(?:\\.|[^"\\\n])*(?:"|\Z)|'(?:\\.|[^'\\\n])*(?:'|\Z))
     |(?P<word>[A-Za-z_$\u0080-\uffff][\w$]*)|(?P<number>\d[\w.]*)|(?P<mark>=>|\?\.|\.\.\.|[^\s])""",
     re.VERBOSE | re.DOTALL,
 )
 RUST = re.compile(
     r"""(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))
-    |(?P<string>b?r(?P<hashes>\#*)".*?(?:"(?P=hashes)|\Z)|b?"(?:\\.|[^"\\])*(?:"|\Z)|b?'(?:\\[^\n]|[^'\\\n])[^'\n]{0,8}'|'[A-Za-z_]\w*)
+    |(?P<string>b?r(?P<hashes>\#*)".*?(?:"(?P=hashes)|\Z)|b?"(?:\\.|[^"\\])*(?:"|\Z)
+      |b?'(?:\\(?:u\{[0-9A-Fa-f_]+\}|x[0-9A-Fa-f]{2}|[^\n])|[^'\\\n])'|'[A-Za-z_]\w*)
     |(?P<word>[A-Za-z_]\w*)|(?P<number>\d[\w.]*)|(?P<mark>::|->|=>|[^\s])""",
     re.VERBOSE | re.DOTALL,
 )
+#: Text of a template literal, to the next substitution or its end.
+TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*", re.DOTALL)
 PAIRS = {")": "(", "]": "[", "}": "{"}
 
 
 def tokens(source: str, language: re.Pattern) -> list[Token]:
-    return [Token(m.lastgroup if m.lastgroup != "hashes" else "string", m[0], m.start(), m.end()) for m in language.finditer(source) if m["skip"] is None]
+    """The tokens of a source; template literals are the strings around their substitutions, whose tokens stand between."""
+    found, at = [], 0
+    open_: list[int] = []  # open braces in each substitution around
+    while m := language.match(source, at):
+        text, at = m[0], m.end()
+        if m["skip"] is not None:
+            continue
+        if language is ECMA and (text == "`" or text == "}" and open_ and not open_[-1]):
+            if text == "}":
+                open_.pop()
+            at = TEMPLATE.match(source, at).end()
+            if source.startswith("${", at):
+                open_.append(0)
+                at += 2
+            else:
+                at = min(at + 1, len(source))
+            found.append(Token("string", source[m.start() : at], m.start(), at))
+            continue
+        if open_ and text in ("{", "}"):
+            open_[-1] += 1 if text == "{" else -1
+        found.append(Token(m.lastgroup if m.lastgroup != "hashes" else "string", text, m.start(), at))
+    return found
 
 
 def bracket_pairs(found: list[Token]) -> dict[int, int]:

@@ -24,7 +24,8 @@ class Base{k}(Parent{k}):
         from .mod{k} import thing
 def _private_{k}(x: Item{k}): pass
 async def co_{k}():
-    import pack{k}.sub as alias""",
+    import pack{k}.sub as alias
+print "no longer a statement", old{k}()""",
     "TypeScript": """import { a } from './mod{k}';
 export class Foo{k} extends Bar{k} {
   run{k}(x: Kind{k}): Result{k} { go{k}(); this.other{k}(); }
@@ -33,7 +34,8 @@ interface Shape{k} { size: Unit{k} }
 type Alias{k} = string | Other{k};
 enum Color{k} { Red, Green }
 export function greet{k}(n: string): void { load{k}('x'); }
-const add{k} = (a: number) => a + 1;""",
+const add{k} = (a: number) => a + 1;
+const text{k} = (b: Item{k}) => `${ask{k}(`{${deep{k}(b)}}`)} and { not${`it`}s`;""",
     "JavaScript": """const one{k} = function(a) { return two{k}(a); }
 class Foo{k} extends Bar{k} { run{k}() { this.go{k}(); } }
 function* gen{k}() { yield 1; }
@@ -47,7 +49,9 @@ mod inner{k} { use std::Thing{k}; }
 const MAX{k}: u32 = 3;
 type Short{k} = Vec<u8>;
 trait Trait{k} { fn a(&self); }
-enum Either{k} { A, B }""",
+enum Either{k} { A, B }
+fn life{k}<'a>(x: &'a str, c: char) -> &'a str { if c == 'x' || c == '\\'' { born{k}() } }
+impl<'a> Hold{k}<'a> { fn get{k}(&'a self) -> Got{k} { keep{k}() } }""",
 }
 
 #: kind, name, visibility, first line, last line, signature, name and line of the block around.
@@ -66,6 +70,7 @@ BLOCKS = {
         ("Enum", "Color{k}", "Public", 7, 7, "enum Color{k} { Red, Green }", None, None),
         ("Function", "greet{k}", "Public", 8, 8, "function greet{k}(n: string): void { load{k}('x'); }", None, None),
         ("Function", "add{k}", "Public", 9, 9, "(a: number) => a + 1", None, None),
+        ("Function", "text{k}", "Public", 10, 10, "(b: Item{k}) => `${ask{k}(`{${deep{k}(b)}}`)} and { not${`it`}s`", None, None),
     ],
     "JavaScript": [
         ("Function", "one{k}", "Public", 1, 1, "function(a) { return two{k}(a); }", None, None),
@@ -85,6 +90,9 @@ BLOCKS = {
         ("TypeAlias", "Short{k}", "Private", 8, 8, "type Short{k} = Vec<u8>;", None, None),
         ("Trait", "Trait{k}", "Private", 9, 9, "trait Trait{k} { fn a(&self); }", None, None),
         ("Enum", "Either{k}", "Private", 10, 10, "enum Either{k} { A, B }", None, None),
+        ("Function", "life{k}", "Private", 11, 11, "fn life{k}<'a>(x: &'a str, c: char) -> &'a str { if c == 'x' || c == '\\'' { born{k}() } }", None, None),
+        ("Impl", "impl Hold{k}<'a>", "Private", 12, 12, "impl<'a> Hold{k}<'a> { fn get{k}(&'a self) -> Got{k} { keep{k}() } }", None, None),
+        ("Function", "get{k}", "Private", 12, 12, "fn get{k}(&'a self) -> Got{k} { keep{k}() }", "impl Hold{k}<'a>", 12),
     ],
 }
 
@@ -112,6 +120,9 @@ REFERENCES = {
         ("TypeReference", "Alias{k}", None, [("Alias{k}", 6)]),
         ("TypeReference", "Other{k}", None, [("Alias{k}", 6)]),
         ("FunctionCall", "load{k}", None, [("greet{k}", 8)]),
+        ("TypeReference", "Item{k}", None, [("text{k}", 10)]),
+        ("FunctionCall", "ask{k}", None, [("text{k}", 10)]),
+        ("FunctionCall", "deep{k}", None, [("text{k}", 10)]),
     ],
     "JavaScript": [
         ("FunctionCall", "two{k}", None, [("one{k}", 1)]),
@@ -133,6 +144,10 @@ REFERENCES = {
         ("TypeReference", "Vec", None, [("Short{k}", 8)]),
         ("TypeReference", "Trait{k}", None, [("Trait{k}", 9)]),
         ("TypeReference", "Either{k}", None, [("Either{k}", 10)]),
+        ("FunctionCall", "born{k}", None, [("life{k}", 11)]),
+        ("TypeReference", "Hold{k}", None, [("impl Hold{k}<'a>", 12)]),
+        ("TypeReference", "Got{k}", None, [("impl Hold{k}<'a>", 12), ("get{k}", 12)]),
+        ("FunctionCall", "keep{k}", None, [("impl Hold{k}<'a>", 12), ("get{k}", 12)]),
     ],
 }
 

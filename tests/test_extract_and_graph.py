@@ -1,6 +1,7 @@
 """Extractors on snippets, the tree source, and the whole way from a folder to a graph."""
 
 import json
+import time
 
 import pytest
 from loomgraph.extract import EXTRACTORS
@@ -71,12 +72,34 @@ def test_one_block(language, source, block):
         ("Rust", "use std::collections::HashMap;", []),
         ("Rust", "mod m { use std::collections::HashMap; }", [("Import", "HashMap")]),
         ("Rust", 'fn f() { let s = "x()"; /* y() */ // z()\n }', []),
+        ("Rust", "fn a<'a>(x: &'a str) -> &'a str { b() }", [("FunctionCall", "b")]),
+        ("Rust", "fn a() { b('x', b'\\x41', '\\u{1F600}', '\\'', '日'); 'outer: loop { c() } }", [("FunctionCall", "b"), ("FunctionCall", "c")]),
+        ("Rust", "impl<'a, 'b> T for P<'a, 'b> { }", [("TraitImpl", "T"), ("TypeReference", "T"), ("TypeReference", "P")]),
+        ("JavaScript", "function f() { return `${g()} ${`${h(`}`)}`} ${{a: i()}}`; j() }", [("FunctionCall", c) for c in "ghij"]),
+        ("JavaScript", "function f() { g(`never ends ${h()", [("FunctionCall", "g"), ("FunctionCall", "h")]),
+        ("Python", 'def f(a: T) -> R:\n    import os\n    g()\n    print "x", h()\n    k()', [("TypeReference", "T"), ("TypeReference", "R"), ("Import", "os"), ("FunctionCall", "g"), ("FunctionCall", "h"), ("FunctionCall", "k")]),
+        ("Python", "class A(B):\n    def f(self, x: T):\n        if x = 1:\n            g()\nexec 'y'", [("Inheritance", "B"), ("TypeReference", "T"), ("TypeReference", "T"), ("FunctionCall", "g"), ("FunctionCall", "g")]),
     ],
 )
 def test_references(language, source, refs):
     assert found(language, source)[1] == refs
 
 
+def test_python_that_stays_unreadable_is_scanned_by_line():
+    bad = "\n".join(f"print 'x{i}'" for i in range(60))
+    blocks, refs, parents = found("Python", f"class A(B, c.D):\n    import os\n    from .x import y\n    def f(self, a: T[U]) -> R:\n        g(); o.h()\n{bad}\ndef z(): z1()\n")
+    assert blocks == [("Class", "A", "Public"), ("Function", "f", "Public"), ("Function", "z", "Public")]
+    assert parents == [None, "A", None]
+    assert set(refs) >= {("Inheritance", "B"), ("Import", "os"), ("Import", ".x"), ("TypeReference", "R"), ("TypeReference", "U"), ("FunctionCall", "g"), ("MethodCall", "h"), ("FunctionCall", "z1")}
+
+
+def test_a_long_flat_file_is_scanned_in_linear_time():
+    source = "print 'x'\n" * 60 + "def f(): g()\n" * 20_000
+    began = time.perf_counter()
+    assert sum(s.kind == "Function" for s in EXTRACTORS["Python"](source)) == 20_000
+    assert time.perf_counter() - began < 60
+
+
 def test_trait_implementation_and_nesting():
     assert ("TraitImpl", "Display") in found("Rust", "impl Display for Foo { fn fmt(&self) {} }")[1]
     assert found("Python", "class Foo:\n    def bar(self): pass")[2] == [None, "Foo"]
