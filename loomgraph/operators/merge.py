@@ -7,8 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators import numbering
 from loomgraph.schema import MAX_WEIGHT, check_edge_kinds
-
+from loomgraph.shared import durable
 
 #: Entries of a list in one row, about.
 LISTED = 100_000
@@ -53,6 +54,32 @@ def adjacency(edges: DataFrame, *, reverse: bool = False, parts: int | None = No
     return dealt.groupBy("node", "part").agg(F.sort_array(F.collect_list(F.struct("neighbour", "seq"))).alias("neighbours"))
 
 
+def positioned(edges: DataFrame) -> DataFrame:
+    """``edges`` with ``idx``, their positions in the order of ``seq``; ties by source, target and kind."""
+    return numbering.with_row_numbers(edges, "seq", "source", "target", "kind", name="idx")
+
+
+def adjacency_rows(indexed: DataFrame, *, reverse: bool = False, listed: int = LISTED) -> DataFrame:
+    """(node, chunk, first_slot, degree, entries): neighbours with edge positions as compressed sparse rows.
+
+    All (node, position) pairs are numbered in order; a node's entries fill the slots from ``first_slot`` of its chunk
+    0 on, in the order of positions, with ``listed`` of them in a row. So a hub is cut evenly into bounded
+    rows, and no task holds all its neighbours.
+    """
+    node, neighbour = ("target", "source") if reverse else ("source", "target")
+    slots = numbering.with_row_numbers(indexed.select(F.col(node).alias("node"), F.col(neighbour).alias("neighbour"), "idx"), "node", "idx", name="slot")
+    spans = durable(slots.groupBy("node").agg(F.min("slot").alias("first"), F.count(F.lit(1)).alias("degree")))
+    chunk = F.floor((F.col("slot") - F.col("first")) / listed).cast("long")
+    rows = slots.join(spans, "node").withColumn("chunk", chunk)
+    packed = F.transform(F.sort_array(F.collect_list(F.struct("idx", "neighbour"))), lambda e: F.struct(e["neighbour"].alias("neighbour"), e["idx"].alias("idx")))
+    return rows.groupBy("node", "chunk", "degree").agg(F.min("slot").alias("first_slot"), packed.alias("entries"))
+
+
+def last_positions(indexed: DataFrame) -> DataFrame:
+    """(source, target, kind, idx): the key of an edge and its last position; weights of duplicates are not merged."""
+    return indexed.groupBy("source", "target", "kind").agg(F.max("idx").alias("idx"))
+
+
 def incident_edges(routes: DataFrame, idx: str = "idx") -> DataFrame:
     """(node, idx): every edge under both its ends; a loop is listed twice."""
     return routes.select(F.explode(F.array("source", "target")).alias("node"), F.col(idx).alias("idx"))

@@ -15,6 +15,7 @@ from loomgraph.plans import sources_workload as sw
 from loomgraph.plans import workload as w
 from loomgraph.schema import BLOCK_ICONS, BLOCK_KINDS, EDGE_KINDS, NO_BLOCK_COLOUR, NO_ICON, NODE_COLOURS, NODE_ICONS, NODE_SIZES, SUFFIXES
 from loomgraph.shared import durable, shared_folder
+from loomgraph.sources import graph_json
 from loomgraph.streaming import progress, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +116,61 @@ def incident_index(spark, d):
     return pairs.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
 
 
+_INDEXED = "indexed AS (SELECT *, row_number() OVER (ORDER BY seq, source, target, kind) - 1 AS idx FROM raw)"
+
+
+def _index_sql(node: str, neighbour: str) -> str:
+    return f"""WITH {w.TREE}, {w.RAW}, {_INDEXED},
+    slots AS (SELECT {node} AS node, {neighbour} AS neighbour, idx, row_number() OVER (ORDER BY {node}, idx) - 1 AS slot, count(*) OVER (PARTITION BY {node}) AS degree,
+      (row_number() OVER (PARTITION BY {node} ORDER BY idx) - 1) // 20 AS chunk FROM indexed)
+    SELECT node, chunk, degree, min(slot) AS first_slot, string_agg(neighbour || ':' || idx, ',' ORDER BY idx) AS entries FROM slots GROUP BY node, chunk, degree"""
+
+
+def _index_rows(spark, d, reverse: bool) -> DataFrame:
+    rows = merge.adjacency_rows(merge.positioned(w.raw_edges(spark, d)), reverse=reverse, listed=20)
+    text = F.transform("entries", lambda e: F.concat_ws(":", e["neighbour"], e["idx"].cast("string")))
+    return rows.withColumn("entries", F.array_join(text, ","))
+
+
+@query(_index_sql("source", "target"))
+def edge_index_forward(spark, d):
+    return _index_rows(spark, d, False)
+
+
+@query(_index_sql("target", "source"))
+def edge_index_reverse(spark, d):
+    """Suppliers have many edges, which come in rows of 20."""
+    return _index_rows(spark, d, True)
+
+
+@query(f"WITH {w.TREE}, {w.RAW}, {_INDEXED} SELECT source, target, kind, max(idx) AS idx FROM indexed GROUP BY source, target, kind")
+def edge_key_index(spark, d):
+    return merge.last_positions(merge.positioned(w.raw_edges(spark, d)))
+
+
+def _json_parts(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A graph written as JSON in parts and read again."""
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    graph_json.write_parts(w.nodes(spark, d), merge.merge_edges(w.raw_edges(spark, d)), path)
+    return graph_json.read_parts(spark, path)
+
+
+@query(
+    f"""WITH {w.NODES} SELECT id, type, name, language, kind, container_id AS parent_id,
+      CASE WHEN container_id IS NOT NULL THEN row_number() OVER (PARTITION BY container_id ORDER BY child_ordinal, id) - 1 END AS child_ordinal FROM nodes"""
+)
+def json_parts_nodes(spark, d):
+    return _json_parts(spark, d)[0].select("id", "type", "name", "language", "kind", "parent_id", "child_ordinal")
+
+
+@query(
+    f"""WITH {w.TREE}, {w.RAW}, merged AS (SELECT source, target, kind, least(sum(weight), 4294967295) AS weight, min(seq) AS first FROM raw GROUP BY source, target, kind)
+    SELECT source, target, kind, CAST(weight AS BIGINT) AS weight, row_number() OVER (ORDER BY first, source, target, kind) - 1 AS seq FROM merged"""
+)
+def json_parts_edges(spark, d):
+    return _json_parts(spark, d)[1]
+
+
 # Nodes.
 
 

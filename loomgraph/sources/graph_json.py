@@ -1,15 +1,18 @@
 """Graphs as JSON: one object with ``nodes`` by id, ``edges`` and ``root``.
 
-JSON is for exchange with viewers; at scale use Parquet. A whole graph is one JSON value, so both
-directions are bound by what one row holds.
+``write_parts`` writes a graph of any size as text files which, one after the other in the order of their names, are
+one such document; every node and edge is a line of its own, so ``read_parts`` reads it line by line. ``to_json`` and
+``from_json`` hold a whole graph in one row, for viewers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import merge
+from loomgraph.operators import merge, numbering
+from loomgraph.schema import NODES
+from loomgraph.shared import durable
 
 SPAN = "struct<start_line:int,start_col:int,end_line:int,end_col:int>"
 NODE = f"struct<type:string,id:string,name:string,path:string,language:string,kind:string,span:{SPAN},signature:string,visibility:string,parent:string,children:array<string>>"
@@ -17,11 +20,14 @@ EDGE = "struct<source:string,target:string,kind:string,weight:bigint>"
 GRAPH = f"nodes map<string,{NODE}>, edges array<{EDGE}>, root string"
 
 
-def to_json(nodes: DataFrame, edges: DataFrame, root: str = "") -> DataFrame:
-    """One row with the column ``json``."""
+def _listed(nodes: DataFrame) -> DataFrame:
+    """(id, node) as they stand in the document; columns that ``nodes`` lacks are null."""
+    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in NODES if f.name not in nodes.columns and f.name != "parent_id"]
+    parent = [] if "parent_id" in nodes.columns else [F.col("container_id").alias("parent_id")]
+    nodes = nodes.select("*", *parent, *absent)
     whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "children"))), lambda p: p["children"]))
     kids = merge.children(nodes).groupBy(F.col("container_id").alias("id")).agg(whole.alias("children"))
-    listed = nodes.join(kids, "id", "left").select(
+    return nodes.join(kids, "id", "left").select(
         "id",
         F.struct(
             *["type", "id", "name", "path", "language", "kind", "span", "signature", "visibility"],
@@ -29,6 +35,54 @@ def to_json(nodes: DataFrame, edges: DataFrame, root: str = "") -> DataFrame:
             F.coalesce("children", F.array().cast("array<string>")).alias("children"),
         ).alias("node"),
     )
+
+
+def _quoted(text: Column) -> Column:
+    """A string as JSON has it."""
+    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+
+
+def write_parts(nodes: DataFrame, edges: DataFrame, path: str, root: str = "") -> None:
+    """The graph as text files in a new folder: nodes in the order of their ids, edges in that of ``seq``.
+
+    Lines are sorted by ranges over all files; nothing is gathered but the children of one node.
+    """
+    spark = nodes.sparkSession
+    entry = F.concat(_quoted(F.col("id")), F.lit(":"), F.to_json("node"))
+    node_lines = _listed(nodes).select(F.lit(1).alias("section"), F.lit(0).cast("long").alias("seq"), F.col("id").alias("key"), entry.alias("text"))
+    key = F.concat_ws("\u0001", "source", "target", "kind")
+    edge_lines = edges.select(F.lit(3).alias("section"), "seq", key.alias("key"), F.to_json(F.struct("source", "target", "kind", "weight")).alias("text"))
+    lines = durable(node_lines.unionByName(edge_lines))
+    # All entries of a section but its first begin with a comma.
+    first = lines.groupBy("section").agg(F.min(F.struct("seq", "key")).alias("first"))
+    marked = lines.join(F.broadcast(first), "section")
+    comma = F.when(F.struct("seq", "key") == F.col("first"), F.lit("")).otherwise(F.lit(","))
+    frame = spark.createDataFrame([(0, '{"nodes":{'), (2, '},"edges":['), (4, None)], "section int, text string")
+    tail = F.concat(F.lit('],"root":'), _quoted(F.lit(root)), F.lit("}"))
+    frame = frame.select("section", F.lit(0).cast("long").alias("seq"), F.lit("").alias("key"), F.coalesce("text", tail).alias("text"))
+    every = marked.select("section", "seq", "key", F.concat(comma, "text").alias("text")).unionByName(frame)
+    every.repartitionByRange("section", "seq", "key").sortWithinPartitions("section", "seq", "key").select("text").write.text(path)
+
+
+def read_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a graph that :func:`write_parts` wrote; a malformed line stops the job."""
+    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")]
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("value"), *place)
+    strict = {"mode": "FAILFAST"}
+    # Filters may be reordered, a case is not: only lines of a kind are parsed as such.
+    is_node, is_edge = F.expr("value like '\"%'"), F.expr("value like '{%' and value != '{\"nodes\":{'")
+    entry = lines.filter(is_node).select(F.when(is_node, F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), f"map<string,{NODE}>", strict)).alias("m"))
+    nodes = entry.select(F.explode(F.map_values("m")).alias("n")).select("n.*")
+    kids = nodes.select(F.col("id").alias("container_id"), F.posexplode("children").alias("child_ordinal", "child"))
+    kids = kids.withColumnRenamed("child", "id").withColumn("child_ordinal", F.col("child_ordinal").cast("long"))
+    found = lines.filter(is_edge).select(F.when(is_edge, F.from_json("value", EDGE, strict)).alias("e"), "file", "block", "row")
+    edges = numbering.with_row_numbers(found, "file", "block", "row", name="seq").select("e.source", "e.target", "e.kind", "e.weight", "seq")
+    return nodes.drop("children").withColumnRenamed("parent", "parent_id").join(kids, "id", "left"), edges
+
+
+def to_json(nodes: DataFrame, edges: DataFrame, root: str = "") -> DataFrame:
+    """One row with the column ``json``."""
+    listed = _listed(nodes)
     all_nodes = listed.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", "node")))).alias("nodes"))
     ordered = F.sort_array(F.collect_list(F.struct("seq", "source", "target", "kind", "weight")))
     all_edges = edges.agg(F.transform(ordered, lambda e: F.struct(e["source"].alias("source"), e["target"].alias("target"), e["kind"].alias("kind"), e["weight"].alias("weight"))).alias("edges"))

@@ -1,5 +1,6 @@
 """Graph operators on small fixtures."""
 
+import json
 import math
 import random
 
@@ -7,6 +8,7 @@ import pytest
 from loomgraph.functions import names, paths, style
 from loomgraph.operators import geometry, hierarchy, layout, merge, resolve, view
 from loomgraph.schema import BLOCK_KINDS, EDGE_KINDS, edge_kinds
+from loomgraph.sources import graph_json
 from loomgraph.streaming import progress
 from pyspark.sql import functions as F
 
@@ -335,3 +337,37 @@ def test_scratch_tables_are_deleted(spark, tmp_path):
         path = kept.inputFiles()[0].removeprefix("file:").removeprefix("//")
         assert kept.count() == 3 and os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_edge_index_in_bounded_rows(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice("abc"), rng.choice("xyz"), rng.choice(["Import", "FunctionCall"]), k) for k in range(50)] + [("hub", f"t{k}", "Import", 50 + k) for k in range(25)]
+    edges = spark.createDataFrame(rows, "source string, target string, kind string, seq long").repartition(3)
+    indexed = merge.positioned(edges)
+    found = {(r.node, r.chunk): r for r in merge.adjacency_rows(indexed, listed=10).collect()}
+    for node in ("a", "b", "c", "hub"):
+        own = [(t, k) for s, t, _, k in rows if s == node]
+        listed = [tuple(e) for c in range(-(-len(own) // 10)) for e in found[node, c].entries]
+        assert listed == own and all(len(r.entries) <= 10 and r.degree == len(own) for (n, _), r in found.items() if n == node)
+    slots = sorted((r.first_slot, len(r.entries)) for r in found.values())
+    assert all(a + n == b for (a, n), (b, _) in zip(slots, slots[1:]))
+    last = {(s, t, kind): k for s, t, kind, k in rows}
+    assert {(r.source, r.target, r.kind): r.idx for r in merge.last_positions(indexed).collect()} == last
+
+
+def test_json_in_parts_is_one_document(spark, tmp_path):
+    ids = ["", "a", "a/b", "we ird\"]:{/x", "é,"]
+    nodes = spark.createDataFrame([(i, "Directory", i.rpartition("/")[2], None, k) for k, i in enumerate(ids)], "id string, type string, name string, file_path string, child_ordinal long")
+    nodes = hierarchy.with_ancestors(nodes.unionByName(spark.createDataFrame([('we ird"]:{', "Directory", "w", None, 9)], nodes.schema)))
+    edges = spark.createDataFrame([("a", ids[3], "Import", 7, 1), ("a", "a/b", "Import", 2, 1), (ids[4], "a", "FunctionCall", 1, 0)], "source string, target string, kind string, weight long, seq long")
+    graph_json.write_parts(nodes.repartition(4), edges.repartition(3), str(tmp_path / "graph"), root="r\"")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "graph").glob("part-*")))
+    document = json.loads(text)
+    assert set(document["nodes"]) == {*ids, 'we ird"]:{'} and document["root"] == "r\""
+    assert [(e["source"], e["target"]) for e in document["edges"]] == [(ids[4], "a"), ("a", "a/b"), ("a", ids[3])]
+    assert document["nodes"]["a"]["children"] == ["a/b"]
+    back, links = graph_json.read_parts(spark, str(tmp_path / "graph"))
+    assert {(r.id, r.parent_id, r.name) for r in back.collect()} == {(r.id, r.container_id, r.name) for r in nodes.collect()}
+    assert sorted(map(tuple, links.collect()), key=lambda r: r[4]) == [(e["source"], e["target"], e["kind"], e["weight"], k) for k, e in enumerate(document["edges"])]
+    graph_json.write_parts(nodes.limit(0), edges.limit(0), str(tmp_path / "none"))
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*")))) == {"nodes": {}, "edges": [], "root": ""}
