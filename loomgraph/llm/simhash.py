@@ -23,11 +23,12 @@ miss a pair of exactly the similarity with a chance of ``MISSED``, nearer pairs
 trie node is reached by chance by ``documents / 2 ** prefix`` texts, so ``prefix`` grows with the
 logarithm of the distinct texts, and with it the number of walks: recall is the same at every size.
 
-Not every pair of a trie node needs a look, as only components matter. Nodes of up to ``SMALL`` texts give
-all their pairs. In larger ones, as a large group of near copies makes them, the text nearest to the majority of
-the node's bits stands for it, as the original of edited copies does: first each text is compared with the
-nearest text that stands for a node of its own, one pair a text; then those not yet linked with the others that stand
-for their nodes; last, all pairs of a node that are still in different components and within the budget of the whole fingerprint.
+Not every pair of a trie node needs a look, as only components matter. In a node of more than ``SMALL`` texts the one
+nearest to the majority of the node's bits stands for it, as the original of edited copies does: first each text is
+compared with the nearest text that stands for a node of its own, one pair a text; then those not yet linked with one of
+each other component among those that stand for their nodes. Then each text outside the main component of a node meets
+one text of each other component there, by which most components unite; last, all pairs of a node that are still
+in different components and within the budget of the whole fingerprint, each once, so that no link is lost.
 
 Defined results: A-Z are lower-cased; a text of fewer words than a shingle is one shingle. A null or
 wordless text has fingerprint 0, linked like any other, and for :func:`keep_one` such texts are
@@ -67,8 +68,8 @@ WIDE = 1024
 SPREAD_OF_WALK, SPREAD = 2.5, 4.0
 #: Levels without an error, at least, and the chance to miss a pair of just the least similarity.
 PREFIX, MISSED = 20, 0.02
-#: Texts of a trie node that are all compared with one another.
-SMALL = 16
+#: Texts of a trie node that are all compared with one another at once.
+SMALL = 2
 #: Rows of the table of signs that shingles draw from.
 SIGN_ROWS = 1 << 14
 WIDE_BLOCK = 1 << 12
@@ -425,24 +426,38 @@ def similar_links(nodes: DataFrame, texts: DataFrame, *, shingle: int, least: fl
     links = durable(_verified(tested, nodes, texts, shingle, least))
     roots = connected_components(links)
 
-    others = large.filter("y is not null").select("x", "y").distinct()
+    others = large.filter("y is not null").select("x", "y", "apart").distinct()
     others = _labelled(_labelled(others, roots, "x", "label_x"), roots, "y", "label_y").filter("label_x <> label_y")
-    second = written(_ordered(others).join(tested, ["a", "b"], "left_anti"))
-    links = durable(links.unionByName(_verified(second, nodes, texts, shingle, least)))
-    roots = connected_components(links)
+    others = others.groupBy("x", "label_y").agg(F.min_by("y", F.struct("apart", "y")).alias("y"))
+    tested, roots, links = _tried(_ordered(others), tested, nodes, texts, links, shingle, least)
 
-    members = written(_labelled(large.select("key", "x"), roots, "x", "label"))
-    by_label = members.groupBy("key", "label").count()
-    major = by_label.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
-    mixed = members.join(written(major.filter("labels > 1").drop("labels")), "key")
     prints = nodes.select(F.col("node").alias("x"), "print")
-    mixed = written(mixed.join(prints, "x"))
-    left = mixed.filter("label <> major").select(F.col("key").alias("key_x"), "x", F.col("label").alias("label_x"), F.col("print").alias("print_a"))
-    right = mixed.select("key", F.col("x").alias("y"), F.col("label").alias("label_y"), F.col("print").alias("print_b"))
     within = _errors() <= error_budget(WIDE, least)
-    pairs = left.join(right, (F.col("key_x") == F.col("key")) & (F.col("label_x") != F.col("label_y")) & within)
-    third = written(_ordered(pairs).join(tested.unionByName(second), ["a", "b"], "left_anti"))
-    return connected_components(links.unionByName(durable(_verified(third, nodes, texts, shingle, least))))
+    members = written(large.select("key", "x", "apart"))
+    for everyone in (False, True):
+        # Texts of a node outside its main component, with one text of each other component there, then with all.
+        mixed = _labelled(members, roots, "x", "label")
+        by_label = mixed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("count"), F.min_by("x", F.struct("apart", "x")).alias("best"))
+        major = by_label.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
+        major = written(major.filter("labels > 1").drop("labels"))
+        mixed = written(mixed.join(major, "key").join(prints, "x"))
+        left = mixed.filter("label <> major").select(F.col("key").alias("key_x"), "x", F.col("label").alias("label_x"), F.col("print").alias("print_a"))
+        right = mixed if everyone else mixed.join(written(by_label.select("key", F.col("best").alias("x"))), ["key", "x"], "left_semi")
+        main = (F.col("label") == F.col("major")).alias("main")
+        right = right.select("key", F.col("x").alias("y"), F.col("label").alias("label_y"), F.col("print").alias("print_b"), main)
+        once = F.col("main") | (F.col("x") < F.col("y")) if everyone else F.lit(True)
+        pairs = left.join(right, (F.col("key_x") == F.col("key")) & (F.col("label_x") != F.col("label_y")) & once & within)
+        tested, roots, links = _tried(_ordered(pairs), tested, nodes, texts, links, shingle, least)
+    return roots
+
+
+def _tried(
+    pairs: DataFrame, tested: DataFrame, nodes: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, least: float
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All pairs tested so far, the components of the links found so far, and these links."""
+    fresh = written(pairs.join(tested, ["a", "b"], "left_anti"))
+    links = durable(links.unionByName(_verified(fresh, nodes, texts, shingle, least)))
+    return tested.unionByName(fresh), connected_components(links), links
 
 
 def keep_one(
