@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.extract import job
 from loomgraph.functions import names, paths, style
-from loomgraph.operators import geometry, hierarchy, intervals, layout, merge, numbering, resolve, spatial, view
+from loomgraph.operators import containment, geometry, hierarchy, intervals, layout, merge, numbering, resolve, spatial, view
 from loomgraph.plans import sources_workload as sw
 from loomgraph.plans import workload as w
 from loomgraph.schema import BLOCK_ICONS, BLOCK_KINDS, EDGE_KINDS, NO_BLOCK_COLOUR, NO_ICON, NODE_COLOURS, NODE_ICONS, NODE_SIZES, SUFFIXES
@@ -1156,6 +1156,25 @@ def reroute_edges(spark, d):
     return geometry.reroute(edges).select("source", "target", F.size("points").alias("n_points"), F.to_json("points").alias("points"))
 
 
+# Blocks around sites.
+
+
+@query(
+    """WITH items AS (SELECT CAST(l_suppkey AS VARCHAR) AS file_path, l_orderkey || ':' || l_linenumber AS id, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS start,
+      CAST(l_quantity AS BIGINT) AS length, row_number() OVER () AS item FROM lineitem)
+    SELECT s.file_path, s.id AS site, b.id AS block,
+      CAST(row_number() OVER (PARTITION BY s.item ORDER BY b.start DESC, b.length, b.id DESC) - 1 AS INTEGER) AS level
+    FROM items s JOIN items b ON s.file_path = b.file_path AND b.start <= s.start AND s.start < b.start + b.length"""
+)
+def blocks_around(spark, d):
+    """Suppliers as files, days as positions: a line item is a block as long as its quantity and a site where it begins. Their ids repeat."""
+    day, length = F.unix_date(F.col("l_shipdate").cast("date")).cast("long"), F.col("l_quantity").cast("long")
+    items = w.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("file_path"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), day.alias("start"), (day + length).alias("end")
+    )
+    return containment.around(items.withColumn("end", F.col("start")), items)
+
+
 # Extraction.
 
 
