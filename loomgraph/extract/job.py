@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.extract.sites import EXTRACTORS, Lines, enclosed, signature
 from loomgraph.functions import paths
+from loomgraph.streaming.live import LiveRun
 
 SPAN = ("start_line", "start_col", "end_line", "end_col")
 SITES = """path string, what string, ordinal long, kind string, name string, module_path string, visibility string, signature string,
@@ -41,12 +43,16 @@ def _rows(path: str, language: str, content: bytes | None, extractors: dict) ->
     yield path, "done", len(blocks), *blank, None, len(references)
 
 
-def extract_sites(files: DataFrame) -> DataFrame:
-    """(path, language, content) to sites; files of languages without an extractor give nothing."""
+def extract_sites(files: DataFrame, report: LiveRun | None = None) -> DataFrame:
+    """(path, language, content) to sites; files of languages without an extractor give nothing.
+
+    Tasks tell ``report`` of each file once it is read.
+    """
     extractors = dict(EXTRACTORS)
 
     def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple] = []
+        log = report.log() if report is not None else None
 
         def handed_over() -> pd.DataFrame:
             out = pd.DataFrame(found, columns=COLUMNS).astype({c: "Int32" for c in SPAN} | {"n_refs": "Int64"})
@@ -55,9 +61,15 @@ def extract_sites(files: DataFrame) -> DataFrame:
 
         for batch in batches:
             for path, language, content in zip(batch["path"], batch["language"], batch["content"], strict=True):
+                began = time.time_ns() // 1000
                 found += _rows(path, language, content, extractors)
+                if log is not None:
+                    last = dict(zip(COLUMNS, found[-1], strict=True))
+                    log.done(path, len(content or b""), began, last["ordinal"], last["message"])
                 if len(found) >= ROWS:
                     yield handed_over()
+        if log is not None:
+            log.close()
         yield handed_over()
 
     known = files.filter(F.col("language").isin(*extractors))

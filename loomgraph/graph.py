@@ -20,6 +20,7 @@ from loomgraph.operators import hierarchy, merge, numbering, resolve, view
 from loomgraph.schema import EDGES, NODES
 from loomgraph.sources import graph_json, repo_tree
 from loomgraph.streaming import progress
+from loomgraph.streaming.live import LiveRun
 
 
 @dataclass(frozen=True)
@@ -53,13 +54,13 @@ class CodeGraph:
         """Files of a known language: id, path, language."""
         return self.nodes.filter("type = 'File' and language is not null").select("id", "path", "language")
 
-    def parse(self) -> CodeGraph:
-        """The graph with the blocks of its files and all edges that resolve."""
+    def parse(self, report: LiveRun | None = None) -> CodeGraph:
+        """The graph with the blocks of its files and all edges that resolve; ``report`` is told of files as they are read."""
         if self.location is None:
             raise ValueError("only a scanned graph can be parsed")
         spark = self.nodes.sparkSession
         content = spark.read.format("repo_tree").option("content", "true").load(self.location)
-        sites = job.extract_sites(content.filter("type = 'File' and language is not null")).persist()
+        sites = job.extract_sites(content.filter("type = 'File' and language is not null"), report).persist()
         blocks = hierarchy.with_ancestors(job.blocks_of(sites)).withColumn("seq", F.col("child_ordinal"))
         blocks = merge.last_definitions(blocks)
         base = self.nodes.filter("type <> 'CodeBlock'")
@@ -67,6 +68,8 @@ class CodeGraph:
         # References in the order of their files' paths, then of the text.
         last = job.results_of(sites).agg(F.coalesce(F.max("n_refs"), F.lit(0)).alias("last"))
         places = numbering.with_row_numbers(job.results_of(sites).select("path", F.split("path", "/").alias("parts")), "parts", name="place")
+        if report is not None:  # numbering the files has read them all
+            report.complete(*progress.run_totals(job.results_of(sites)).first())
         placed = job.references_of(sites).join(places.select(F.col("path").alias("file_path"), "place"), "file_path")
         refs = placed.crossJoin(F.broadcast(last)).withColumn("seq", F.col("place") * (F.col("last") + 1) + F.col("ordinal"))
         symbols = resolve.symbol_table(nodes)

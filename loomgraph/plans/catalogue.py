@@ -16,7 +16,7 @@ from loomgraph.plans import workload as w
 from loomgraph.schema import BLOCK_ICONS, BLOCK_KINDS, EDGE_KINDS, NO_BLOCK_COLOUR, NO_ICON, NODE_COLOURS, NODE_ICONS, NODE_SIZES, SUFFIXES
 from loomgraph.shared import durable, shared_folder
 from loomgraph.sources import graph_json
-from loomgraph.streaming import progress, runs
+from loomgraph.streaming import live, progress, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1208,3 +1208,18 @@ def extract_results(spark, d):
     results = job.results_of(job.extract_sites(sw.source_files(spark, d)))
     numbered = numbering.with_row_numbers(results, "path", name="seq")
     return numbered.select("path", "blocks", F.col("message").isNotNull().alias("failed"), "seq")
+
+
+@query(
+    f"""WITH results AS ({sw.results_sql()})
+    SELECT 'Start' AS type, NULL::VARCHAR AS path, NULL::BIGINT AS blocks, NULL::BIGINT AS total_files, NULL::BIGINT AS total_blocks
+    UNION ALL SELECT 'FileStart', path, NULL, NULL, NULL FROM results
+    UNION ALL SELECT CASE WHEN failed THEN 'Error' ELSE 'FileDone' END, path, blocks, NULL, NULL FROM results
+    UNION ALL SELECT 'Complete', NULL, NULL, count(*), CAST(coalesce(sum(blocks), 0) AS BIGINT) FROM results"""
+)
+def live_events(spark, d):
+    """What extraction tasks told of the files while they read them."""
+    run = live.begin(f"{shared_folder(spark)}/live-{uuid.uuid4().hex}", "run")
+    results = durable(job.results_of(job.extract_sites(sw.source_files(spark, d), run)))
+    run.complete(*progress.run_totals(results).first())
+    return live.told(spark, run.folder).select("type", "path", "blocks", "total_files", "total_blocks")
