@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loomgraph.extract import job
 from loomgraph.operators import hierarchy, merge, numbering, resolve, view
 from loomgraph.schema import EDGES, NODES
-from loomgraph.sources import graph_json, repo_tree
+from loomgraph.sources import frontier, graph_json, repo_tree
 from loomgraph.streaming import progress
 from loomgraph.streaming.live import LiveRun
 
@@ -30,14 +30,22 @@ class CodeGraph:
     root: str = ""
     location: str | None = None
     sites: DataFrame | None = field(default=None, repr=False)
+    listed: DataFrame | None = field(default=None, repr=False)
 
     @staticmethod
-    def scan(spark: SparkSession, path: str) -> CodeGraph:
-        """Directories and files below ``path``; no edges yet."""
+    def scan(spark: SparkSession, path: str, *, by_executors: bool = False) -> CodeGraph:
+        """Directories and files below ``path``; no edges yet.
+
+        The driver lists the names, or with ``by_executors`` the executors do once, for trees beyond the driver's memory.
+        """
         repo_tree.check_root(path)
-        repo_tree.register(spark)
         location = os.path.realpath(path)
-        tree = spark.read.format("repo_tree").load(location).select("path", "name", "type", "language")
+        listed = frontier.list_tree(spark, location) if by_executors else None
+        if listed is None:
+            repo_tree.register(spark)
+            tree = spark.read.format("repo_tree").load(location).select("path", "name", "type", "language")
+        else:
+            tree = listed.select("path", "name", "type", "language")
         name = os.path.basename(location) or "root"
         root = spark.createDataFrame([("", name, "Directory", None)], "path string, name string, type string, language string")
         found = root.unionByName(tree).withColumn("id", F.col("path"))
@@ -48,7 +56,7 @@ class CodeGraph:
         filled = hierarchy.with_ancestors(found.withColumn("file_path", F.when(F.col("type") == "File", F.col("path"))))
         order = Window.partitionBy("container_id").orderBy("name")
         ordered = filled.withColumn("child_ordinal", (F.row_number().over(order) - 1).cast("long")).withColumn("parent_id", F.col("container_id"))
-        return CodeGraph(_conform(ordered, NODES), spark.createDataFrame([], EDGES), "", location)
+        return CodeGraph(_conform(ordered, NODES), spark.createDataFrame([], EDGES), "", location, listed=listed)
 
     def files(self) -> DataFrame:
         """Files of a known language: id, path, language."""
@@ -59,8 +67,12 @@ class CodeGraph:
         if self.location is None:
             raise ValueError("only a scanned graph can be parsed")
         spark = self.nodes.sparkSession
-        content = spark.read.format("repo_tree").option("content", "true").load(self.location)
-        sites = job.extract_sites(content.filter("type = 'File' and language is not null"), report).persist()
+        known = "type = 'File' and language is not null"
+        if self.listed is None:
+            content = spark.read.format("repo_tree").option("content", "true").load(self.location).filter(known)
+        else:
+            content = frontier.with_content(self.listed.filter(known), self.location)
+        sites = job.extract_sites(content, report).persist()
         blocks = hierarchy.with_ancestors(job.blocks_of(sites)).withColumn("seq", F.col("child_ordinal"))
         blocks = merge.last_definitions(blocks)
         base = self.nodes.filter("type <> 'CodeBlock'")
