@@ -1,25 +1,24 @@
 """Edge routes between boxes: anchors, clean polylines, orthogonal rerouting.
 
-Anchors are column expressions. Whole routes are small per-edge computations and run in Arrow
-batches, a row per edge, so they scale with the edges.
+Anchors are column expressions. Routes are computed in Arrow batches by array operations over all edges
+of a batch (:mod:`loomgraph.operators.routing`), a row per edge, so they scale with the edges.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.operators import routing
+from loomgraph.operators.routing import SAME_POINT
 from loomgraph.schema import POINT
 
 # Fixed values.
 BOUNDARY = 4.0
-SAME_POINT = 0.5
-LEAST_LEAD, MOST_LEAD = 18.0, 72.0
-GUTTER = 28.0
-
-OUTWARD = {"left": (-1, 0), "right": (1, 0), "top": (0, -1), "bottom": (0, 1)}
 
 
 def _clamp(value: Column, high: Column) -> Column:
@@ -95,123 +94,32 @@ def shifted(points: Column, dx: Column, dy: Column) -> Column:
     return F.transform(points, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y")))
 
 
-# Per-edge work inside Arrow batches. Points are (x, y), boxes (x, y, width, height).
-
-
-def simplified(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Polyline without repeated points and without points in the middle of a straight run."""
-    out: list[tuple[float, float]] = []
-    for p in points:
-        if out and all(abs(a - b) <= SAME_POINT for a, b in zip(p, out[-1], strict=True)):
-            continue
-        while len(out) > 1 and any(abs(out[-2][k] - out[-1][k]) <= SAME_POINT and abs(out[-1][k] - p[k]) <= SAME_POINT for k in (0, 1)):
-            out.pop()
-        out.append(p)
-    return out
-
-
-def _on_side(box, side: str, offset: float) -> tuple[float, float]:
-    x, y, w, h = box
-    if side in ("left", "right"):
-        return (x + (w if side == "right" else 0.0), y + min(max(offset, 0.0), h))
-    return (x + min(max(offset, 0.0), w), y + (h if side == "bottom" else 0.0))
-
+def _numbers(structs: pa.Array, *names: str) -> np.ndarray:
+    """(n, names) fields of structs, NaN for nulls."""
+    fields = [pc.cast(pc.struct_field(structs, name), pa.float64()) for name in names]
+    return np.stack([f.to_numpy(zero_copy_only=False) for f in fields], axis=1)
 
-def _respects(points, source_side: str, target_side: str) -> bool:
-    """Whether a polyline leaves and arrives through the given sides along the axes."""
-    if len(points) < 2:
-        return False
 
-    def out_of(a, b, side):
-        (dx, dy), (ox, oy) = (b[0] - a[0], b[1] - a[1]), OUTWARD[side]
-        along, aside = (dx * ox, dy) if ox else (dy * oy, dx)
-        return along > 0 and abs(aside) <= SAME_POINT
+def _lines(points: pa.Array) -> routing.Lines:
+    """Polylines of a column; nulls have no points."""
+    sizes = pc.fill_null(pc.list_value_length(points), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return routing.Lines(_numbers(points.flatten(), "x", "y"), sizes)
 
-    return out_of(points[0], points[1], source_side) and out_of(points[-1], points[-2], target_side)
 
-
-def _lead(points) -> float:
-    if len(points) < 2:
-        return GUTTER
-    (ax, ay), (bx, by) = points[0], points[1]
-    return min(max(abs(bx - ax) + abs(by - ay), LEAST_LEAD), MOST_LEAD)
-
-
-def orthogonal(source, target, source_anchor, target_anchor, hint=()) -> list[tuple[float, float]]:
-    """A route of horizontal and vertical runs that leaves and arrives through the anchored sides.
-
-    Both ends step out of their box; of the ways to join the two steps the shortest is taken that
-    crosses neither box, counting corners as a little length. Tracks that are tried: through either
-    step, half way, at the median of the hint's corners, and around both boxes.
-    """
-    start, end = _on_side(source, *source_anchor), _on_side(target, *target_anchor)
-    lead_a, lead_b = _lead(hint), _lead(hint[::-1])
-    (ax, ay), (bx, by) = OUTWARD[source_anchor[0]], OUTWARD[target_anchor[0]]
-    a, b = (start[0] + ax * lead_a, start[1] + ay * lead_a), (end[0] + bx * lead_b, end[1] + by * lead_b)
-    boxes = (source, target)
-    tracks = []
-    for k, size in ((0, 2), (1, 3)):
-        low = min(x[k] for x in boxes) - GUTTER
-        high = max(x[k] + x[size] for x in boxes) + GUTTER
-        inner = sorted(p[k] for p in hint[1:-1])
-        middle = [(inner[(len(inner) - 1) // 2] + inner[len(inner) // 2]) / 2] if inner else []
-        tracks.append({a[k], b[k], (a[k] + b[k]) / 2, min(low, a[k], b[k]), max(high, a[k], b[k]), *middle})
-    def cost(way) -> tuple:
-        points = [start, a, *way, b, end]
-        runs = list(zip(points, points[1:], strict=False))
-        length = sum(abs(p[0] - q[0]) + abs(p[1] - q[1]) for p, q in runs)
-        crossed = sum(_crosses(p, q, box) for p, q in runs[1:-1] for box in boxes)
-        clean = simplified(points)
-        return (not _respects(clean, source_anchor[0], target_anchor[0]), crossed, length + 4 * len(clean), clean)
-
-    ways = [[(b[0], a[1])], [(a[0], b[1])]]
-    ways += [[(x, a[1]), (x, b[1])] for x in tracks[0]] + [[(a[0], y), (b[0], y)] for y in tracks[1]]
-    best = min(map(cost, ways))
-    if best[0] or best[1]:  # no simple way is free: one more turn
-        ways = [[(x, a[1]), (x, y), (b[0], y)] for x in tracks[0] for y in tracks[1]]
-        ways += [[(a[0], y), (x, y), (x, b[1])] for x in tracks[0] for y in tracks[1]]
-        best = min(best, min(map(cost, ways)))
-    return best[-1]
-
-
-def _crosses(p, q, box) -> bool:
-    x, y, w, h = box
-    return min(p[0], q[0]) < x + w and max(p[0], q[0]) > x and min(p[1], q[1]) < y + h and max(p[1], q[1]) > y
-
-
-def anchored(points, source, target, source_anchor, target_anchor) -> list[tuple[float, float]]:
-    """``points`` with its ends on the anchors; rerouted if it would leave or arrive through other sides."""
-    if len(points) >= 2:
-        start, end = _on_side(source, *source_anchor), _on_side(target, *target_anchor)
-        inner = [list(p) for p in points[1:-1]]
-        if inner:  # first and last corner follow the ends
-            inner[0][1 if OUTWARD[source_anchor[0]][0] else 0] = start[1 if OUTWARD[source_anchor[0]][0] else 0]
-            inner[-1][1 if OUTWARD[target_anchor[0]][0] else 0] = end[1 if OUTWARD[target_anchor[0]][0] else 0]
-        moved = simplified([start, *map(tuple, inner), end])
-        straight = all(abs(p[0] - q[0]) <= SAME_POINT or abs(p[1] - q[1]) <= SAME_POINT for p, q in zip(moved, moved[1:], strict=False))
-        if straight and _respects(moved, source_anchor[0], target_anchor[0]):
-            return moved
-    return orthogonal(source, target, source_anchor, target_anchor, points)
-
-
-def resolved(points, old_source, old_target, source, target, source_anchor, target_anchor, same: float = 1.0):
-    """The route after its boxes moved: kept, moved along if both moved alike, else rerouted."""
-    shift = [(n[0] - o[0], n[1] - o[1]) for o, n in ((old_source, source), (old_target, target))]
-    still = [abs(dx) <= same and abs(dy) <= same for dx, dy in shift]
-    if all(still):
-        return anchored(points, source, target, source_anchor, target_anchor)
-    (ax, ay), (bx, by) = shift
-    if abs(ax - bx) <= same and abs(ay - by) <= same:
-        return [(x + ax, y + ay) for x, y in points]
-    return orthogonal(source, target, source_anchor, target_anchor, points)
+def _column(lines: routing.Lines, known: np.ndarray) -> pa.Array:
+    """Polylines as a column, null where not ``known``."""
+    xy = np.ascontiguousarray(lines.points.T)
+    offsets = pa.array(np.append(0, np.cumsum(lines.sizes)).astype(np.int32))
+    values = pa.StructArray.from_arrays([pa.array(xy[0]), pa.array(xy[1])], names=["x", "y"])
+    return pa.ListArray.from_arrays(offsets, values, mask=pa.array(~known))
 
 
 def simplify(points: Column) -> Column:
-    """Polylines without repeated points and without points in the middle of a straight run."""
+    """Polylines without repeated points and without points in the middle of a straight run; null for null."""
 
-    @F.pandas_udf(T.ArrayType(POINT))
-    def of_batches(lines: pd.Series) -> pd.Series:
-        return pd.Series([[{"x": x, "y": y} for x, y in simplified([(p["x"], p["y"]) for p in line])] for line in lines], dtype=object)
+    @F.arrow_udf(T.ArrayType(POINT))
+    def of_batches(lines: pa.Array) -> pa.Array:
+        return _column(routing.simplified(_lines(lines)), lines.is_valid().to_numpy(zero_copy_only=False))
 
     return of_batches(points)
 
@@ -228,23 +136,25 @@ def reroute(edges: DataFrame) -> DataFrame:
     """``edges`` with ``points`` resolved against moved boxes.
 
     Columns used: points, source_box, target_box, old_source_box, old_target_box, source_anchor,
-    target_anchor. Routes whose boxes moved alike move along without Python.
+    target_anchor. Routes whose boxes moved alike move along without Python. Others are null where one of these
+    columns, or a number in a box or an anchor, is null or the side is unknown; a route without points is routed without a hint.
     """
 
-    @F.pandas_udf(T.ArrayType(POINT))
-    def route(points: pd.Series, sb: pd.DataFrame, tb: pd.DataFrame, osb: pd.DataFrame, otb: pd.DataFrame, sa: pd.DataFrame, ta: pd.DataFrame) -> pd.Series:
-        boxes = [list(b[["x", "y", "width", "height"]].itertuples(index=False, name=None)) for b in (osb, otb, sb, tb)]
-        anchors = [list(a[["side", "offset"]].itertuples(index=False, name=None)) for a in (sa, ta)]
-        routes = (
-            None if line is None else resolved([(p["x"], p["y"]) for p in line], *row)
-            for line, *row in zip(points, *boxes, *anchors, strict=True)
-        )
-        return pd.Series([None if r is None else [{"x": x, "y": y} for x, y in r] for r in routes], dtype=object)
+    @F.arrow_udf(T.ArrayType(POINT))
+    def route(points: pa.Array, sb: pa.Array, tb: pa.Array, osb: pa.Array, otb: pa.Array, sa: pa.Array, ta: pa.Array) -> pa.Array:
+        source, target, old_source, old_target = (_numbers(b, "x", "y", "width", "height") for b in (sb, tb, osb, otb))
+        offsets = [_numbers(a, "offset")[:, 0] for a in (sa, ta)]
+        found = [pc.index_in(pc.struct_field(a, "side"), value_set=pa.array(routing.SIDES)) for a in (sa, ta)]
+        sides = [pc.fill_null(f, -1).to_numpy(zero_copy_only=False).astype(np.int64) for f in found]
+        numbers = np.column_stack([source, target, old_source, old_target, *offsets])
+        known = points.is_valid().to_numpy(zero_copy_only=False) & ~np.isnan(numbers).any(axis=1) & (np.minimum(*sides) >= 0)
+        ends = routing.Ends(source, target, *sides, *offsets)
+        routes = routing.resolved(_lines(points), old_source, old_target, ends, np.flatnonzero(known))
+        return _column(routes, known)
 
     alike = moved_alike()
     names = ("source_box", "target_box", "old_source_box", "old_target_box", "source_anchor", "target_anchor")
     turned = route(F.when(~alike, F.col("points")), *[F.col(n) for n in names])
     move = lambda c: F.col("source_box")[c] - F.col("old_source_box")[c]
-    return edges.withColumn("turned", turned).withColumn(
-        "points", F.when(alike, shifted(F.col("points"), move("x"), move("y"))).otherwise(F.col("turned"))
-    ).drop("turned")
+    moved = F.when(alike, shifted(F.col("points"), move("x"), move("y"))).otherwise(turned)
+    return edges.withColumn("points", moved)

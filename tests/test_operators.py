@@ -6,12 +6,15 @@ import random
 
 import pytest
 from loomgraph.functions import names, paths, style
-from loomgraph.operators import geometry, hierarchy, layout, merge, resolve, view
+from loomgraph.operators import geometry, hierarchy, layout, merge, resolve, routing, view
 from loomgraph.schema import BLOCK_KINDS, EDGE_KINDS, edge_kinds
 from loomgraph.sources import graph_json
 from loomgraph.streaming import progress
 from pyspark.sql import functions as F
 
+import routes_by_row as by_row
+from routes_by_row import batch
+
 EDGE = "source string, target string, kind string, weight long, seq long"
 
 
@@ -175,21 +178,22 @@ def steps(points):
 @pytest.mark.parametrize("hint", [(), ((0.0, 20.0), (60.0, 20.0), (30.0, 20.0), (200.0, 20.0))])
 def test_routes_respect_their_sides(target, side, hint):
     source = (0.0, 0.0, 40.0, 40.0)
-    route = geometry.anchored(list(hint), source, target, (side, 20.0), (side, 20.0))
-    assert geometry._respects(route, side, side)
+    (route,) = batch([(list(hint), source, target, source, target, (side, 20.0), (side, 20.0))])
+    assert by_row._respects(route, side, side)
     assert all(dx == 0 or dy == 0 for dx, dy in steps(route))
-    assert route[0] == geometry._on_side(source, side, 20.0) and route[-1] == geometry._on_side(target, side, 20.0)
+    assert route[0] == by_row._on_side(source, side, 20.0) and route[-1] == by_row._on_side(target, side, 20.0)
 
 
 def test_moved_routes():
     a, b = (0.0, 0.0, 40.0, 40.0), (100.0, 0.0, 40.0, 40.0)
     line = [(40.0, 20.0), (100.0, 20.0)]
     ends = (("right", 20.0), ("left", 20.0))
-    assert geometry.resolved(line, a, b, a, b, *ends) == line
+    resolved = lambda *row: batch([row])[0]
+    assert resolved(line, a, b, a, b, *ends) == line
     moved = [(x + 5, y + 9, w, h) for x, y, w, h in (a, b)]
-    assert geometry.resolved(line, a, b, *moved, *ends) == [(45.0, 29.0), (105.0, 29.0)]
-    assert geometry._respects(geometry.resolved(line, a, b, a, (100.0, 90.0, 40.0, 40.0), *ends), "right", "left")
-    assert geometry.simplified([(0, 0), (0.2, 0.3), (5, 0), (9, 0), (9, 4)]) == [(0, 0), (9, 0), (9, 4)]
+    assert resolved(line, a, b, *moved, *ends) == [(45.0, 29.0), (105.0, 29.0)]
+    assert by_row._respects(resolved(line, a, b, a, (100.0, 90.0, 40.0, 40.0), *ends), "right", "left")
+    assert routing.simplified(routing.Lines.of([[(0, 0), (0.2, 0.3), (5, 0), (9, 0), (9, 4)]])).tolist() == [[(0, 0), (9, 0), (9, 4)]]
 
 
 def test_polyline_columns(spark):
