@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,18 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``.
 
-    Where that is unset: a folder in the warehouse, which all machines see, or with a local master a
-    temporary one.
+    Where that is unset: a folder in the warehouse, or with a local master a temporary one. A warehouse on a
+    disk of each machine, as it is by default, is refused, as the machines would not see each other's files.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         chosen = spark.conf.get("spark.checkpoint.dir", None)
-        if not chosen and context.master.startswith("local"):
-            chosen = tempfile.mkdtemp(prefix="loomgraph-checkpoint-")
-        context.setCheckpointDir(chosen or f"{spark.conf.get('spark.sql.warehouse.dir')}/loomgraph-checkpoint")
+        context.setCheckpointDir(chosen or _unnamed_folder(spark, context.master.startswith("local")))
     return context.getCheckpointDir()
 
 
+def _unnamed_folder(spark: SparkSession, local: bool) -> str:
+    if local:
+        return tempfile.mkdtemp(prefix="loomgraph-checkpoint-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/loomgraph-checkpoint"
+    if _store(spark, folder)[0].getUri().getScheme() == "file":
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share; {folder} is on each machine's own disk")
+    return folder
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back from there.
 
@@ -37,30 +45,35 @@ def durable(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a compressed Parquet table in the shared folder, for tables that are large or read more than once."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    if _open.get() is not None:
+        _open.get().append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: For each open ``scratch``, the tables written in it.
-_open: list[list[str]] = []
+#: The tables written in the innermost open ``scratch`` of this thread.
+_open: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+def _store(spark: SparkSession, path: str) -> tuple:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder, wherever Spark sees it."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    store, folder = _store(spark, path)
+    store.delete(folder, True)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What :func:`written` writes inside is deleted at the end: for steps whose result is itself written."""
     made: list[str] = []
-    _open.append(made)
+    outer = _open.set(made)
     try:
         yield
     finally:
-        _open.pop()
+        _open.reset(outer)
         for path in made:
             delete(spark, path)
