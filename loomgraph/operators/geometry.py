@@ -71,12 +71,16 @@ def straight_route(source: Column, target: Column) -> Column:
     )
 
 
-def straight_routes(pairs: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Routes for (source, target) pairs; pairs without both boxes are left out."""
+def straight_routes(pairs: DataFrame, boxes: DataFrame, *, with_boxes: bool = False) -> DataFrame:
+    """Routes for (source, target) pairs; pairs without both boxes are left out.
+
+    ``with_boxes`` keeps the boxes of both ends as ``source_box`` and ``target_box``, so that no one has to look them up again.
+    """
     box = F.struct("x", "y", "width", "height")
-    source = boxes.select(F.col("node_id").alias("source"), box.alias("sb"))
-    target = boxes.select(F.col("node_id").alias("target"), box.alias("tb"))
-    return pairs.join(source, "source").join(target, "target").withColumn("points", straight_route(F.col("sb"), F.col("tb"))).drop("sb", "tb")
+    source = boxes.select(F.col("node_id").alias("source"), box.alias("source_box"))
+    target = boxes.select(F.col("node_id").alias("target"), box.alias("target_box"))
+    routes = pairs.join(source, "source").join(target, "target").withColumn("points", straight_route(F.col("source_box"), F.col("target_box")))
+    return routes if with_boxes else routes.drop("source_box", "target_box")
 
 
 def without_repeats(points: Column) -> Column:

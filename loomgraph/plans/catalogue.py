@@ -1023,10 +1023,11 @@ def log_tail(spark, d):
 # Geometry.
 
 
-def _routes(spark, d) -> DataFrame:
-    boxes = _grid(spark, d)
-    pairs = w.raw_edges(spark, d).select(F.substring_index("source", "::", 1).alias("source"), "target").distinct()
-    return geometry.straight_routes(pairs, boxes)
+def _routes(spark, d, with_boxes: bool = False) -> DataFrame:
+    ends = w.raw_edges(spark, d).select(F.substring_index("source", "::", 1).alias("source"), "target")
+    # Hardly a pair repeats: dealt by source once, pairs are made distinct and meet their first box without another shuffle.
+    pairs = ends.repartition("source").distinct()
+    return geometry.straight_routes(pairs, _grid(spark, d), with_boxes=with_boxes)
 
 
 _MIDDLES = """mid AS (SELECT p.source, p.target, a.x AS ax, a.y AS ay, a.width AS aw, a.height AS ah, b.x AS b_x, b.y AS b_y, b.width AS b_w, b.height AS b_h,
@@ -1046,11 +1047,7 @@ def straight_edges(spark, d):
 
 
 def _boxed(spark, d) -> DataFrame:
-    box = F.struct("x", "y", "width", "height")
-    boxes = _grid(spark, d)
-    ends = _routes(spark, d)
-    ends = ends.join(boxes.select(F.col("node_id").alias("source"), box.alias("source_box")), "source")
-    return ends.join(boxes.select(F.col("node_id").alias("target"), box.alias("target_box")), "target")
+    return _routes(spark, d, with_boxes=True)
 
 
 @query(
