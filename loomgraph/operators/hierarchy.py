@@ -83,16 +83,18 @@ def roll_up(edges: DataFrame, nodes: DataFrame, shown_ids: DataFrame) -> DataFra
     """Edges lifted to the nearest shown containers of their ends: source, target, kind, count, weight.
 
     Pairs already shown as they are, with an end below nothing shown, or inside one container are
-    left out. ``kind`` is that of the first edge by ``seq``, then by name. Edges are merged per
-    original pair and kind before the lift, which keeps the joins small.
+    left out. ``kind`` is that of the first edge by ``seq``, then by name. Edges are merged once their
+    source is lifted, which leaves few of them to meet the containers of their targets.
     """
     place = nearest_shown(nodes, shown_ids)
+    own = (F.col("s") == F.col("source")).alias("own")
     lifted = (
-        edges.groupBy("source", "target", "kind")
-        .agg(F.count(F.lit(1)).alias("count"), F.sum("weight").alias("weight"), F.min("seq").alias("seq"))
+        edges.select("source", "target", "kind", "weight", "seq")
         .join(place.select(F.col("id").alias("source"), F.col("shown_id").alias("s")), "source")
+        .groupBy("s", "target", "kind", own)
+        .agg(F.count(F.lit(1)).alias("count"), F.sum("weight").alias("weight"), F.min("seq").alias("seq"))
         .join(place.select(F.col("id").alias("target"), F.col("shown_id").alias("t")), "target")
-        .filter("s <> t and not (s = source and t = target)")
+        .filter("s <> t and not (own and t = target)")
     )
     return lifted.groupBy(F.col("s").alias("source"), F.col("t").alias("target")).agg(
         F.min_by("kind", F.struct("seq", "kind")).alias("kind"), F.sum("count").alias("count"), F.sum("weight").alias("weight")

@@ -7,12 +7,12 @@ one such document; every node and edge is a line of its own, so ``read_parts`` r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators import merge, numbering
+from loomgraph.operators import merge
 from loomgraph.schema import NODES
-from loomgraph.shared import durable
+from loomgraph.shared import written
 
 SPAN = "struct<start_line:int,start_col:int,end_line:int,end_col:int>"
 NODE = f"struct<type:string,id:string,name:string,path:string,language:string,kind:string,span:{SPAN},signature:string,visibility:string,parent:string,children:array<string>>"
@@ -42,26 +42,34 @@ def _quoted(text: Column) -> Column:
     return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
 
 
-def write_parts(nodes: DataFrame, edges: DataFrame, path: str, root: str = "") -> None:
+def write_parts(nodes: DataFrame, edges: DataFrame, path: str, root: str = "", compression: str | None = None) -> None:
     """The graph as text files in a new folder: nodes in the order of their ids, edges in that of ``seq``.
 
-    Lines are sorted by ranges over all files; nothing is gathered but the children of one node.
+    Lines are sorted by ranges over all files; nothing is gathered but the children of one node. Edges
+    become text once they are in order. ``compression`` is one of Spark's for text files.
     """
     spark = nodes.sparkSession
+    place = ["section", "seq", "source", "target", "kind"]
+    text, no_text = F.col("text"), F.lit(None).cast("string")
     entry = F.concat(_quoted(F.col("id")), F.lit(":"), F.to_json("node"))
-    node_lines = _listed(nodes).select(F.lit(1).alias("section"), F.lit(0).cast("long").alias("seq"), F.col("id").alias("key"), entry.alias("text"))
-    key = F.concat_ws("\u0001", "source", "target", "kind")
-    edge_lines = edges.select(F.lit(3).alias("section"), "seq", key.alias("key"), F.to_json(F.struct("source", "target", "kind", "weight")).alias("text"))
-    lines = durable(node_lines.unionByName(edge_lines))
+    node_lines = _listed(nodes).select(
+        F.lit(1).alias("section"), F.lit(0).cast("long").alias("seq"), F.col("id").alias("source"), F.lit("").alias("target"), F.lit("").alias("kind"),
+        F.lit(None).cast("long").alias("weight"), entry.alias("text"),
+    )
+    edge_lines = edges.select(F.lit(3).alias("section"), "seq", "source", "target", "kind", F.col("weight").cast("long").alias("weight"), no_text.alias("text"))
+    lines = written(node_lines.unionByName(edge_lines))
     # All entries of a section but its first begin with a comma.
-    first = lines.groupBy("section").agg(F.min(F.struct("seq", "key")).alias("first"))
+    first = lines.groupBy("section").agg(F.min(F.struct(*place[1:])).alias("first"))
     marked = lines.join(F.broadcast(first), "section")
-    comma = F.when(F.struct("seq", "key") == F.col("first"), F.lit("")).otherwise(F.lit(","))
+    comma = F.when(F.struct(*place[1:]) == F.col("first"), F.lit("")).otherwise(F.lit(","))
     frame = spark.createDataFrame([(0, '{"nodes":{'), (2, '},"edges":['), (4, None)], "section int, text string")
     tail = F.concat(F.lit('],"root":'), _quoted(F.lit(root)), F.lit("}"))
-    frame = frame.select("section", F.lit(0).cast("long").alias("seq"), F.lit("").alias("key"), F.coalesce("text", tail).alias("text"))
-    every = marked.select("section", "seq", "key", F.concat(comma, "text").alias("text")).unionByName(frame)
-    every.repartitionByRange("section", "seq", "key").sortWithinPartitions("section", "seq", "key").select("text").write.text(path)
+    empty = [F.lit("").alias(c) for c in ("source", "target", "kind")]
+    frame = frame.select("section", F.lit(0).cast("long").alias("seq"), *empty, F.lit(None).cast("long").alias("weight"), F.coalesce("text", tail).alias("text"), F.lit("").alias("comma"))
+    every = marked.select(*place, "weight", "text", comma.alias("comma")).unionByName(frame)
+    line = F.when(F.col("section") == 3, F.to_json(F.struct("source", "target", "kind", "weight"))).otherwise(text)
+    ordered = every.repartitionByRange(*place).sortWithinPartitions(*place).select(F.concat("comma", line).alias("text"))
+    ordered.write.option("compression", compression or "none").text(path)
 
 
 def read_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +84,12 @@ def read_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     kids = nodes.select(F.col("id").alias("container_id"), F.posexplode("children").alias("child_ordinal", "child"))
     kids = kids.withColumnRenamed("child", "id").withColumn("child_ordinal", F.col("child_ordinal").cast("long"))
     found = lines.filter(is_edge).select(F.when(is_edge, F.from_json("value", EDGE, strict)).alias("e"), "file", "block", "row")
-    edges = numbering.with_row_numbers(found, "file", "block", "row", name="seq").select("e.source", "e.target", "e.kind", "e.weight", "seq")
+    # Edges stand one after the other: one is numbered by its place in its block of a file, blocks by what is before them.
+    blocks = found.groupBy("file", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    seq = (F.col("offset") + F.col("row") - F.col("first")).alias("seq")
+    edges = found.join(F.broadcast(offsets), ["file", "block"]).select("e.source", "e.target", "e.kind", "e.weight", seq)
     return nodes.drop("children").withColumnRenamed("parent", "parent_id").join(kids, "id", "left"), edges
 
 

@@ -1,15 +1,42 @@
 """Large rows are shuffled no more often than needed."""
 
+from loomgraph.operators import hierarchy
 from loomgraph.plans import catalogue
+from loomgraph.sources import graph_json
 
 SF = "/root/testdata/sf0.001"
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def joins(df) -> int:
-    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    return plan(df).count("Join ")
 
 
 def test_boxes_of_both_ends_come_with_the_routes(spark):
     straight = joins(catalogue.QUERIES["straight_edges"](spark, SF))
     for name in ("anchor_point", "anchor_side", "anchor_from_inside", "routes_moved_along", "reroute_edges"):
         assert joins(catalogue.QUERIES[name](spark, SF)) == straight
+
+
+def test_edges_read_from_json_are_numbered_without_sorting_them(spark, tmp_path):
+    edges = spark.range(500).selectExpr("cast(id % 7 as string) as source", "cast(id as string) as target", "'Import' as kind", "id as weight", "500 - id as seq")
+    nodes = spark.range(7).selectExpr("cast(id as string) as id", "'File' as type", "'' as container_id", "id as child_ordinal")
+    graph_json.write_parts(nodes, edges, str(tmp_path / "graph"), compression="gzip")
+    assert all(p.name.endswith(".gz") for p in (tmp_path / "graph").glob("part-*"))
+    back = graph_json.read_parts(spark, str(tmp_path / "graph"))[1]
+    assert "RepartitionByExpression" not in plan(back) and "Sort [file" not in plan(back).split("Window")[0]
+    assert [(r.source, r.target, r.weight, r.seq) for r in back.orderBy("seq").collect()] == [(str(i % 7), str(i), i, 499 - i) for i in range(499, -1, -1)]
+
+
+def test_edges_are_merged_once_their_source_is_lifted(spark):
+    nodes = spark.createDataFrame([(i, i.split("/")[:-1]) for i in ("a", "b", "a/x", "a/y", "b/z")], "id string, ancestors array<string>")
+    rows = [("a/x", "b/z", "Import", 1, 5), ("a/y", "b/z", "Call", 2, 3), ("a/x", "a/y", "Call", 1, 1), ("a", "b", "Call", 1, 2), ("a", "b/z", "Use", 4, 4)]
+    edges = spark.createDataFrame(rows, "source string, target string, kind string, weight long, seq long")
+    rolled = hierarchy.roll_up(edges, nodes, nodes.filter("id in ('a', 'b')").select("id"))
+    assert [tuple(r) for r in rolled.collect()] == [("a", "b", "Call", 3, 7)]
+    steps = [line.strip(" :+-").split()[0] for line in plan(rolled).splitlines()]
+    outer = steps[: steps.index("Join", steps.index("Join") + 1)]
+    assert outer.count("Aggregate") == 2  # one above either join
