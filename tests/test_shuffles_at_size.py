@@ -1,6 +1,8 @@
 """Large rows are shuffled no more often than needed."""
 
-from loomgraph.operators import hierarchy
+from pyspark.sql import functions as F
+
+from loomgraph.operators import hierarchy, merge
 from loomgraph.plans import catalogue
 from loomgraph.sources import graph_json
 
@@ -40,3 +42,12 @@ def test_edges_are_merged_once_their_source_is_lifted(spark):
     steps = [line.strip(" :+-").split()[0] for line in plan(rolled).splitlines()]
     outer = steps[: steps.index("Join", steps.index("Join") + 1)]
     assert outer.count("Aggregate") == 2  # one above either join
+
+
+def test_edges_are_dealt_to_many_tasks_before_they_are_summed(spark):
+    edges = spark.range(3000).selectExpr("cast(id % 1500 as string) as source", "'t' as target", "'Call' as kind", "cast(4e9 as long) + id % 1500 as weight", "id as seq")
+    merged = merge.merge_edges(edges)
+    assert plan(merged).index("Aggregate") < plan(merged).index("RepartitionByExpression")
+    dealt = next(line for line in plan(merged).splitlines() if "RepartitionByExpression" in line)
+    assert int(dealt.rsplit(", ", 1)[1]) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert merged.agg(F.count("*"), F.min("weight"), F.max("weight"), F.max("seq")).first() == (1500, 4294967295, 4294967295, 1499)
