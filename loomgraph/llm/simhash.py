@@ -28,7 +28,10 @@ nearest to the majority of the node's bits stands for it, as the original of edi
 compared with the nearest text that stands for a node of its own, one pair a text; then those not yet linked with one of
 each other component among those that stand for their nodes. Then each text outside the main component of a node meets
 one text of each other component there, by which most components unite; last, all pairs of a node that are still
-in different components and within the budget of the whole fingerprint, each once, so that no link is lost.
+in different components and within the budget of the whole fingerprint, each once, so that no link is lost. Before these
+two steps, of the texts in nodes of more than ``CROWD``, pairs that share a shingle which at most ``RARE`` of them hold are
+verified if they may reach the similarity. Other pairs there have in common at most the other shingles of either: if these
+are too few the pair is no link, and a text for which they are too few beside any text of its node leaves the node.
 
 Defined results: A-Z are lower-cased; a text of fewer words than a shingle is one shingle. A null or
 wordless text has fingerprint 0, linked like any other, and for :func:`keep_one` such texts are
@@ -70,6 +73,10 @@ SPREAD_OF_WALK, SPREAD = 2.5, 4.0
 PREFIX, MISSED = 20, 0.02
 #: Texts of a trie node that are all compared with one another at once.
 SMALL = 2
+#: Texts that hold a shingle, at most, for it to count as rare.
+RARE = 8
+#: Texts of a trie node above which its texts' rare shingles are looked for.
+CROWD = 16
 #: Rows of the table of signs that shingles draw from.
 SIGN_ROWS = 1 << 14
 WIDE_BLOCK = 1 << 12
@@ -410,6 +417,33 @@ def _labelled(rows: DataFrame, roots: DataFrame, name: str, label: str) -> DataF
     return rows.join(found, name, "left").withColumn(label, F.coalesce(label, name))
 
 
+def _rare_shingles(chosen: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(x, hash): the shingles that at most ``RARE`` of the ``chosen`` texts hold."""
+    needed = chosen.join(nodes.select(F.col("node").alias("x"), "row"), "x")
+    held = written(texts.join(needed, "row").select("x", F.explode(_set_column(F.col("text"), shingle)).alias("hash")))
+    few = written(held.groupBy("hash").count().filter(F.col("count") <= RARE).select("hash"))
+    return written(held.join(few, "hash").select("x", "hash"))
+
+
+def _sharing(rare: DataFrame, prints: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs of different components that share rare shingles, and with all others of either would reach the similarity.
+
+    At most ``RARE`` texts share a shingle, so their number grows with the texts.
+    """
+    ends = rare.repartition("hash")
+    shared = ends.join(ends.withColumnRenamed("x", "y"), "hash").filter("x < y").groupBy("x", "y").count()
+    sizes = prints.select("x", F.col("n").alias("n_a"), F.col("usual").alias("usual_a"))
+    shared = shared.join(sizes, "x").join(sizes.toDF("y", "n_b", "usual_b"), "y")
+    close = shared.filter(_may_reach(F.col("count") + F.least("usual_a", "usual_b"), F.col("n_a"), F.col("n_b"), least))
+    apart = _labelled(_labelled(close.select("x", "y"), roots, "x", "label_x"), roots, "y", "label_y").filter("label_x <> label_y")
+    return _ordered(apart)
+
+
+def _may_reach(shared: Column, n_a: Column, n_b: Column, least: float) -> Column:
+    """Whether sets of these sizes that share so many shingles at most can have a Jaccard similarity of ``least``."""
+    return shared >= F.lit(least) * (n_a + n_b - shared)
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame, *, shingle: int, least: float, prefix: int) -> DataFrame:
     """(node, root) of the components that links join.
 
@@ -431,22 +465,37 @@ def similar_links(nodes: DataFrame, texts: DataFrame, *, shingle: int, least: fl
     others = others.groupBy("x", "label_y").agg(F.min_by("y", F.struct("apart", "y")).alias("y"))
     tested, roots, links = _tried(_ordered(others), tested, nodes, texts, links, shingle, least)
 
-    prints = nodes.select(F.col("node").alias("x"), "print")
-    within = _errors() <= error_budget(WIDE, least)
     members = written(large.select("key", "x", "apart"))
+    kinds = _labelled(members, roots, "x", "label").groupBy("key")
+    kinds = kinds.agg(F.min("label").alias("low"), F.max("label").alias("high"), (F.count(F.lit(1)) > CROWD).alias("crowded"))
+    members = written(members.join(kinds.filter("low <> high").select("key", "crowded"), "key"))
+    rare = _rare_shingles(members.filter("crowded").select("x").distinct(), nodes, texts, shingle)
+    counts = rare.groupBy("x").agg(F.count(F.lit(1)).cast("int").alias("rare"))
+    usual = F.col("n") - F.coalesce("rare", F.lit(0))
+    prints = written(nodes.select(F.col("node").alias("x"), "print", "n").join(counts, "x", "left").withColumn("usual", usual).drop("rare"))
+    tested, roots, links = _tried(_sharing(rare, prints, roots, least), tested, nodes, texts, links, shingle, least)
+    within = _errors() <= error_budget(WIDE, least)
+    reach = _may_reach(F.least("usual_a", "usual_b"), F.col("n_a"), F.col("n_b"), least)
     for everyone in (False, True):
         # Texts of a node outside its main component, with one text of each other component there, then with all.
         mixed = _labelled(members, roots, "x", "label")
         by_label = mixed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("count"), F.min_by("x", F.struct("apart", "x")).alias("best"))
         major = by_label.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
         major = written(major.filter("labels > 1").drop("labels"))
-        mixed = written(mixed.join(major, "key").join(prints, "x"))
-        left = mixed.filter("label <> major").select(F.col("key").alias("key_x"), "x", F.col("label").alias("label_x"), F.col("print").alias("print_a"))
-        right = mixed if everyone else mixed.join(written(by_label.select("key", F.col("best").alias("x"))), ["key", "x"], "left_semi")
+        usual = F.when(F.col("crowded"), F.col("usual")).otherwise(F.col("n")).alias("usual")
+        mixed = written(mixed.join(major, "key").join(prints, "x").select("key", "x", "label", "major", "print", "n", usual))
+        smallest = written(mixed.groupBy("key").agg(F.min("n").alias("smallest")))
+        hopeful = mixed.join(smallest, "key").filter(_may_reach(F.col("usual"), F.col("n"), F.greatest("usual", "smallest"), least))
+        left = hopeful.filter("label <> major").select(
+            F.col("key").alias("key_x"), "x", F.col("label").alias("label_x"), F.col("print").alias("print_a"), F.col("n").alias("n_a"), F.col("usual").alias("usual_a")
+        )
+        right = hopeful if everyone else hopeful.join(written(by_label.select("key", F.col("best").alias("x"))), ["key", "x"], "left_semi")
         main = (F.col("label") == F.col("major")).alias("main")
-        right = right.select("key", F.col("x").alias("y"), F.col("label").alias("label_y"), F.col("print").alias("print_b"), main)
+        right = right.select(
+            "key", F.col("x").alias("y"), F.col("label").alias("label_y"), F.col("print").alias("print_b"), F.col("n").alias("n_b"), F.col("usual").alias("usual_b"), main
+        )
         once = F.col("main") | (F.col("x") < F.col("y")) if everyone else F.lit(True)
-        pairs = left.join(right, (F.col("key_x") == F.col("key")) & (F.col("label_x") != F.col("label_y")) & once & within)
+        pairs = left.join(right, (F.col("key_x") == F.col("key")) & (F.col("label_x") != F.col("label_y")) & once & reach & within)
         tested, roots, links = _tried(_ordered(pairs), tested, nodes, texts, links, shingle, least)
     return roots
 
