@@ -43,3 +43,25 @@ def test_what_all_blocks_of_a_name_share_is_merged_before_the_edges_are_made(spa
     steps = [line.strip(" :+-") for line in plan(edges).splitlines()]
     first = next(i for i, s in enumerate(steps) if s.startswith("Join"))
     assert not any(s.startswith("Aggregate") for s in steps[:first])
+
+
+def test_classes_in_several_parts_and_turns_give_the_same_edges(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "LISTED", 3)
+    monkeypatch.setattr(resolve, "ASKED", 4)
+    rng = random.Random(5)
+    symbols = [(f"n{rng.randrange(3)}", f"b{i}") for i in range(30)] + [("f::n1", "b3"), ("n1", "b3")]
+    refs = [(f"b{rng.randrange(40)}", rng.choice(["FunctionCall", "TypeReference"]), rng.choice(["n0", "n1", "f::n1", "n2", "n3"]), i) for i in range(200)]
+    asked = spark.createDataFrame(refs, "from_node string, kind string, name string, seq long")
+    table = spark.createDataFrame(symbols, "symbol string, node_id string")
+    edges = [tuple(r) for r in resolve.resolve_symbols(asked, table).select("source", "target", "kind", "weight", "seq").collect()]
+    assert len(edges) == len(set(edges))
+    assert set(edges) == by_hand(refs, symbols)
+
+
+def test_symbols_that_nobody_asks_for_do_not_tell_classes_apart(spark, monkeypatch):
+    tables, write = [], resolve.written
+    monkeypatch.setattr(resolve, "written", lambda df: tables.append(write(df)) or tables[-1])
+    nodes = spark.range(40).selectExpr("concat('f', id, '::x@1') as id", "'CodeBlock' as type", "'x' as name", "concat('f', id) as file_path")
+    refs = nodes.selectExpr("id as from_node", "'FunctionCall' as kind", "name", "cast(1 as long) as seq")
+    assert resolve.resolve_symbols(refs, resolve.symbol_table(nodes)).count() == 40 * 39
+    assert tables[1].select("names").distinct().count() == 1
