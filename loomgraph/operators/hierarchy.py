@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.paths import prefixes
-from loomgraph.shared import durable
+from loomgraph.shared import broadcast_if_few, durable, written
+
+#: Shown ids that are broadcast at most; to more, the containers of all nodes are shuffled.
+FEW_SHOWN = 10_000
 
 
 def with_ancestors(nodes: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def shown(nodes: DataFrame, visible: DataFrame, expanded: DataFrame) -> DataFram
     """
     marks = visible.select("id", F.lit(True).alias("seen"), F.lit(False).alias("wide"))
     marks = marks.unionByName(expanded.select("id", F.lit(False).alias("seen"), F.lit(True).alias("wide")))
-    state = durable(marks.groupBy("id").agg(F.bool_or("seen").alias("seen"), F.bool_or("wide").alias("wide")).filter("seen"))
+    state = written(marks.groupBy("id").agg(F.bool_or("seen").alias("seen"), F.bool_or("wide").alias("wide")).filter("seen"))
     opened = state.filter("wide").select("id")
     chains = nodes.filter("id <> ''").join(opened, "id", "left_semi").select("id", F.filter(F.concat("ancestors", F.array("id")), lambda a: a != "").alias("chain"))
     steps = chains.select("id", F.size("chain").alias("n"), F.explode("chain").alias("step"))
@@ -75,7 +78,8 @@ def nearest_shown(nodes: DataFrame, shown_ids: DataFrame) -> DataFrame:
     """(id, shown_id): the node itself if shown, else its nearest shown container; others are left out."""
     chain = F.concat("ancestors", F.array("id"))
     pairs = nodes.select("id", F.posexplode(chain).alias("depth", "candidate"))
-    kept = pairs.join(shown_ids.select(F.col("id").alias("candidate")).distinct(), "candidate", "left_semi")
+    shown_as = broadcast_if_few(shown_ids.select(F.col("id").alias("candidate")).distinct(), FEW_SHOWN)
+    kept = pairs.join(shown_as, "candidate", "left_semi")
     return kept.groupBy("id").agg(F.max_by("candidate", "depth").alias("shown_id"))
 
 

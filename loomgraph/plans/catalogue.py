@@ -14,7 +14,7 @@ from loomgraph.operators import containment, geometry, hierarchy, intervals, lay
 from loomgraph.plans import sources_workload as sw
 from loomgraph.plans import workload as w
 from loomgraph.schema import BLOCK_ICONS, BLOCK_KINDS, EDGE_KINDS, NO_BLOCK_COLOUR, NO_ICON, NODE_COLOURS, NODE_ICONS, NODE_SIZES, SUFFIXES
-from loomgraph.shared import durable, shared_folder, written
+from loomgraph.shared import durable, shared_folder, shuffles_deleted, written
 from loomgraph.sources import graph_json
 from loomgraph.streaming import live, progress, runs
 
@@ -398,6 +398,12 @@ def edges_in_tree_split(spark, d):
     return view.split_by_tree(w.raw_edges(spark, d), shown).select("source", "target", "kind", "seq", "in_tree")
 
 
+def _tables(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Nodes and raw edges, written for queries that read them several times."""
+    with shuffles_deleted(spark):
+        return written(w.nodes(spark, d)), written(w.raw_edges(spark, d))
+
+
 _PAIRS = """pairs AS (SELECT source, target FROM rolled UNION SELECT source, target FROM raw UNION SELECT r_name, 'nowhere' FROM region)"""
 
 
@@ -409,11 +415,10 @@ _PAIRS = """pairs AS (SELECT source, target FROM rolled UNION SELECT source, tar
     SELECT *, {EDGE_COLOUR} AS colour FROM joined"""
 )
 def edge_colour_lookup(spark, d):
-    n, raw = written(w.nodes(spark, d)), written(w.raw_edges(spark, d))
+    n, raw = _tables(spark, d)
     rolled = hierarchy.roll_up(raw, n, w.directories(n))
-    pairs = rolled.select("source", "target").union(raw.select("source", "target"))
-    pairs = pairs.union(w.table(spark, d, "region").select("r_name", F.lit("nowhere"))).distinct()
-    return view.edge_colours(pairs, raw, rolled)
+    nowhere = w.table(spark, d, "region").select(F.col("r_name").alias("source"), F.lit("nowhere").alias("target"))
+    return view.edge_colours(raw, rolled, nowhere)
 
 
 @query(
@@ -485,7 +490,7 @@ def tooltip(spark, d):
     UNION ALL SELECT 'rolled_up', count(*) FROM rolled"""
 )
 def diagnostics(spark, d):
-    n, raw = written(w.nodes(spark, d)), written(w.raw_edges(spark, d))
+    n, raw = _tables(spark, d)
     shown = hierarchy.shown(n, w.visible(n), w.expanded(n)).select("id")
     rolled = hierarchy.roll_up(raw, n, w.directories(n))
     return view.diagnostics(n, raw, shown, w.expanded(n), rolled, raw.filter("seq % 3 = 0"))

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import paths
 from loomgraph.operators import hierarchy
+from loomgraph.shared import broadcast_if_few
+
+#: Suppliers that are broadcast at most; of more, edges are shuffled to them.
+FEW_SUPPLIERS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +79,7 @@ def raw_edges(spark: SparkSession, d: str) -> DataFrame:
     """One edge per line item from its order to its supplier; weight 1, ``quantity`` beside it."""
     kind = F.when(F.col("l_returnflag") == "A", "FunctionCall").when(F.col("l_returnflag") == "N", "MethodCall").otherwise("TypeReference")
     source = order_blocks(spark, d).select("o_orderkey", F.col("id").alias("source"))
-    target = supplier_files(spark, d).select("s_suppkey", F.col("id").alias("target"))
+    target = broadcast_if_few(supplier_files(spark, d).select("s_suppkey", F.col("id").alias("target")), FEW_SUPPLIERS)
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", kind.alias("kind"), F.col("l_quantity").cast("long").alias("quantity"))
     joined = lines.join(source, F.col("l_orderkey") == F.col("o_orderkey")).join(target, F.col("l_suppkey") == F.col("s_suppkey"))
     return joined.select(

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import hierarchy, merge
-from loomgraph.plans import catalogue
+from loomgraph.operators import hierarchy, merge, view
+from loomgraph.plans import catalogue, workload
+from loomgraph.shared import written
 from loomgraph.sources import graph_json
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +52,31 @@ def test_edges_are_dealt_to_many_tasks_before_they_are_summed(spark):
     dealt = next(line for line in plan(merged).splitlines() if "RepartitionByExpression" in line)
     assert int(dealt.rsplit(", ", 1)[1]) > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert merged.agg(F.count("*"), F.min("weight"), F.max("weight"), F.max("seq")).first() == (1500, 4294967295, 4294967295, 1499)
+
+
+def edges_of(spark, rows):
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "source string, target string, kind string, seq long")
+
+
+def test_colours_of_layout_edges_need_one_shuffle(spark):
+    edges = edges_of(spark, [("a", "b", "Call"), ("a", "b", "Import"), ("a", "c", None), ("x", "y", "Use"), (None, "b", "Call"), ("r", "s", "Call")])
+    rolled = spark.createDataFrame([("x", "y", "Import", 9), ("p", "q", "Call", 1), ("r", "s", None, 2)], "source string, target string, kind string, count long")
+    others = spark.createDataFrame([("a", "b"), ("n", "m"), ("n", "m")], "source string, target string")
+    found = view.edge_colours(edges, rolled, others)
+    assert {(r.source, r.target): r.kind for r in found.collect()} == {
+        ("a", "b"): "Call", ("a", "c"): None, ("x", "y"): "Import", (None, "b"): None, ("r", "s"): "Call", ("p", "q"): "Call", ("n", "m"): None,
+    }
+    assert found.count() == 7 and joins(found) == 0 and plan(found).count("RepartitionByExpression") == 1
+
+
+def test_few_shown_ids_and_few_suppliers_are_broadcast_and_many_give_the_same(spark, monkeypatch):
+    nodes = written(workload.nodes(spark, SF))
+    run = lambda: hierarchy.roll_up(workload.raw_edges(spark, SF), nodes, workload.directories(nodes))
+    few = run()
+    assert plan(workload.raw_edges(spark, SF)).count("strategy=broadcast") == 1
+    assert plan(few).count("strategy=broadcast") == 3
+    monkeypatch.setattr(hierarchy, "FEW_SHOWN", 0)
+    monkeypatch.setattr(workload, "FEW_SUPPLIERS", 0)
+    many = run()
+    assert "strategy=broadcast" not in plan(many)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
