@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import merge
 from loomgraph.schema import NODES
-from loomgraph.shared import written
+from loomgraph.shared import scratch, shuffles_deleted, written
 
 SPAN = "struct<start_line:int,start_col:int,end_line:int,end_col:int>"
 NODE = f"struct<type:string,id:string,name:string,path:string,language:string,kind:string,span:{SPAN},signature:string,visibility:string,parent:string,children:array<string>>"
@@ -26,7 +26,8 @@ def _listed(nodes: DataFrame) -> DataFrame:
     parent = [] if "parent_id" in nodes.columns else [F.col("container_id").alias("parent_id")]
     nodes = nodes.select("*", *parent, *absent)
     whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "children"))), lambda p: p["children"]))
-    kids = merge.children(nodes).groupBy(F.col("container_id").alias("id")).agg(whole.alias("children"))
+    # Dealt by container once, for both steps and the join.
+    kids = merge.children(nodes.repartition("container_id")).groupBy(F.col("container_id").alias("id")).agg(whole.alias("children"))
     return nodes.join(kids, "id", "left").select(
         "id",
         F.struct(
@@ -57,19 +58,18 @@ def write_parts(nodes: DataFrame, edges: DataFrame, path: str, root: str = "", c
         F.lit(None).cast("long").alias("weight"), entry.alias("text"),
     )
     edge_lines = edges.select(F.lit(3).alias("section"), "seq", "source", "target", "kind", F.col("weight").cast("long").alias("weight"), no_text.alias("text"))
-    lines = written(node_lines.unionByName(edge_lines))
-    # All entries of a section but its first begin with a comma.
-    first = lines.groupBy("section").agg(F.min(F.struct(*place[1:])).alias("first"))
-    marked = lines.join(F.broadcast(first), "section")
-    comma = F.when(F.struct(*place[1:]) == F.col("first"), F.lit("")).otherwise(F.lit(","))
-    frame = spark.createDataFrame([(0, '{"nodes":{'), (2, '},"edges":['), (4, None)], "section int, text string")
-    tail = F.concat(F.lit('],"root":'), _quoted(F.lit(root)), F.lit("}"))
-    empty = [F.lit("").alias(c) for c in ("source", "target", "kind")]
-    frame = frame.select("section", F.lit(0).cast("long").alias("seq"), *empty, F.lit(None).cast("long").alias("weight"), F.coalesce("text", tail).alias("text"), F.lit("").alias("comma"))
-    every = marked.select(*place, "weight", "text", comma.alias("comma")).unionByName(frame)
-    line = F.when(F.col("section") == 3, F.to_json(F.struct("source", "target", "kind", "weight"))).otherwise(text)
-    ordered = every.repartitionByRange(*place).sortWithinPartitions(*place).select(F.concat("comma", line).alias("text"))
-    ordered.write.option("compression", compression or "none").text(path)
+    with scratch(spark), shuffles_deleted(spark):
+        lines = written(node_lines.unionByName(edge_lines))
+        first = lines.groupBy("section").agg(F.min(F.struct(*place[1:])).alias("first"))
+        tail = F.concat(F.lit('],"root":'), _quoted(F.lit(root)), F.lit("}"))
+        frame = spark.createDataFrame([(0, '{"nodes":{'), (2, '},"edges":['), (4, None)], "section int, text string")
+        empty = [F.lit("").alias(c) for c in ("source", "target", "kind")]
+        frame = frame.select("section", F.lit(0).cast("long").alias("seq"), *empty, no_text.cast("long").alias("weight"), F.coalesce("text", tail).alias("text"))
+        # All entries of a section but its first begin with a comma. The first are looked up after the shuffle and before the sort.
+        marked = lines.unionByName(frame).repartitionByRange(*place).join(F.broadcast(first), "section", "left").sortWithinPartitions(*place)
+        comma = F.when(F.col("section").isin(1, 3) & (F.struct(*place[1:]) != F.col("first")), F.lit(",")).otherwise(F.lit(""))
+        line = F.when(F.col("section") == 3, F.to_json(F.struct("source", "target", "kind", "weight"))).otherwise(text)
+        marked.select(F.concat(comma, line).alias("text")).write.option("compression", compression or "none").text(path)
 
 
 def read_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -1,10 +1,13 @@
 """Large rows are shuffled no more often than needed."""
 
+import json
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from loomgraph.operators import hierarchy, merge, view
 from loomgraph.plans import catalogue, workload
-from loomgraph.shared import written
+from loomgraph.shared import shared_folder, written
 from loomgraph.sources import graph_json
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +102,23 @@ def test_diagnostics_count_edges_by_target_before_targets_are_looked_up(spark):
     steps = [line.strip(" :+-") for line in plan(found).splitlines()]
     target = next(i for i, s in enumerate(steps) if s.startswith("Join LeftOuter") and "target" in s)
     assert steps[target + 1].startswith("Aggregate [target")
+
+
+def test_what_is_written_for_json_leaves_one_copy_of_the_graph(spark, tmp_path):
+    before = set(Path(shared_folder(spark).removeprefix("file:")).iterdir())
+    edges = spark.range(500).selectExpr("cast(id % 7 as string) as source", "cast(id as string) as target", "'Import' as kind", "id as weight", "500 - id as seq")
+    nodes = spark.range(7).selectExpr("cast(id as string) as id", "'File' as type", "nullif(cast(id - 1 as string), '-1') as container_id", "id as child_ordinal")
+    graph_json.write_parts(nodes, edges, str(tmp_path / "graph"))
+    assert not [p.name for p in set(Path(shared_folder(spark).removeprefix("file:")).iterdir()) - before if p.name.startswith("table-")]
+    text = "\n".join(p.read_text() for p in sorted((tmp_path / "graph").glob("part-*")))
+    graph = json.loads(text)
+    assert len(graph["edges"]) == 500 and [e["weight"] for e in graph["edges"]] == list(range(499, -1, -1))
+    assert list(graph["nodes"]) == sorted(graph["nodes"]) and graph["nodes"]["3"]["children"] == ["4"]
+
+
+def test_lists_of_children_are_dealt_by_container_once(spark):
+    nodes = spark.range(50).selectExpr("cast(id as string) as id", "'File' as type", "cast(id % 5 as string) as container_id", "id as child_ordinal", "cast(id as string) as name")
+    listed = graph_json._listed(nodes)
+    dealt = listed._jdf.queryExecution().sparkPlan().toString().count("Exchange") + plan(listed).count("RepartitionByExpression [container_id")
+    assert dealt <= 2
+    assert {r.id: len(r.node.children) for r in listed.collect()} == {str(i): 10 if i < 5 else 0 for i in range(50)}
