@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import numbering
 from loomgraph.schema import MAX_WEIGHT, check_edge_kinds
-from loomgraph.shared import durable
+from loomgraph.shared import broadcast_if_few, durable, written
 
 #: Entries of a list in one row, about.
 LISTED = 100_000
 #: Tasks that merge edges, as a multiple of the session's shuffle partitions.
 SMALLER = 4
+#: Hashes of repeated edges that are broadcast at most.
+FEW_REPEATED = 500_000
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
@@ -32,6 +34,22 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     )
 
 
+def merge_rare(edges: DataFrame) -> DataFrame:
+    """The same as :func:`merge_edges` for a written table of edges that hardly repeat.
+
+    Hashes are shuffled instead of edges. An edge whose hash is alone is a merged edge as it is and stays where it lies; only
+    the others, which repeat or share a hash by chance, are merged by their keys.
+    """
+    keys = ["source", "target", "kind"]
+    n_tasks = SMALLER * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = edges.select(*keys, "weight", "seq", F.xxhash64(*keys).alias("hash"))
+    again = written(hashed.select("hash").repartition(n_tasks, "hash").groupBy("hash").count().filter("count > 1").select("hash"))
+    again = broadcast_if_few(again, FEW_REPEATED)
+    alone = hashed.join(again, "hash", "left_anti")
+    once = alone.select(*keys, F.least("weight", F.lit(MAX_WEIGHT)).cast("long").alias("weight"), "seq")
+    return once.unionByName(merge_edges(hashed.join(again, "hash", "left_semi")))
+
+
 def distinct_imports(edges: DataFrame) -> DataFrame:
     """One import edge per (source, target), weights not summed."""
     return edges.select("source", "target").distinct().select("source", "target", F.lit("Import").alias("kind"), F.lit(1).cast("long").alias("weight"))

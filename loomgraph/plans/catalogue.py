@@ -14,7 +14,7 @@ from loomgraph.operators import containment, geometry, hierarchy, intervals, lay
 from loomgraph.plans import sources_workload as sw
 from loomgraph.plans import workload as w
 from loomgraph.schema import BLOCK_ICONS, BLOCK_KINDS, EDGE_KINDS, NO_BLOCK_COLOUR, NO_ICON, NODE_COLOURS, NODE_ICONS, NODE_SIZES, SUFFIXES
-from loomgraph.shared import durable, shared_folder, shuffles_deleted, written
+from loomgraph.shared import durable, scratch, shared_folder, shuffles_deleted, written
 from loomgraph.sources import graph_json
 from loomgraph.streaming import live, progress, runs
 
@@ -151,7 +151,10 @@ def edge_key_index(spark, d):
 def _json_parts(spark, d) -> tuple[DataFrame, DataFrame]:
     """A graph written as JSON in parts and read again."""
     path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
-    graph_json.write_parts(w.nodes(spark, d), merge.merge_edges(w.raw_edges(spark, d)), path, compression="gzip")
+    with scratch(spark):
+        with shuffles_deleted(spark):
+            raw = written(w.raw_edges(spark, d))
+        graph_json.write_parts(w.nodes(spark, d), merge.merge_rare(raw), path, compression="gzip")
     return graph_json.read_parts(spark, path)
 
 

@@ -122,3 +122,18 @@ def test_lists_of_children_are_dealt_by_container_once(spark):
     dealt = listed._jdf.queryExecution().sparkPlan().toString().count("Exchange") + plan(listed).count("RepartitionByExpression [container_id")
     assert dealt <= 2
     assert {r.id: len(r.node.children) for r in listed.collect()} == {str(i): 10 if i < 5 else 0 for i in range(50)}
+
+
+def test_edges_that_hardly_repeat_are_merged_without_a_shuffle_of_those_that_are_alone(spark, monkeypatch):
+    rows = [(str(i % 50), str(i % 45) if i % 10 else None, "Call" if i % 3 else "Use", i % 4, i) for i in range(600)]
+    rows += [("hub", "t", "Call", 3_000_000_000, 7), ("hub", "t", "Call", 3_000_000_000, 3), ("big", "t", "Call", 5_000_000_000, 1)]
+    edges = written(spark.createDataFrame(rows, "source string, target string, kind string, weight long, seq long"))
+    # The hash decides where an edge is merged, not what with: here all of a source share one.
+    for hashed in (merge.F.xxhash64, lambda *keys, whole=F.xxhash64: whole(keys[0])):
+        monkeypatch.setattr(merge.F, "xxhash64", hashed)
+        for few in (merge.FEW_REPEATED, 0):
+            monkeypatch.setattr(merge, "FEW_REPEATED", few)
+            merged = merge.merge_rare(edges)
+            assert sorted(map(str, merged.collect())) == sorted(map(str, merge.merge_edges(edges).collect()))
+    alone = plan(merged).split("Aggregate")[0]
+    assert "LeftAnti" in alone and "RepartitionByExpression" not in alone
